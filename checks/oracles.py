@@ -309,8 +309,8 @@ def _request_passes() -> str:
         ctes.append(
             f"""m{i} AS (SELECT *, regexp_extract_all(t, {_q(regex)}) AS m,
         string_split_regex(t, {_q(regex)}) AS g FROM z{i - 1}),
-      w{i} AS (SELECT conv_id, x, min(turn * 1000000 + at) AS f FROM (
-          SELECT conv_id, turn, unnest(m) AS x, generate_subscripts(m, 1) AS at FROM m{i})
+      w{i} AS (SELECT conv_id, x, min(turn * 1000000 + pos) AS f FROM (
+          SELECT conv_id, turn, unnest(m) AS x, generate_subscripts(m, 1) AS pos FROM m{i})
         WHERE {valid} GROUP BY conv_id, x),
       u{i} AS (SELECT conv_id, list(x ORDER BY f) AS u FROM w{i} GROUP BY conv_id),
       z{i} AS (SELECT m{i}.conv_id, turn, role, array_to_string(list_transform(range(1, len(g) + 1), lambda k:
@@ -331,7 +331,7 @@ _add(
 )
 _add(
     "redact_request_rows",
-    f""", {_request_passes()} SELECT z.conv_id, (row_number() OVER (PARTITION BY z.conv_id ORDER BY turn) - 1)::INT AS at,
+    f""", {_request_passes()} SELECT z.conv_id, (row_number() OVER (PARTITION BY z.conv_id ORDER BY turn) - 1)::INT AS pos,
     role, t AS text, coalesce(n, 0)::INT AS unique_tokens FROM z7 z LEFT JOIN total ON total.conv_id = z.conv_id""",
     "conv_turns",
 )
@@ -370,7 +370,7 @@ _usage(
     SELECT team_id, k.s AS section, k.l AS label, sum(cost_usd)::DOUBLE AS cost_usd,
       sum(saved)::DOUBLE AS savings_usd, (sum(cost_usd) - sum(saved))::DOUBLE AS spent_usd,
       CASE WHEN k.s = 'total' THEN round(sum(cost_usd)::DOUBLE / 30 * 30, 6) END AS projected_monthly_usd
-    FROM l GROUP BY ALL""",
+    FROM l GROUP BY team_id, k.s, k.l""",
 )
 for _g, _c in (
     ("model", "model_used"),
@@ -467,10 +467,10 @@ _HIST = f"""h AS (SELECT model_used, cache_hit, complexity, le::DOUBLE AS le,
     FROM u CROSS JOIN {_LE} GROUP BY ALL)"""
 _usage("metric_latency_histogram", f", {_HIST} SELECT * FROM h")
 _QUANTILE = """o AS (SELECT *, CASE WHEN le < 0 THEN 1e300 ELSE le END AS hi FROM h),
-    s AS (SELECT *, coalesce(lag(hi) OVER w, 0) AS lo, coalesce(lag(cumulative) OVER w, 0) AS before,
+    st AS (SELECT *, coalesce(lag(hi) OVER w, 0) AS lo, coalesce(lag(cumulative) OVER w, 0) AS before,
       0.99::DOUBLE * max(cumulative) OVER (PARTITION BY {k}) AS rank
       FROM o WINDOW w AS (PARTITION BY {k} ORDER BY hi)),
-    x AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY hi) AS rn FROM s WHERE cumulative >= rank AND rank > 0),
+    x AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY hi) AS rn FROM st WHERE cumulative >= rank AND rank > 0),
     qt AS (SELECT *, CASE WHEN hi = 1e300 THEN lo ELSE lo + (hi - lo) * (rank - before) / (cumulative - before) END
       AS quantile FROM x WHERE rn = 1)"""
 _LABELS = "model_used, cache_hit, complexity"
@@ -530,7 +530,7 @@ _lookup(
     "two_layer_lookup",
     """SELECT query_id, l.team_id, layer, outcome,
     CASE WHEN outcome = 'hit' AND similarity >= 1.0 THEN 'redis_hit' WHEN outcome = 'hit' THEN 'semantic_hit'
-      ELSE 'miss' END AS label,
+      ELSE 'miss' END AS cache_label,
     CASE WHEN outcome = 'hit' THEN matched_id END AS cache_id,
     CASE WHEN outcome = 'hit' THEN c.model_used END AS cached_model,
     CASE WHEN outcome = 'hit' THEN c.cost_usd END::DOUBLE AS cached_cost,
@@ -612,38 +612,38 @@ _usage("stream_hit_rate", _RATE)
 
 
 def _held(keys: str, hold: int) -> str:
-    """Runs over samples s({keys}, at, breach) of a gauge held between samples."""
+    """Runs over samples s({keys}, tick, breach) of a gauge held between samples."""
     return f"""
     i AS (SELECT *, row_number() OVER w - sum(breach::INT) OVER w AS run,
-      coalesce(lead(at) OVER w, at) AS nxt FROM s WINDOW w AS (PARTITION BY {keys} ORDER BY at)),
-    runs AS (SELECT {keys}, min(at) AS a, max(nxt) AS z, count(*) AS samples FROM i WHERE breach GROUP BY {keys}, run)
+      coalesce(lead(tick) OVER w, tick) AS nxt FROM s WINDOW w AS (PARTITION BY {keys} ORDER BY tick)),
+    runs AS (SELECT {keys}, min(tick) AS a, max(nxt) AS z, count(*) AS samples FROM i WHERE breach GROUP BY {keys}, run)
     SELECT {keys}, {_at('a')} AS started_at, {_at('z')} AS ended_at, {_at(f'a + {hold}')} AS fired_at, samples
     FROM runs WHERE z - a >= {hold}"""
 
 
 _usage(
     "alert_low_hit_rate",
-    f""", s AS (SELECT team_id, ({_SEC.format(n=3600)} + 1) * 3600 AS at,
+    f""", s AS (SELECT team_id, ({_SEC.format(n=3600)} + 1) * 3600 AS tick,
       count(*) FILTER (cache_hit) / count(*) < 0.2 AS breach FROM u GROUP BY ALL), {_held('team_id', 7200)}""",
 )
 _usage(
     "alert_high_latency",
-    f""", raw AS (SELECT *, ({_SEC.format(n=3600)} + 1) * 3600 AS at FROM u),
-    samples AS (SELECT DISTINCT {_LABELS}, at FROM raw),
-    h AS (SELECT s.model_used, s.cache_hit, s.complexity, s.at, le::DOUBLE AS le,
+    f""", raw AS (SELECT *, ({_SEC.format(n=3600)} + 1) * 3600 AS tick FROM u),
+    samples AS (SELECT DISTINCT {_LABELS}, tick FROM raw),
+    h AS (SELECT s.model_used, s.cache_hit, s.complexity, s.tick, le::DOUBLE AS le,
       count(*) FILTER (r.latency_ms <= le OR le < 0) AS cumulative
       FROM samples s JOIN raw r ON r.model_used = s.model_used AND r.cache_hit = s.cache_hit
-        AND r.complexity = s.complexity AND r.at <= s.at CROSS JOIN {_LE} GROUP BY ALL),
-    {_QUANTILE.format(k=_LABELS + ', at')},
-    s AS (SELECT {_LABELS}, at, quantile > 2475.0 AS breach FROM qt), {_held(_LABELS, 5 * 3600)}""",
+        AND r.complexity = s.complexity AND r.tick <= s.tick CROSS JOIN {_LE} GROUP BY ALL),
+    {_QUANTILE.format(k=_LABELS + ', tick')},
+    s AS (SELECT {_LABELS}, tick, quantile > 2475.0 AS breach FROM qt), {_held(_LABELS, 5 * 3600)}""",
 )
 _add(
     "alert_error_rate",
     f""", p AS (SELECT error_type, {_SEC.format(n=1800)} - unnest([0, 1, 2, 3]) AS w FROM gateway_events
       WHERE error_type IS NOT NULL),
-    b AS (SELECT error_type, w, w * 1800 + 7200 AS at FROM p GROUP BY ALL HAVING count(*) / 7200.0 > 0.0008),
+    b AS (SELECT error_type, w, w * 1800 + 7200 AS tick FROM p GROUP BY ALL HAVING count(*) / 7200.0 > 0.0008),
     i AS (SELECT *, w - row_number() OVER (PARTITION BY error_type ORDER BY w) AS run FROM b),
-    r AS (SELECT error_type, min(at) AS a, max(at) AS z, count(*) AS samples FROM i GROUP BY error_type, run)
+    r AS (SELECT error_type, min(tick) AS a, max(tick) AS z, count(*) AS samples FROM i GROUP BY error_type, run)
     SELECT error_type, {_at('a')} AS started_at, {_at('z')} AS ended_at, {_at('a + 3600')} AS fired_at, samples
     FROM r WHERE z - a >= 3600""",
     "gateway_events",
@@ -669,10 +669,12 @@ _LIMIT = """, ev AS (SELECT team_id, event_id, epoch_us(created_at) AS us,
 _add("rate_limit_exact", _LIMIT, "gateway_events")
 _add("stream_rate_limit", _LIMIT, "gateway_events")
 _TTL = """, ev AS (SELECT team_id, sha256(prompt_text) AS h, epoch_us(created_at) AS us FROM gateway_events),
+    d AS (SELECT DISTINCT * FROM ev),
+    nx AS (SELECT a.team_id, a.h, a.us, b.us AS next FROM d a ASOF JOIN d b
+      ON a.team_id = b.team_id AND a.h = b.h AND a.us + 86400000000 <= b.us),
     r AS (SELECT team_id, h, min(us) AS us FROM ev GROUP BY ALL
       UNION ALL
-      SELECT r.team_id, r.h, ev.us FROM r ASOF JOIN ev ON r.team_id = ev.team_id AND r.h = ev.h
-        AND r.us + 86400000000 <= ev.us),
+      SELECT nx.team_id, nx.h, nx.next FROM r JOIN nx ON r.team_id = nx.team_id AND r.h = nx.h AND r.us = nx.us),
     n AS (SELECT team_id, h, count(*) AS requests FROM ev GROUP BY ALL),
     s AS (SELECT team_id, h, count(*) AS sets FROM r GROUP BY ALL),
     t AS (SELECT team_id, count(*) AS prompts, sum(requests)::BIGINT AS requests, sum(sets)::BIGINT AS sets,

@@ -326,8 +326,8 @@ def redact_conversations(spark, folder):
 def redact_request_rows(spark, folder):
     rows = R.gather_messages(W.view(spark, folder, "conv_turns"))
     out = redact.redact_requests(rows.withColumn("system", F.lit(None).cast("string")))
-    return out.select("conv_id", F.posexplode("messages").alias("at", "m"), "unique_tokens").select(
-        "conv_id", "at", F.col("m.role").alias("role"), F.col("m.content").alias("text"), "unique_tokens"
+    return out.select("conv_id", F.posexplode("messages").alias("pos", "m"), "unique_tokens").select(
+        "conv_id", "pos", F.col("m.role").alias("role"), F.col("m.content").alias("text"), "unique_tokens"
     )
 
 
@@ -620,7 +620,7 @@ def semantic_lookup(spark, folder):
 @query
 def two_layer_lookup(spark, folder):
     return _money(_lookups(spark, folder)).select(
-        "query_id", "team_id", "layer", "outcome", "label", "cache_id", "cached_model", "cached_cost",
+        "query_id", "team_id", "layer", "outcome", "cache_label", "cache_id", "cached_model", "cached_cost",
         F.round("similarity", 6).alias("similarity"),
     )
 
@@ -844,11 +844,10 @@ def flow_inputs(spark, folder):
     prepared = request_flow.prepare(W.bodies(spark, folder, "conv_turns"))
     turns = W.table(spark, folder, "conversations")
     docs = W.view(spark, folder, "prompts")
-    # The cache holds every sample prompt under the shared team and the text's class model.
     entries = request_flow.with_embeddings(
         docs.groupBy(F.sha2("prompt_text", 256).alias("prompt_hash")).agg(F.min("prompt_text").alias("prompt_text"))
     )
-    cache = entries.select(
+    table = entries.select(
         F.col("prompt_hash").alias("id"),
         F.lit("default").alias("team_id"),
         "prompt_hash",
@@ -856,6 +855,10 @@ def flow_inputs(spark, folder):
         F.lit("groq/gpt-oss-20b").alias("model_used"),
         F.lit("0.00012500").cast("decimal(10,8)").alias("cost_usd"),
     )
+    # The cache is a stored table, embedded once.
+    path = scratch_path(spark, "prompt-cache")
+    table.write.parquet(path)
+    cache = spark.read.parquet(path)
     replies = (
         turns.filter(F.col("role") == "assistant")
         .groupBy("conv_id")

@@ -48,6 +48,16 @@ def _has(*parts: str) -> Callable[[Column], Column]:
     return test
 
 
+def _any(*parts: str) -> Callable[[Column], Column]:
+    def test(text: Column) -> Column:
+        ok = F.contains(text, F.lit(parts[0]))
+        for p in parts[1:]:
+            ok = ok | F.contains(text, F.lit(p))
+        return ok
+
+    return test
+
+
 def _digit(text: Column) -> Column:
     return F.rlike(text, F.lit("[0-9]{3}"))
 
@@ -74,6 +84,7 @@ DEFAULT_PATTERNS: tuple[Pattern, ...] = (
         "API_KEY",
         r"(?:sk-|pk_live_|pk_test_|sk_live_|sk_test_|rk_live_|rk_test_|ghp_|gho_|ghs_|ghr_"
         r"|glpat-|xoxb-|xoxp-)[A-Za-z0-9_\-]{16,}",
+        _any("sk-", "_live_", "_test_", "ghp_", "gho_", "ghs_", "ghr_", "glpat-", "xox"),
     ),
     Pattern("email", "EMAIL", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", _has("@")),
     Pattern(

@@ -58,7 +58,7 @@ def two_layer(
     found = found.join(served, "matched_id", "left")
     is_hit = F.col("outcome") == "hit"
     found = (
-        found.withColumn("label", outcome_label(is_hit, F.col("similarity")))
+        found.withColumn("cache_label", outcome_label(is_hit, F.col("similarity")))
         .withColumn("cache_id", F.when(is_hit, F.col("matched_id")))
         .withColumn("cached_model", F.when(is_hit, F.col("cached_model")))
         .withColumn("cached_cost", F.when(is_hit, F.col("cached_cost")))

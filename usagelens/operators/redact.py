@@ -28,10 +28,17 @@ def _matches(text: Column, p: Pattern) -> Column:
     return F.when(p.needs(text), found).otherwise(F.array().cast(_STRINGS))
 
 
-def _rewrite(text: Column, p: Pattern, name) -> Column:
-    """Gaps and matches of the text in turn, each valid match under its new name."""
+def _rewrite(text: Column, p: Pattern, matches: Column, name) -> Column:
+    """Gaps and matches of the text in turn, each valid match under its new name.
+
+    ``matches`` are the valid ones; where a pattern has no further check they are
+    all there are, and the text need not be searched for them again.
+    """
     gaps = F.split(text, p.regex, -1)
-    hits = F.regexp_extract_all(text, F.lit(p.regex), F.lit(0))
+    if p.valid is None:
+        hits = matches
+    else:
+        hits = F.regexp_extract_all(text, F.lit(p.regex), F.lit(0))
 
     def piece(gap: Column, hit: Column) -> Column:
         new = name(hit) if p.valid is None else F.when(p.valid(hit), name(hit)).otherwise(hit)
@@ -40,113 +47,175 @@ def _rewrite(text: Column, p: Pattern, name) -> Column:
     return F.array_join(F.zip_with(gaps, hits, piece), "")
 
 
-def _found_column(i: int) -> str:
-    return f"_found{i}"
+_ENTRIES = "array<struct<tag:string,value:string,name:string>>"
+_VALUES = "array<struct<tag:string,value:string>>"
+_RESULT = f"struct<texts:{_STRINGS},named:{_ENTRIES}>"
+
+
+def _let(value: Column, body, kind: str) -> Column:
+    """``body(value)``, of type ``kind``, with the value worked out once.
+
+    The whole redaction is one expression of such steps. As a chain of columns it
+    would be multiplied out whenever a filter is pushed through the projections.
+    The type is stated because deriving it through the nested steps costs more
+    than the work itself.
+    """
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, v: body(v))
 
 
-def _find(df: DataFrame, texts: str, pats: Sequence[Pattern]) -> DataFrame:
-    """Add, per pattern, each message's valid matches in order.
+def _search(
+    texts: Column, pats: Sequence[Pattern], then, kind: str, found: tuple = ()
+) -> Column:
+    """``then`` of the valid matches: per pattern, an array per text.
 
-    The working copy carries a placeholder in place of what earlier patterns
-    took; its number plays no part in later matches.
+    Each pattern reads the texts with a stand-in where earlier patterns
+    matched; the number in the stand-in plays no part in later matches.
     """
-    work = F.transform(F.col(texts), lambda t: F.coalesce(t, F.lit("")))
-    df = df.withColumn("_work", work)
-    for i, p in enumerate(pats):
-        col = _found_column(i)
-        df = df.withColumn(col, F.transform("_work", lambda t: _matches(t, p)))
-        if i + 1 < len(pats):
-            stand_in = F.lit(f"[{p.tag}_1]")
+    p, rest = pats[0], pats[1:]
+
+    def go_on(mine: Column) -> Column:
+        if not rest:
+            return then([*found, mine])
+        stand_in = F.lit(f"[{p.tag}_1]")
+
+        def masked(t: Column, vs: Column) -> Column:
+            if p.valid is None:
+                new = F.regexp_replace(t, F.lit(p.regex), stand_in)
+            else:
+                new = _rewrite(t, p, vs, lambda _: stand_in)
+            return F.when(F.size(vs) > 0, new).otherwise(t)
+
+        return _let(
+            F.zip_with(texts, mine, masked),
+            lambda w: _search(w, rest, then, kind, (*found, mine)),
+            kind,
+        )
+
+    return _let(F.transform(texts, lambda t: _matches(t, p)), go_on, kind)
 
-            def masked(t: Column, k: Column) -> Column:
-                if p.valid is None:
-                    new = F.regexp_replace(t, F.lit(p.regex), stand_in)
-                else:
-                    new = _rewrite(t, p, lambda _: stand_in)
-                return F.when(F.size(F.get(F.col(col), k)) > 0, new).otherwise(t)
 
-            df = df.withColumn("_work", F.transform("_work", masked))
-    return df.drop("_work")
+def _searchable(texts: Column) -> Column:
+    return F.transform(texts, lambda t: F.coalesce(t, F.lit("")))
 
 
 def _tags(pats: Sequence[Pattern]) -> list[str]:
     return list(dict.fromkeys(p.tag for p in pats))
 
 
-def _numbered(df: DataFrame, pats: Sequence[Pattern]) -> DataFrame:
-    """Add ``_named``: entries {tag, value, n} over all messages of the row."""
-    seen = [
-        F.flatten(
-            F.transform(
-                _found_column(i),
-                lambda vs: F.transform(
-                    vs, lambda v: F.struct(F.lit(p.tag).alias("tag"), v.alias("value"))
-                ),
-            )
+def _listed(found: list[Column], pats: Sequence[Pattern]) -> Column:
+    """Entries {tag, value} of all texts: text by text, pattern by pattern."""
+    each = [
+        F.transform(
+            found[i],
+            lambda vs: F.transform(
+                vs, lambda v: F.struct(F.lit(p.tag).alias("tag"), v.alias("value"))
+            ),
         )
         for i, p in enumerate(pats)
     ]
-    standard = {p.name for p in DEFAULT_PATTERNS}
-    if all(p.name in standard for p in pats):
-        # No value can match two of the standard tags, so each tag counts alone.
-        per_tag = [
-            F.transform(
-                F.array_distinct(F.flatten(_found_column(i))),
-                lambda v, n: _entry(F.lit(p.tag), v, n),
-            )
-            for i, p in enumerate(pats)
-        ]
-        return df.withColumn("_named", F.concat(*per_tag))
-    # With other patterns a value belongs to the tag that met it first, going
-    # message by message and, within one, pattern by pattern.
-    by_message = F.flatten(
-        F.transform(
-            _found_column(0),
-            lambda _, k: F.concat(
+    joined = each[0]
+    for more in each[1:]:
+        joined = F.zip_with(joined, more, lambda a, b: F.concat(a, b))
+    return F.flatten(joined)
+
+
+def _entry(tag: Column, value: Column, index: Column) -> Column:
+    name = F.concat(tag, F.lit("_"), (index + 1).cast("string"))
+    return F.struct(tag.alias("tag"), value.alias("value"), name.alias("name"))
+
+
+def _in_one_go(
+    texts: Column, pats: Sequence[Pattern], seen: tuple = ()
+) -> Column:
+    """Redact with the standard patterns, numbering each as it is found.
+
+    No value can match two of the standard tags, so each tag counts alone and
+    its numbers are known once its own matches are.
+    """
+    p, rest = pats[0], pats[1:]
+
+    def go_on(found: Column) -> Column:
+        def numbered(own: Column) -> Column:
+            def rewritten(t: Column, vs: Column) -> Column:
+                def name(v: Column) -> Column:
+                    n = F.array_position(own, v).cast("string")
+                    return F.concat(F.lit(f"[{p.tag}_"), n, F.lit("]"))
+
+                return F.when(F.size(vs) > 0, _rewrite(t, p, vs, name)).otherwise(t)
+
+            entries = F.transform(own, lambda v, n: _entry(F.lit(p.tag), v, n))
+            new = F.when(F.size(own) > 0, F.zip_with(texts, found, rewritten)).otherwise(texts)
+            done = (*seen, entries)
+            if rest:
+                return _let(new, lambda t: _in_one_go(t, rest, done), _RESULT)
+            return F.struct(new.alias("texts"), F.concat(*done).alias("named"))
+
+        return _let(F.array_distinct(F.flatten(found)), numbered, _RESULT)
+
+    return _let(F.transform(texts, lambda t: _matches(t, p)), go_on, _RESULT)
+
+
+def _numbered(found: list[Column], pats: Sequence[Pattern]) -> Column:
+    """Entries {tag, value, name}, numbered per tag in first-seen order."""
+    # With other patterns a value belongs to the tag that met it first.
+    def named(seen: Column) -> Column:
+        values = F.transform(seen, lambda s: s["value"])
+        owned = F.transform(
+            F.array_distinct(values),
+            lambda v: F.get(seen, F.array_position(values, v).cast("int") - 1),
+        )
+        return _let(
+            owned,
+            lambda all_: F.concat(
                 *[
                     F.transform(
-                        F.get(F.col(_found_column(i)), k),
-                        lambda v: F.struct(F.lit(p.tag).alias("tag"), v.alias("value")),
+                        F.filter(all_, lambda o: o["tag"] == t),
+                        lambda o, n: _entry(o["tag"], o["value"], n),
                     )
-                    for i, p in enumerate(pats)
+                    for t in _tags(pats)
                 ]
             ),
+            _ENTRIES,
         )
-    )
-    df = df.withColumn("_seen", by_message)
-    values = F.transform("_seen", lambda s: s["value"])
-    owned = F.transform(
-        F.array_distinct(values),
-        lambda v: F.get(F.col("_seen"), F.array_position(values, v).cast("int") - 1),
-    )
-    df = df.withColumn("_owned", owned)
-    per_tag = [
-        F.transform(
-            F.filter("_owned", lambda o: o["tag"] == t),
-            lambda o, n: _entry(o["tag"], o["value"], n),
-        )
-        for t in _tags(pats)
-    ]
-    return df.withColumn("_named", F.concat(*per_tag)).drop("_seen", "_owned")
-
 
-def _entry(tag: Column, value: Column, index: Column) -> Column:
-    name = F.concat(tag, F.lit("_"), (index + 1).cast("string"))
-    return F.struct(tag.alias("tag"), value.alias("value"), name.alias("name"))
+    return _let(_listed(found, pats), named, _ENTRIES)
 
 
-def _replace(df: DataFrame, texts: str, names: str, pats: Sequence[Pattern]) -> DataFrame:
-    """Rewrite the messages that hold something, using the map value -> name."""
-    for i, p in enumerate(pats):
+def _replaced(texts: Column, found: list[Column], names: Column, pats: Sequence[Pattern]) -> Column:
+    """The texts that hold something, rewritten with the map value -> name."""
+    for p, mine in zip(pats, found):
 
-        def rewritten(t: Column, k: Column) -> Column:
+        def rewritten(t: Column, vs: Column) -> Column:
             new = _rewrite(
-                t, p, lambda v: F.concat(F.lit("["), F.try_element_at(F.col(names), v), F.lit("]"))
+                t, p, vs, lambda v: F.concat(F.lit("["), F.try_element_at(names, v), F.lit("]"))
+            )
+            return F.when(F.size(vs) > 0, new).otherwise(t)
+
+        texts = F.zip_with(texts, mine, rewritten)
+    return texts
+
+
+def redaction(texts: Column, pats: Sequence[Pattern] = DEFAULT_PATTERNS) -> Column:
+    """Struct {texts, named} for an array of texts that form one request."""
+    if all(p in DEFAULT_PATTERNS for p in pats):
+        return _let(_searchable(texts), lambda t: _in_one_go(t, pats), _RESULT)
+
+    def finish(found: list[Column]) -> Column:
+        def with_names(named: Column) -> Column:
+            names = F.map_from_entries(
+                F.transform(named, lambda e: F.struct(e["value"], e["name"]))
+            )
+            return _let(
+                names,
+                lambda m: F.struct(
+                    _replaced(texts, found, m, pats).alias("texts"), named.alias("named")
+                ),
+                _RESULT,
             )
-            return F.when(F.size(F.get(F.col(_found_column(i)), k)) > 0, new).otherwise(t)
 
-        df = df.withColumn(texts, F.transform(texts, rewritten))
-    return df
+        return _let(_numbered(found, pats), with_names, _RESULT)
+
+    return _let(_searchable(texts), lambda t: _search(t, pats, finish, _RESULT), _RESULT)
 
 
 def redact_texts(
@@ -159,16 +228,12 @@ def redact_texts(
     """
     if not enabled or not pats:
         return (
-            df.withColumn("redaction_map", F.expr("map_from_entries(cast(array() as array<struct<k:string,v:string>>))"))
-            .withColumn("pii_counts", F.expr("map_from_entries(cast(array() as array<struct<k:string,v:int>>))"))
+            df.withColumn("redaction_map", _empty_map("string"))
+            .withColumn("pii_counts", _empty_map("int"))
             .withColumn("unique_tokens", F.lit(0))
         )
-    df = _numbered(_find(df, texts, pats), pats)
-    df = df.withColumn(
-        "_names",
-        F.map_from_entries(F.transform("_named", lambda e: F.struct(e["value"], e["name"]))),
-    )
-    df = _replace(df, texts, "_names", pats)
+    df = df.withColumn("_r", redaction(F.col(texts), pats))
+    named = F.coalesce("_r.named", F.expr(f"cast(array() as {_ENTRIES})"))
     counts = [
         F.struct(
             F.lit(t).alias("k"),
@@ -176,14 +241,27 @@ def redact_texts(
         )
         for t in _tags(pats)
     ]
-    df = df.withColumn(
-        "redaction_map",
-        F.map_from_entries(F.transform("_named", lambda e: F.struct(e["name"], e["value"]))),
-    ).withColumn(
-        "pii_counts", F.map_from_entries(F.filter(F.array(*counts), lambda c: c["v"] > 0))
+    out = df.withColumn("_named", named)
+    return (
+        out.withColumn(texts, _nulls_kept(texts))
+        .withColumn(
+            "redaction_map",
+            F.map_from_entries(F.transform("_named", lambda e: F.struct(e["name"], e["value"]))),
+        )
+        .withColumn(
+            "pii_counts", F.map_from_entries(F.filter(F.array(*counts), lambda c: c["v"] > 0))
+        )
+        .withColumn("unique_tokens", F.size("_named"))
+        .drop("_r", "_named")
     )
-    df = df.withColumn("unique_tokens", F.size("_named"))
-    return df.drop("_named", "_names", *[_found_column(i) for i in range(len(pats))])
+
+
+def _nulls_kept(texts: str) -> Column:
+    return F.zip_with(texts, "_r.texts", lambda old, new: F.when(old.isNotNull(), new))
+
+
+def _empty_map(kind: str) -> Column:
+    return F.expr(f"map_from_entries(cast(array() as array<struct<k:string,v:{kind}>>))")
 
 
 def redact_column(
@@ -206,11 +284,13 @@ def redact_requests(
     contents = F.transform(messages, lambda m: m["content"])
     df = df.withColumn("_texts", F.concat(contents, F.array(F.col(system))))
     df = redact_texts(df, "_texts", pats, enabled)
-    shown = F.transform(
+    # Pairing, not indexing: a text looked up inside the lambda would be
+    # worked out again for every message.
+    shown = F.zip_with(
         messages,
-        lambda m, k: F.struct(
-            m["role"].alias("role"),
-            F.when(m["content"].isNotNull(), F.get(F.col("_texts"), k)).alias("content"),
+        F.slice("_texts", F.lit(1), F.size(messages)),
+        lambda m, t: F.struct(
+            m["role"].alias("role"), F.when(m["content"].isNotNull(), t).alias("content")
         ),
     )
     last = F.when(F.col(system).isNotNull(), F.element_at("_texts", -1))
@@ -241,16 +321,17 @@ def redact_turns(
         .agg(F.map_from_entries(F.collect_list(F.struct("value", "name"))).alias("_names"))
     )
     out = turns.withColumn("_turn", F.col(turn)).join(per_turn, [request, "_turn"], "left")
-    out = out.withColumn("_texts", F.array(text))
     # Turns without a name map are left as they are, without a second search.
-    probe = _find(
-        out.withColumn("_probe", F.array(F.when(F.col("_names").isNotNull(), F.col(text)).otherwise(F.lit("")))),
-        "_probe",
-        pats,
+    own = F.array(F.when(F.col("_names").isNotNull(), F.col(text)))
+    new = _let(
+        _searchable(own),
+        lambda t: _search(
+            t, pats, lambda found: _replaced(F.array(text), found, F.col("_names"), pats), _STRINGS
+        ),
+        _STRINGS,
     )
-    done = _replace(probe, "_texts", "_names", pats)
     return (
-        done.withColumn(text, F.get(F.col("_texts"), F.lit(0)))
+        out.withColumn(text, F.get(new, F.lit(0)))
         .withColumn("has_redactions", F.col("_names").isNotNull())
         .select(*turns.columns, "has_redactions")
     )
@@ -258,19 +339,14 @@ def redact_turns(
 
 def turn_values(turns, request, turn, text, pats=DEFAULT_PATTERNS) -> DataFrame:
     """One row per match: request, turn, place in the turn, tag, value."""
-    df = _find(turns.select(request, F.col(turn).alias("_turn"), F.array(text).alias("_texts")), "_texts", pats)
-    listed = F.concat(
-        *[
-            F.transform(
-                F.get(F.col(_found_column(i)), F.lit(0)),
-                lambda v: F.struct(F.lit(p.tag).alias("tag"), v.alias("value")),
-            )
-            for i, p in enumerate(pats)
-        ]
-    )
-    return df.select(request, "_turn", F.posexplode(listed).alias("_at", "_e")).select(
-        request, "_turn", "_at", "_e.tag", "_e.value"
+    listed = _let(
+        _searchable(F.array(text)),
+        lambda t: _search(t, pats, lambda found: _listed(found, pats), _VALUES),
+        _VALUES,
     )
+    return turns.select(
+        request, F.col(turn).alias("_turn"), F.posexplode(listed).alias("_at", "_e")
+    ).select(request, "_turn", "_at", "_e.tag", "_e.value")
 
 
 def number_values(found: DataFrame, request: str, block: int = TURN_BLOCK) -> DataFrame:
@@ -337,7 +413,7 @@ def map_header(redaction_map: Column) -> Column:
     # The header's JSON escapes characters that matter in HTML.
     for raw, escaped in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e")):
         text = F.replace(text, F.lit(raw), F.lit(escaped))
-    return F.when(F.size(redaction_map) > 0, F.base64(F.encode(text, "UTF-8"))).otherwise(F.lit(""))
+    return F.when(F.size(redaction_map) > 0, F.translate(F.base64(F.encode(text, "UTF-8")), "\r\n", "")).otherwise(F.lit(""))
 
 
 def redact_bodies(
@@ -405,17 +481,23 @@ def redact_bodies(
 def pii_counts(redacted: DataFrame, team: str = "team_id") -> DataFrame:
     """Unique values redacted, by kind and team."""
     return (
-        redacted.select(team, F.explode("pii_counts").alias("pii_type", "n"))
+        redacted.select(team, F.explode_outer("pii_counts").alias("pii_type", "n"))
+        .filter(F.col("pii_type").isNotNull())
         .groupBy("pii_type", team)
         .agg(F.sum("n").cast("bigint").alias("redacted"))
     )
 
 
 def requests_with_pii(redacted: DataFrame, team: str = "team_id") -> DataFrame:
+    # Counted first and filtered after: a filter on the redacted rows would
+    # redact them a second time.
     return (
-        redacted.filter(F.col("unique_tokens") > 0)
-        .groupBy(team)
-        .agg(F.count("*").alias("requests"), F.sum("unique_tokens").cast("bigint").alias("unique_tokens"))
+        redacted.groupBy(team)
+        .agg(
+            F.count_if(F.col("unique_tokens") > 0).alias("requests"),
+            F.sum("unique_tokens").cast("bigint").alias("unique_tokens"),
+        )
+        .filter(F.col("requests") > 0)
     )
 
 
