@@ -670,11 +670,12 @@ _add("rate_limit_exact", _LIMIT, "gateway_events")
 _add("stream_rate_limit", _LIMIT, "gateway_events")
 _TTL = """, ev AS (SELECT team_id, sha256(prompt_text) AS h, epoch_us(created_at) AS us FROM gateway_events),
     d AS (SELECT DISTINCT * FROM ev),
-    nx AS (SELECT a.team_id, a.h, a.us, b.us AS next FROM d a ASOF JOIN d b
-      ON a.team_id = b.team_id AND a.h = b.h AND a.us + 86400000000 <= b.us),
+    nx AS (SELECT *, min(us) OVER (PARTITION BY team_id, h ORDER BY us
+      RANGE BETWEEN 86400000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM d),
     r AS (SELECT team_id, h, min(us) AS us FROM ev GROUP BY ALL
       UNION ALL
-      SELECT nx.team_id, nx.h, nx.next FROM r JOIN nx ON r.team_id = nx.team_id AND r.h = nx.h AND r.us = nx.us),
+      SELECT nx.team_id, nx.h, nx.next FROM r JOIN nx ON r.team_id = nx.team_id AND r.h = nx.h AND r.us = nx.us
+      WHERE nx.next IS NOT NULL),
     n AS (SELECT team_id, h, count(*) AS requests FROM ev GROUP BY ALL),
     s AS (SELECT team_id, h, count(*) AS sets FROM r GROUP BY ALL),
     t AS (SELECT team_id, count(*) AS prompts, sum(requests)::BIGINT AS requests, sum(sets)::BIGINT AS sets,

@@ -843,14 +843,11 @@ def flow_inputs(spark, folder):
     """Requests, a cache of what the opening turns asked, and the replies."""
     prepared = request_flow.prepare(W.bodies(spark, folder, "conv_turns"))
     turns = W.table(spark, folder, "conversations")
-    docs = W.view(spark, folder, "prompts")
-    entries = request_flow.with_embeddings(
-        docs.groupBy(F.sha2("prompt_text", 256).alias("prompt_hash")).agg(F.min("prompt_text").alias("prompt_text"))
-    )
-    table = entries.select(
-        F.col("prompt_hash").alias("id"),
+    prompts = W.view(spark, folder, "prompts")
+    table = request_flow.prompt_vectors(prompts).select(
+        F.col("text_hash").alias("id"),
         F.lit("default").alias("team_id"),
-        "prompt_hash",
+        F.col("text_hash").alias("prompt_hash"),
         "embedding",
         F.lit("groq/gpt-oss-20b").alias("model_used"),
         F.lit("0.00012500").cast("decimal(10,8)").alias("cost_usd"),

@@ -72,8 +72,9 @@ def summary(usage: DataFrame, days: int) -> DataFrame:
         "team_id",
         *keys,
     ).agg(
-        F.sum("cost").alias("cost_usd"),
-        F.sum("saved").alias("savings_usd"),
+        # Stated types: at full width a difference would lose its last digit.
+        F.sum("cost").cast("decimal(28,8)").alias("cost_usd"),
+        F.sum("saved").cast("decimal(28,8)").alias("savings_usd"),
         F.grouping_id().alias("gid"),
     )
     # Bits of the grouping id: team, model, feature, day (set when rolled up).

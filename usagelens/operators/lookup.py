@@ -20,30 +20,36 @@ def exact(queries: DataFrame, cache: DataFrame) -> DataFrame:
 def two_layer(
     queries: DataFrame,
     cache: DataFrame,
-    query_id: str = "query_id",
     hit_at: float = HIT_AT,
     near_at: float = NEAR_AT,
     cells: Cells | None = None,
     text: str = "prompt_text",
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Exact match first, then nearest neighbour for the prompts left over.
 
     Every distinct (team, prompt) is looked up once, however often it was sent.
-    A similarity below ``near_at`` is a clear miss and is not reported.
+    A similarity below ``near_at`` is a clear miss and is not reported. Vectors
+    come from the queries' ``embedding`` or, keyed by ``text_hash``, from a table.
     """
     asked = queries.withColumn("prompt_hash", prompt_hash(F.col(text)))
-    prompts = asked.groupBy(*KEY).agg(F.any_value("embedding").alias("embedding"))
-    keyed = prompts.withColumn("query_key", F.concat_ws(":", *KEY))
+    keyed = asked.select(*KEY).distinct().withColumn("query_key", F.concat_ws(":", *KEY))
     first = exact(keyed, cache)
     open_ = first.filter(F.col("cache_id").isNull()).drop("cache_id")
+    if vectors is None:
+        # Same text, same vector: one per prompt is enough.
+        own = asked.groupBy(*KEY).agg(F.any_value("embedding").alias("embedding"))
+        open_ = open_.join(own, KEY)
+    else:
+        known = vectors.select(F.col("text_hash").alias("prompt_hash"), "embedding")
+        open_ = open_.join(known, "prompt_hash")
     second = nearest(open_, cache, "query_key", "id", floor=near_at, cells=cells).select(
         "query_key", F.col("cache_id").alias("_near_id"), F.col("similarity").alias("_near")
     )
     is_exact = F.col("cache_id").isNotNull()
     similarity = F.when(is_exact, F.lit(1.0)).otherwise(F.col("_near"))
     found = (
-        first.drop("embedding")
-        .join(second, "query_key", "left")
+        first.join(second, "query_key", "left")
         .withColumn("similarity", similarity)
         .withColumn("layer", F.when(is_exact, F.lit("exact_hash")).when(F.col("_near") >= hit_at, F.lit("semantic")))
         .withColumn("outcome", outcome(F.col("similarity"), hit_at, near_at))
@@ -63,7 +69,7 @@ def two_layer(
         .withColumn("cached_model", F.when(is_hit, F.col("cached_model")))
         .withColumn("cached_cost", F.when(is_hit, F.col("cached_cost")))
     )
-    rows = asked.drop("embedding")
+    rows = asked.drop("embedding") if vectors is None else asked
     # One row per prompt on the right; a prompt sent very often makes a heavy
     # partition on the left, which adaptive execution splits.
     return rows.join(found, KEY, "left")

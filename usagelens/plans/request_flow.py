@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from usagelens.functions.pii import DEFAULT_PATTERNS
-from usagelens.functions.pricing import provider_of, with_cost
+from usagelens.functions.pricing import ROUTES, provider_of, routed_model, with_cost
 from usagelens.functions.text import byte_tokens
 from usagelens.operators import lookup, redact, routing
 from usagelens.operators.embedding import Embedder, embed, word_buckets
 from usagelens.operators.nearest import Cells
+from usagelens.session import cut_lineage
 from usagelens.sources import requests as R
 
 
@@ -20,13 +21,14 @@ def prepare(bodies: DataFrame, pats=DEFAULT_PATTERNS) -> DataFrame:
     return clean.withColumn("prompt_text", R.first_user_message(F.col("messages")))
 
 
-def with_embeddings(
+def prompt_vectors(
     prompts: DataFrame, embedder: Embedder = word_buckets, text: str = "prompt_text"
 ) -> DataFrame:
-    """Attach a vector to each row, embedding every distinct text once."""
-    hashed = prompts.withColumn("text_hash", F.sha2(F.col(text), 256))
-    once = hashed.groupBy("text_hash").agg(F.any_value(text).alias("text"))
-    return hashed.join(embed(once, embedder), "text_hash", "left").drop("text_hash")
+    """(text_hash, embedding) of every distinct text, each embedded once."""
+    once = prompts.groupBy(F.sha2(F.col(text), 256).alias("text_hash")).agg(
+        F.any_value(text).alias("text")
+    )
+    return embed(once, embedder)
 
 
 def usage_rows(
@@ -43,11 +45,13 @@ def usage_rows(
     and ``latency_ms``; a request without a reply failed and leaves no row. A
     cache hit costs what the cached entry cost and no tokens.
     """
-    asked = with_embeddings(
-        prepared.select(request, "created_at", "team_id", "feature_tag", "model_override", "prompt_text"),
-        embedder,
+    # Redacted prompts feed the lookup, the embedder and the result: they are
+    # stored once in the shared folder rather than redacted for each.
+    asked = cut_lineage(
+        prepared.select(request, "created_at", "team_id", "feature_tag", "model_override", "prompt_text")
     )
-    seen = lookup.two_layer(asked, cache, request, cells=cells)
+    vectors = prompt_vectors(asked, embedder)
+    seen = lookup.two_layer(asked, cache, cells=cells, vectors=vectors)
     hit = F.col("outcome") == "hit"
     routed = routing.routed(routing.classified(seen))
     answered = routed.join(responses, request, "left").filter(hit | F.col("response_json").isNotNull())
@@ -77,16 +81,14 @@ def usage_rows(
 def routing_savings(
     usage: DataFrame,
     baseline: str,
-    routes=None,
+    routes=ROUTES,
 ) -> DataFrame:
     """Cost of the same traffic on one model, routed, and routed with the cache.
 
     Every policy is priced in the row, so nothing is multiplied.
     """
-    from usagelens.functions.pricing import ROUTES, routed_model
-
     rows = usage.withColumn("_base", F.lit(baseline)).withColumn(
-        "_routed", routed_model(F.col("complexity"), routes or ROUTES)
+        "_routed", routed_model(F.col("complexity"), routes)
     )
     rows = with_cost(rows, model="_base", out="_base_cost")
     rows = with_cost(rows, model="_routed", out="_routed_cost")
