@@ -596,7 +596,7 @@ def _probes(spark, folder):
 
 
 def _pivots(cache):
-    vectors = nearest.units(cache, "id")
+    vectors = nearest.keyed_vectors(cache, "id")
     return nearest.build_cells(vectors, "id", nearest.choose_pivots(vectors, "id", CELLS))
 
 
@@ -653,7 +653,7 @@ def cache_quality(spark, folder):
 @query
 def semantic_lookup_ivf(spark, folder):
     cache = _cache(spark, folder)
-    vectors = nearest.units(cache, "id")
+    vectors = nearest.keyed_vectors(cache, "id")
     cells = nearest.build_cells(vectors, "id", nearest.trained_pivots(vectors, 16))
     found = nearest.nearest_approximate(_probes(spark, folder), cache, cells, PROBED)
     return found.select("query_id", "cache_id", F.round("similarity", 6).alias("similarity"))
@@ -873,7 +873,7 @@ def flow_inputs(spark, folder):
 @query
 def request_usage_rows(spark, folder):
     prepared, cache, replies = flow_inputs(spark, folder)
-    vectors = nearest.units(cache, "id")
+    vectors = nearest.keyed_vectors(cache, "id")
     cells = nearest.build_cells(vectors, "id", nearest.choose_pivots(vectors, "id", CELLS))
     out = request_flow.usage_rows(prepared, cache, replies, cells=cells)
     return _money(out).withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))

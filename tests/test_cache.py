@@ -72,7 +72,7 @@ def test_nearest_is_exact(vectors, block_rows):
 @pytest.mark.parametrize("floor", [0.85, 0.97])
 def test_skipping_cells_loses_nothing(vectors, floor):
     cache, probes, c, p = vectors
-    u = nearest.units(cache, "id")
+    u = nearest.keyed_vectors(cache, "id")
     cells = nearest.build_cells(u, "id", nearest.choose_pivots(u, "id", 6))
     got = nearest.nearest(probes, cache, floor=floor, cells=cells, block_rows=32)
     same(found(got), brute(c, p, floor))
@@ -80,7 +80,7 @@ def test_skipping_cells_loses_nothing(vectors, floor):
 
 def test_inverted_lists_find_most_and_all_lists_find_all(vectors):
     cache, probes, c, p = vectors
-    u = nearest.units(cache, "id")
+    u = nearest.keyed_vectors(cache, "id")
     cells = nearest.build_cells(u, "id", nearest.trained_pivots(u, 6))
     want = brute(c, p)
     few = found(nearest.nearest_approximate(probes, cache, cells, probes=2))
@@ -91,7 +91,7 @@ def test_inverted_lists_find_most_and_all_lists_find_all(vectors):
 def test_ivf_recall_on_the_sample(spark):
     folder = "/root/testdata/sf0.01"
     cache, probes = W.view(spark, folder, "prompt_cache"), W.view(spark, folder, "probes")
-    u = nearest.units(cache, "id")
+    u = nearest.keyed_vectors(cache, "id")
     cells = nearest.build_cells(u, "id", nearest.trained_pivots(u, 16))
     exact = found(nearest.nearest(probes, cache))
     got = found(nearest.nearest_approximate(probes, cache, cells, probes=4))

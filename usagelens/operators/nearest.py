@@ -15,11 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from usagelens.functions.vectors import unit
-
 BLOCK_ROWS = 4096
 # Similarities closer than this count as ties, which the lowest id wins.
 TIE_DIGITS = 9
+NO_MATCH = -2.0
 
 
 @dataclass(frozen=True)
@@ -30,34 +29,46 @@ class Cells:
     radius: np.ndarray
 
 
-def units(df: DataFrame, key: str, embedding: str = "embedding") -> DataFrame:
-    """(key, team, unit vector); rows without a direction cannot match."""
-    return df.select(key, "team_id", unit(F.col(embedding)).alias("u")).filter(
-        F.col("u").isNotNull()
-    )
+def keyed_vectors(df: DataFrame, key: str, embedding: str = "embedding") -> DataFrame:
+    """(key, team, vector) in the width it is stored in; tasks scale it."""
+    return df.select(key, "team_id", F.col(embedding).alias("u")).filter(F.col("u").isNotNull())
 
 
 def _matrix(column) -> np.ndarray:
+    """Rows of unit length; a zero vector has no direction and stays zero."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    rows = flat.reshape(len(column), -1)
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(length == 0, 1.0, length)
 
 
 def choose_pivots(vectors: DataFrame, key: str, count: int) -> np.ndarray:
     """A fixed choice of ``count`` members, by hash of their id."""
     rows = vectors.orderBy(F.xxhash64(key), key).limit(count).select("u").collect()
-    return np.array([r["u"] for r in rows], dtype=float)
+    pivots = np.array([r["u"] for r in rows], dtype=float)
+    length = np.linalg.norm(pivots, axis=1, keepdims=True)
+    return pivots / np.where(length == 0, 1.0, length)
 
 
 def trained_pivots(vectors: DataFrame, count: int, seed: int = 7, rounds: int = 10) -> np.ndarray:
     """Centres of a k-means over the unit vectors."""
+    from pyspark import StorageLevel
     from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector
 
-    model = KMeans(
-        k=count, seed=seed, maxIter=rounds, featuresCol="v", initMode="random"
-    ).fit(vectors.select(array_to_vector("u").alias("v")))
+    raw = vectors.select(array_to_vector(F.col("u").cast("array<double>")).alias("raw"))
+    points = Normalizer(inputCol="raw", outputCol="v").transform(raw).select("v")
+    # Every round reads the points again.
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = KMeans(
+            k=count, seed=seed, maxIter=rounds, featuresCol="v", initMode="random"
+        ).fit(points)
+    finally:
+        points.unpersist()
     centres = np.array(model.clusterCenters())
     return centres / np.linalg.norm(centres, axis=1, keepdims=True)
 
@@ -126,7 +137,7 @@ def _possible(cells: Cells, floor: float):
 def _closest(cells: Cells, probes: int):
     def pick(q: np.ndarray):
         sims = q @ cells.pivots.T
-        sims[:, cells.radius < 0] = -2.0
+        sims[:, cells.radius < 0] = NO_MATCH
         n = min(probes, sims.shape[1])
         cell = np.argpartition(-sims, n - 1, axis=1)[:, :n]
         return np.repeat(np.arange(len(q)), n), cell.ravel()
@@ -163,14 +174,19 @@ def _best_in_blocks(
     def best(q: pa.Table, c: pa.Table) -> pa.Table:
         if q.num_rows == 0 or c.num_rows == 0:
             return pa.table({query_id: q[query_id].slice(0, 0), "similarity": pa.array([], pa.float64()), "cache_id": c["cache_id"].slice(0, 0)})
+        # In id order, so the first of equal matches is the lowest id.
         c = c.sort_by("cache_id")
-        sims = np.round(_matrix(q["u"]) @ _matrix(c["u"]).T, TIE_DIGITS)
+        left, right = _matrix(q["u"]), _matrix(c["u"])
+        sims = np.round(left @ right.T, TIE_DIGITS)
+        sims[:, ~right.any(axis=1)] = NO_MATCH
         at = sims.argmax(axis=1)
+        top = sims[np.arange(len(at)), at]
+        keep = np.nonzero(left.any(axis=1) & (top > NO_MATCH))[0]
         return pa.table(
             {
-                query_id: q[query_id],
-                "similarity": pa.array(sims[np.arange(len(at)), at]),
-                "cache_id": c["cache_id"].take(pa.array(at)),
+                query_id: q[query_id].take(pa.array(keep)),
+                "similarity": pa.array(top[keep]),
+                "cache_id": c["cache_id"].take(pa.array(at[keep])),
             }
         )
 
@@ -202,7 +218,7 @@ def nearest(
     query lies at most its cell's radius from the pivot, so the pivot is within
     the sum of the two. The skipping loses nothing.
     """
-    q, c = units(queries, query_id), units(cache, cache_id)
+    q, c = keyed_vectors(queries, query_id), keyed_vectors(cache, cache_id)
     if cells is not None and floor is not None:
         c = _to_cells(c, cache_id, cells.pivots).drop("angle")
         q = _routes(q, _possible(cells, floor))
@@ -222,6 +238,6 @@ def nearest_approximate(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Nearest entry among the ``probes`` closest inverted lists."""
-    c = _to_cells(units(cache, cache_id), cache_id, cells.pivots).drop("angle")
-    q = _routes(units(queries, query_id), _closest(cells, probes))
+    c = _to_cells(keyed_vectors(cache, cache_id), cache_id, cells.pivots).drop("angle")
+    q = _routes(keyed_vectors(queries, query_id), _closest(cells, probes))
     return _best_in_blocks(q, c, query_id, cache_id, block_rows)

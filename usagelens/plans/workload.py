@@ -156,11 +156,21 @@ VIEWS = {
     "prompt_cache": PROMPT_CACHE,
     "probes": PROBES_SPARK,
 }
+# Tables whose rows cost much more to work on than to move.
+_SPREAD = ("documents", "conversations")
 _BASE = ("events", "documents", "conversations", "embeddings")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    """A sample table; texts in fewer pieces than there are cores are spread out.
+
+    A table of many files has many pieces and is read as it is.
+    """
+    df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _SPREAD and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def derive(spark: SparkSession, name: str, **tables: DataFrame) -> DataFrame:
