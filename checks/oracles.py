@@ -478,6 +478,16 @@ _usage(
     "metric_histogram_quantile",
     f", {_HIST}, {_QUANTILE.format(k=_LABELS)} SELECT {_LABELS}, round(quantile, 4) AS quantile FROM qt",
 )
+for _name, _label, _bounds in (
+    ("metric_lookup_latency", f"{_SERVED} AS type", (1, 2, 5, 10, 25, 50, 100, 250, 500)),
+    ("metric_embedding_latency", "cache_hit", (10, 25, 50, 100, 200, 500, 1000)),
+):
+    _values = ", ".join(f"({b}::DOUBLE)" for b in (*_bounds, -1))
+    _usage(
+        _name,
+        f"""SELECT {_label}, le, count(*) FILTER (latency_ms <= le OR le < 0) AS cumulative,
+        sum(latency_ms)::BIGINT AS sum, count(*) AS count FROM u CROSS JOIN (VALUES {_values}) AS b(le) GROUP BY ALL""",
+    )
 _add(
     "metric_proxy_status",
     "SELECT method, status, count(*) AS value FROM gateway_events GROUP BY ALL",
@@ -727,6 +737,43 @@ _add(
 
 # ---- end to end
 
+ORACLES["request_usage_rows"] = f"""
+WITH conv_turns AS ({W.CONV_TURNS}), cached AS ({W.PROMPTS}), {_request_passes()},
+prompts AS (SELECT conv_id AS request_id,
+    CASE conv_id % 4 WHEN 0 THEN 'team-alpha' WHEN 1 THEN 'team-beta' WHEN 2 THEN 'team-gamma'
+      ELSE 'default' END AS team_id,
+    CASE WHEN conv_id % 5 = 0 THEN 'untagged' ELSE 'chat' END AS feature_tag,
+    CASE WHEN conv_id % 6 = 0 THEN 'openai/gpt-4o' ELSE '' END AS model_override,
+    arg_min(t, turn) FILTER (role = 'user') AS prompt_text
+  FROM z7 WHERE conv_id % 13 <> 0 GROUP BY conv_id
+  HAVING coalesce(arg_min(t, turn) FILTER (role = 'user'), '') <> ''),
+{_CLASS}, {_PRICE},
+src AS (SELECT sha256(prompt_text) AS h, min(prompt_text) AS text
+  FROM (SELECT prompt_text FROM cached UNION ALL SELECT prompt_text FROM prompts WHERE team_id = 'default')
+  GROUP BY ALL),
+{_BUCKETS}, x AS (SELECT w.h, b, ((n / norm)::FLOAT)::DOUBLE AS v FROM w JOIN nrm ON nrm.h = w.h),
+len AS (SELECT h, sqrt(sum(v * v)) AS l FROM x GROUP BY h),
+keys AS (SELECT DISTINCT sha256(prompt_text) AS h FROM cached),
+sims AS (SELECT q.h AS qh, c.h AS ch, sum(q.v * c.v) / (any_value(lq.l) * any_value(lc.l)) AS sim
+  FROM x q JOIN x c ON c.b = q.b JOIN keys ON keys.h = c.h
+  JOIN (SELECT DISTINCT sha256(prompt_text) AS h FROM prompts WHERE team_id = 'default') a ON a.h = q.h
+  JOIN len lq ON lq.h = q.h JOIN len lc ON lc.h = c.h GROUP BY q.h, c.h),
+hits AS (SELECT qh AS h FROM sims GROUP BY qh HAVING round(max(sim), 9) >= 0.92
+  UNION SELECT h FROM keys),
+replies AS (SELECT conv_id, arg_min(text, turn) AS reply FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+o AS (SELECT routed.*, team_id = 'default' AND sha256(prompt_text) IN (SELECT h FROM hits) AS hit, reply
+  FROM routed LEFT JOIN replies ON conv_id = request_id),
+p AS (SELECT *, CASE WHEN hit THEN 'groq/gpt-oss-20b' ELSE model END AS used, strlen(reply) // 4 AS out_bytes
+  FROM o WHERE hit OR reply IS NOT NULL)
+SELECT request_id AS id, {_at('1704067200 + request_id * 600')} AS created_at, team_id, feature_tag,
+  used AS model_used, CASE WHEN hit THEN 'groq' ELSE provider END AS provider,
+  CASE WHEN hit THEN 0 ELSE bytes END::INT AS input_tokens,
+  CASE WHEN hit THEN 0 ELSE out_bytes END::INT AS output_tokens,
+  CASE WHEN hit THEN 0.000125 ELSE {_priced('bytes', 'out_bytes')} END::DOUBLE AS cost_usd,
+  CASE WHEN reply IS NULL THEN 0 ELSE 200 + request_id % 1000 END::INT AS latency_ms,
+  hit AS cache_hit, complexity
+FROM p LEFT JOIN price ON pm = model
+"""
 _add(
     "routing_whatif",
     f""", {_PRICE}, x AS (SELECT t.*, CASE complexity WHEN 'simple' THEN 'groq/gpt-oss-20b'

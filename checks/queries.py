@@ -543,11 +543,25 @@ def metric_tokens(spark, folder):
     return metrics.tokens_total(_usage(spark, folder))
 
 
+def _bounded(df):
+    # Infinity does not compare across engines.
+    return df.withColumn("le", F.when(F.col("le") == metrics.INF, F.lit(-1.0)).otherwise(F.col("le")))
+
+
 @query
 def metric_latency_histogram(spark, folder):
-    out = metrics.request_latency(_usage(spark, folder))
-    # Infinity does not compare across engines.
-    return out.withColumn("le", F.when(F.col("le") == metrics.INF, F.lit(-1.0)).otherwise(F.col("le")))
+    return _bounded(metrics.request_latency(_usage(spark, folder)))
+
+
+@query
+def metric_lookup_latency(spark, folder):
+    served = F.when(F.col("cache_hit"), F.lit("hit")).otherwise(F.lit("miss"))
+    return _bounded(metrics.lookup_latency(_usage(spark, folder).withColumn("type", served)))
+
+
+@query
+def metric_embedding_latency(spark, folder):
+    return _bounded(metrics.embedding_latency(_usage(spark, folder)))
 
 
 @query

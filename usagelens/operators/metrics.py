@@ -85,6 +85,16 @@ def request_latency(usage: DataFrame) -> DataFrame:
     return histogram(usage, "latency_ms", ["model_used", "cache_hit", "complexity"])
 
 
+def lookup_latency(lookups: DataFrame) -> DataFrame:
+    """Of a log that times its lookups, per ``type`` of lookup."""
+    return histogram(lookups, "latency_ms", ["type"], LOOKUP_BUCKETS)
+
+
+def embedding_latency(calls: DataFrame) -> DataFrame:
+    """Of a log that times its embedding calls, per ``cache_hit``."""
+    return histogram(calls, "latency_ms", ["cache_hit"], EMBEDDING_BUCKETS)
+
+
 def histogram_quantile(
     buckets: DataFrame, q: float, labels: Sequence[str], out: str = "quantile"
 ) -> DataFrame:

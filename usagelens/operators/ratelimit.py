@@ -47,7 +47,7 @@ def decide(
     team: str = "team_id",
     ts: str = "created_at",
     order_id: str = "event_id",
-    slice_seconds: int = 3600,
+    slice_seconds: int = 60,
 ) -> DataFrame:
     """Add ``allowed`` in (time, id) order within each team.
 

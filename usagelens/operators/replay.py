@@ -28,7 +28,7 @@ def _light(rows: DataFrame, ttl_us: int) -> DataFrame:
     return folded.select(*KEY, F.explode(F.aggregate("_times", start, step)).alias("_set"))
 
 
-def _heavy(rows: DataFrame, ttl_us: int) -> DataFrame:
+def _heavy(rows: DataFrame, ttl_us: int, ts: str) -> DataFrame:
     """The same for prompts of any size, one stretch of TTL length after another.
 
     Two settings are at least one TTL apart, so each stretch holds at most one
@@ -40,7 +40,11 @@ def _heavy(rows: DataFrame, ttl_us: int) -> DataFrame:
         return rows.select(*KEY, F.col("_us").alias("_set"))
     state, start = None, bounds["a"]
     while start <= bounds["b"]:
-        part = rows.filter((F.col("_us") >= start) & (F.col("_us") < start + ttl_us))
+        # On the stored column, so the stretch is cut out by the reader.
+        low, high = (F.timestamp_micros(F.lit(m)) for m in (start, start + ttl_us))
+        part = rows.filter((F.col(ts) >= low) & (F.col(ts) < high))
+        if "created_date" in rows.columns:
+            part = part.filter(F.col("created_date").between(F.to_date(low), F.to_date(high)))
         if state is None:
             state = part.groupBy(*KEY).agg(F.min("_us").alias("_last")).withColumn(
                 "_sets", F.array("_last")
@@ -71,14 +75,15 @@ def settings(
 ) -> DataFrame:
     """(team, prompt, moment) of every time an entry was set."""
     ttl_us = ttl_seconds * 1_000_000
-    rows = requests.select(*KEY, F.unix_micros(F.col(ts)).alias("_us"))
+    day = [c for c in ("created_date",) if c in requests.columns]
+    rows = requests.select(*KEY, ts, *day, F.unix_micros(F.col(ts)).alias("_us"))
     sizes = rows.groupBy(*KEY).agg(F.count("*").alias("_n"))
     # At most rows / heavy_rows prompts can be heavy.
     heavy = sizes.filter(F.col("_n") > heavy_rows).select(*KEY)
     if heavy.isEmpty():
         return _light(rows, ttl_us)
     few = _light(rows.join(heavy, KEY, "left_anti"), ttl_us)
-    many = _heavy(rows.join(heavy, KEY, "left_semi"), ttl_us)
+    many = _heavy(rows.join(heavy, KEY, "left_semi"), ttl_us, ts)
     return few.unionByName(many)
 
 
