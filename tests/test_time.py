@@ -188,3 +188,27 @@ def test_written_log_is_pruned_by_day(spark):
     assert kept.count() == 2
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(created_date" in plan
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    source = tmp_path / "in"
+    for day in (10, 20, 0):
+        log(spark, [(day * 86400, "t", "m", 1, True)]).coalesce(1).write.mode("append").parquet(str(source))
+    stream = run.file_stream(spark, str(source), USAGE_LOG, files_per_trigger=1)
+    query = (
+        SU.daily_cost(stream)
+        .writeStream.foreachBatch(lambda batch, _: batch.write.format("noop").mode("overwrite").save())
+        .option("checkpointLocation", scratch_path(spark, "state"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    assert SU.dropped_late(query) == 1
+
+
+def test_expiring_cache_stream(spark, tmp_path):
+    rows, df = requests(spark, [0, 10, 3600, 3700, 9000])
+    df.coalesce(1).write.mode("append").parquet(str(tmp_path))
+    stream = run.file_stream(spark, str(tmp_path), df.schema)
+    got = {r["event_id"]: r["kind"] for r in run.drain(stateful.expiring_cache(stream, 3600)).collect()}
+    assert got == {0: "set", 1: "hit", 2: "renewed", 3: "hit", 4: "renewed"}

@@ -97,24 +97,21 @@ def with_cost(
         priced = df.withColumn("_price", known)
         rate_in, rate_out = F.col("_price.i"), F.col("_price.o")
     else:
-        spare = prices.filter(F.col("model") == fallback).agg(
-            F.first("input_per_1m").alias("_si"), F.first("output_per_1m").alias("_so")
-        )
         known = prices.select(
             F.col("model").alias("_m"),
             F.col("input_per_1m").alias("_i"),
             F.col("output_per_1m").alias("_o"),
         )
-        # One row by construction, so attaching it copies nothing.
-        priced = df.join(known, F.col(model) == F.col("_m"), "left").join(
-            F.broadcast(spare), F.lit(True), "left"
-        )
-        rate_in, rate_out = (
-            F.coalesce("_i", "_si", F.lit(0).cast("decimal(12,6)")),
-            F.coalesce("_o", "_so", F.lit(0).cast("decimal(12,6)")),
-        )
+        spare = prices.filter(F.col("model") == fallback)
+        # The fallback's two numbers are looked up once, as scalar subqueries.
+        spare_in = spare.agg(F.first("input_per_1m")).scalar()
+        spare_out = spare.agg(F.first("output_per_1m")).scalar()
+        none = F.lit(0).cast("decimal(12,6)")
+        priced = df.join(known, F.col(model) == F.col("_m"), "left")
+        rate_in = F.coalesce("_i", spare_in, none)
+        rate_out = F.coalesce("_o", spare_out, none)
     total = cost(F.col(tokens_in), F.col(tokens_out), rate_in, rate_out)
-    return priced.withColumn(out, total).drop("_price", "_m", "_i", "_o", "_si", "_so")
+    return priced.withColumn(out, total).drop("_price", "_m", "_i", "_o")
 
 
 def _rate(value: str) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from usagelens.functions.text import prompt_hash
-from usagelens.sources.prompt_cache import KEY, entry_id, hit_counts, new_entries
-from usagelens.sources.requests import stored
+from usagelens.sources.prompt_cache import KEY, entry_id
 from usagelens.streaming.run import each_batch
 
 ENTRY = (
@@ -51,20 +51,25 @@ def fill(requests: DataFrame, folder: str, checkpoint: str) -> DataFrame:
 
     def work(batch: DataFrame, batch_id: int) -> None:
         known = entries_before(spark, folder, batch_id).select("id", *KEY)
-        asked = batch.withColumn("prompt_hash", prompt_hash(F.col("prompt_text")))
-        served = asked.join(known, KEY, "left")
-        hit_counts(served.filter(F.col("id").isNotNull()), "id").write.mode("overwrite").parquet(
-            f"{folder}/hits/batch_id={batch_id}"
-        )
-        answered = stored(served.filter(F.col("id").isNull()))
-        fresh = new_entries(
-            answered.select(*KEY, "prompt_text", "created_at", "event_id"),
-            known,
-            ["created_at", "event_id"],
-        )
-        fresh.withColumn("id", entry_id()).write.mode("overwrite").parquet(
-            f"{folder}/entries/batch_id={batch_id}"
+        ok = F.col("status").between(200, 299)
+        first = F.struct("created_at", "event_id", "prompt_text")
+        # One row per prompt before the cache is read, however often it was sent.
+        asked = (
+            batch.withColumn("prompt_hash", prompt_hash(F.col("prompt_text")))
+            .groupBy(*KEY)
+            .agg(F.count("*").alias("new_hits"), F.min(F.when(ok, first)).alias("_first"))
+            .join(known, KEY, "left")
+            .persist(StorageLevel.MEMORY_AND_DISK)
         )
+        try:
+            hits = asked.filter(F.col("id").isNotNull()).select("id", "new_hits")
+            hits.write.mode("overwrite").parquet(f"{folder}/hits/batch_id={batch_id}")
+            fresh = asked.filter(F.col("id").isNull() & F.col("_first").isNotNull())
+            fresh.select(*KEY, "_first.*").withColumn("id", entry_id()).write.mode(
+                "overwrite"
+            ).parquet(f"{folder}/entries/batch_id={batch_id}")
+        finally:
+            asked.unpersist()
 
     each_batch(requests, work, checkpoint)
     return cache_table(spark, folder)
