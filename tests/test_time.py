@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from usagelens.operators import alerts, costs, metrics, ratelimit, replay, reports
 from usagelens.schemas import USAGE_LOG
-from usagelens.session import scratch_path
+from usagelens.session import conf, scratch_path
 from usagelens.sources import usage_log as U
 from usagelens.streaming import run, stateful, usage as SU
 
@@ -44,6 +44,16 @@ def test_rate_limit_is_the_same_however_it_is_cut(spark, slice_seconds):
     assert got == want and len(set(want.values())) == 2
 
 
+def test_steady_light_traffic_is_cut_into_pieces(spark):
+    # Never a pause long enough to fill the bucket, yet it is full most of the time.
+    rows, df = requests(spark, [i * 0.9 for i in range(300)])
+    with conf(spark, spark__sql__adaptive__enabled="false"):
+        out = ratelimit.decide(df, 2.0, 5, slice_seconds=20).withColumn("part", F.spark_partition_id())
+        got = out.collect()
+    assert {r["event_id"]: r["allowed"] for r in got} == bucket_by_hand(rows, 2.0, 5)
+    assert len({r["part"] for r in got}) > 1
+
+
 def test_rate_limit_values():
     with pytest.raises(ValueError):
         ratelimit.check_limits(0, 20)

@@ -51,29 +51,42 @@ def decide(
 ) -> DataFrame:
     """Add ``allowed`` in (time, id) order within each team.
 
-    A pause of ``burst / rate`` seconds fills any bucket, so what follows does
-    not depend on what came before. Each team's requests are cut at such pauses,
-    at most once per time slice, and the pieces are decided side by side. A task
-    reads its piece in order and keeps one bucket, never the piece.
+    Where a bucket is sure to be full, what follows does not depend on what came
+    before. Each team's requests are cut at such moments, at most once per time
+    slice, and the pieces are decided side by side. A task reads its piece in
+    order and keeps one bucket, never the piece.
+
+    A moment is sure when even a bucket that was empty at the start of the slice
+    and paid for every request since would be full. That lowest level is a sum of
+    refills and payments held at zero from below, so it is the running sum minus
+    its running minimum.
     """
     check_limits(rate, burst)
-    full_after = burst / rate * 1e6
+    # A hair above full, against rounding in the running sums.
+    sure = burst + 1e-6
+    refill = F.lit(rate / 1e6)
     rows = requests.withColumn("_us", F.unix_micros(F.col(ts))).withColumn(
         "_slice", F.floor(F.col("_us") / F.lit(slice_seconds * 1_000_000)).cast("bigint")
     )
     within = Window.partitionBy(team, "_slice").orderBy("_us", order_id)
-    gaps = rows.select(team, "_slice", "_us", order_id).withColumn(
-        "_gap", F.col("_us") - F.lag("_us").over(within)
+    so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lowest = rows.select(team, "_slice", "_us", order_id).withColumn(
+        "_sum", (F.col("_us") - F.first("_us").over(so_far)) * refill - F.row_number().over(within)
     )
-    slices = gaps.groupBy(team, "_slice").agg(
+    lowest = lowest.withColumn("_left", F.col("_sum") - F.min("_sum").over(so_far))
+    lowest = lowest.withColumn(
+        "_level",
+        F.lag("_left").over(within) + (F.col("_us") - F.lag("_us").over(within)) * refill,
+    )
+    slices = lowest.groupBy(team, "_slice").agg(
         F.min("_us").alias("_first"),
         F.max("_us").alias("_last"),
-        F.min(F.when(F.col("_gap") >= full_after, F.col("_us"))).alias("_inner"),
+        F.min(F.when(F.col("_level") >= sure, F.col("_us"))).alias("_inner"),
     )
     # One row per team and slice from here on.
     over = Window.partitionBy(team).orderBy("_slice")
     pause = F.col("_first") - F.lag("_last").over(over)
-    cut = F.when(F.coalesce(pause >= full_after, F.lit(True)), F.col("_first")).otherwise(
+    cut = F.when(F.coalesce(pause * refill >= sure, F.lit(True)), F.col("_first")).otherwise(
         F.col("_inner")
     )
     cuts = (
