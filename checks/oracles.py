@@ -104,16 +104,16 @@ _add(
     "request_log_ingest",
     f"""SELECT {_stamp('created_at')} AS time, 'req-' || event_id AS request_id, path, team_id,
     CASE WHEN event_id % 2 = 0 THEN 'chat' ELSE 'untagged' END AS feature_tag, '' AS model,
-    event_id % 900 AS latency_ms, status AS status_code FROM gateway_events""",
-    "gateway_events",
+    event_id % 900 AS latency_ms, status AS status_code FROM request_events""",
+    "request_events",
 )
 _add(
     "api_key_audit",
     """SELECT team_id, CASE WHEN api_key = '' THEN 'missing' ELSE 'invalid' END AS problem,
     CASE WHEN api_key = '' THEN '' ELSE substr(sha256(api_key), 1, 8) END AS key_sha256_prefix,
-    count(*) AS requests FROM gateway_events
+    count(*) AS requests FROM request_events
     WHERE path <> '/health' AND api_key NOT IN ('key-1', 'key-2', 'key-3', 'key-4') GROUP BY ALL""",
-    "gateway_events",
+    "request_events",
 )
 
 # ---- prompt features, routing, price
@@ -289,9 +289,9 @@ _docs(
 _add("redact_restore", "SELECT doc_id, text AS response FROM docs_pii", "docs_pii")
 _add(
     "redact_extra_pattern",
-    f""", {_passes(_ALL, 'gateway_events', 'event_id', 'prompt_text', [('QUESTION', 'question [0-9]+')])}
+    f""", {_passes(_ALL, 'request_events', 'event_id', 'prompt_text', [('QUESTION', 'question [0-9]+')])}
     SELECT event_id, t AS prompt_text, len(found)::INT AS unique_tokens FROM z8""",
-    "gateway_events",
+    "request_events",
 )
 _add(
     "luhn_valid",
@@ -490,13 +490,13 @@ for _name, _label, _bounds in (
     )
 _add(
     "metric_proxy_status",
-    "SELECT method, status, count(*) AS value FROM gateway_events GROUP BY ALL",
-    "gateway_events",
+    "SELECT method, status, count(*) AS value FROM request_events GROUP BY ALL",
+    "request_events",
 )
 _add(
     "metric_proxy_errors",
-    """SELECT error_type, count(*) AS value FROM gateway_events WHERE error_type IS NOT NULL GROUP BY ALL""",
-    "gateway_events",
+    """SELECT error_type, count(*) AS value FROM request_events WHERE error_type IS NOT NULL GROUP BY ALL""",
+    "request_events",
 )
 _add(
     "metric_embedding_requests",
@@ -603,11 +603,11 @@ _add(
 _add(
     "cache_insert_if_absent",
     """, r AS (SELECT team_id, sha256(prompt_text) AS prompt_hash,
-      arg_min(event_id, (created_at, event_id)) AS event_id FROM gateway_events WHERE status BETWEEN 200 AND 299
+      arg_min(event_id, (created_at, event_id)) AS event_id FROM request_events WHERE status BETWEEN 200 AND 299
       GROUP BY ALL)
     SELECT team_id, prompt_hash, event_id, sha256(team_id || ':' || prompt_hash) AS id FROM r
     WHERE NOT EXISTS (SELECT 1 FROM prompt_cache c WHERE c.team_id = r.team_id AND sha256(c.prompt_text) = r.prompt_hash)""",
-    "gateway_events",
+    "request_events",
     "prompt_cache",
 )
 
@@ -649,25 +649,25 @@ _usage(
 )
 _add(
     "alert_error_rate",
-    f""", p AS (SELECT error_type, {_SEC.format(n=1800)} - unnest([0, 1, 2, 3]) AS w FROM gateway_events
+    f""", p AS (SELECT error_type, {_SEC.format(n=1800)} - unnest([0, 1, 2, 3]) AS w FROM request_events
       WHERE error_type IS NOT NULL),
     b AS (SELECT error_type, w, w * 1800 + 7200 AS tick FROM p GROUP BY ALL HAVING count(*) / 7200.0 > 0.0008),
     i AS (SELECT *, w - row_number() OVER (PARTITION BY error_type ORDER BY w) AS run FROM b),
     r AS (SELECT error_type, min(tick) AS a, max(tick) AS z, count(*) AS samples FROM i GROUP BY error_type, run)
     SELECT error_type, {_at('a')} AS started_at, {_at('z')} AS ended_at, {_at('a + 3600')} AS fired_at, samples
     FROM r WHERE z - a >= 3600""",
-    "gateway_events",
+    "request_events",
 )
 _add(
     "rate_limit_audit",
     f"""SELECT team_id, {_at('h * 3600')} AS window_start, count(*) AS requests,
     round(count(*) - (0.001::DOUBLE * 3600 + 2), 4) AS excess
-    FROM (SELECT team_id, {_SEC.format(n=3600)} AS h FROM gateway_events)
+    FROM (SELECT team_id, {_SEC.format(n=3600)} AS h FROM request_events)
     GROUP BY team_id, h HAVING count(*) > 0.001::DOUBLE * 3600 + 2""",
-    "gateway_events",
+    "request_events",
 )
 _LIMIT = """, ev AS (SELECT team_id, event_id, epoch_us(created_at) AS us,
-      row_number() OVER (PARTITION BY team_id ORDER BY created_at, event_id) AS rn FROM gateway_events),
+      row_number() OVER (PARTITION BY team_id ORDER BY created_at, event_id) AS rn FROM request_events),
     r AS (SELECT team_id, event_id, rn, true AS allowed, 19.0::DOUBLE AS tokens, us AS last FROM ev WHERE rn = 1
       UNION ALL
       SELECT team_id, event_id, rn, ok, CASE WHEN ok THEN now - 1 ELSE tokens END, CASE WHEN ok THEN us ELSE last END
@@ -676,9 +676,9 @@ _LIMIT = """, ev AS (SELECT team_id, event_id, epoch_us(created_at) AS us,
           least(20.0::DOUBLE, r.tokens + (ev.us - r.last) * 0.001::DOUBLE / 1e6) AS now
         FROM r JOIN ev ON ev.team_id = r.team_id AND ev.rn = r.rn + 1)))
     SELECT event_id, team_id, allowed FROM r"""
-_add("rate_limit_exact", _LIMIT, "gateway_events")
-_add("stream_rate_limit", _LIMIT, "gateway_events")
-_TTL = """, ev AS (SELECT team_id, sha256(prompt_text) AS h, epoch_us(created_at) AS us FROM gateway_events),
+_add("rate_limit_exact", _LIMIT, "request_events")
+_add("stream_rate_limit", _LIMIT, "request_events")
+_TTL = """, ev AS (SELECT team_id, sha256(prompt_text) AS h, epoch_us(created_at) AS us FROM request_events),
     d AS (SELECT DISTINCT * FROM ev),
     nx AS (SELECT *, min(us) OVER (PARTITION BY team_id, h ORDER BY us
       RANGE BETWEEN 86400000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM d),
@@ -691,12 +691,12 @@ _TTL = """, ev AS (SELECT team_id, sha256(prompt_text) AS h, epoch_us(created_at
     t AS (SELECT team_id, count(*) AS prompts, sum(requests)::BIGINT AS requests, sum(sets)::BIGINT AS sets,
       sum(requests - sets)::BIGINT AS exact_hits, sum(sets - 1)::BIGINT AS renewals
       FROM n JOIN s USING (team_id, h) GROUP BY team_id)"""
-_add("ttl_exact_replay", f"{_TTL} SELECT * FROM t", "gateway_events")
+_add("ttl_exact_replay", f"{_TTL} SELECT * FROM t", "request_events")
 _add(
     "stream_ttl_cache",
     f"""{_TTL} SELECT team_id, unnest(['set', 'renewed', 'hit']) AS kind,
     unnest([prompts, renewals, exact_hits]) AS requests FROM t""",
-    "gateway_events",
+    "request_events",
 )
 
 # ---- streams
@@ -724,15 +724,15 @@ _add(
 )
 _add(
     "stream_dedup",
-    "SELECT DISTINCT team_id, sha256(prompt_text) AS prompt_hash FROM gateway_events",
-    "gateway_events",
+    "SELECT DISTINCT team_id, sha256(prompt_text) AS prompt_hash FROM request_events",
+    "request_events",
 )
 _add(
     "stream_cache_population",
     """SELECT sha256(team_id || ':' || sha256(prompt_text)) AS id, team_id, sha256(prompt_text) AS prompt_hash,
     arg_min(event_id, (created_at, event_id)) AS event_id, 0::BIGINT AS hit_count
-    FROM gateway_events WHERE status BETWEEN 200 AND 299 GROUP BY team_id, prompt_text""",
-    "gateway_events",
+    FROM request_events WHERE status BETWEEN 200 AND 299 GROUP BY team_id, prompt_text""",
+    "request_events",
 )
 
 # ---- end to end

@@ -130,7 +130,7 @@ def response_content(spark, folder):
 
 @query
 def request_log_ingest(spark, folder):
-    ev = W.view(spark, folder, "gateway_events")
+    ev = W.view(spark, folder, "request_events")
     line = F.to_json(
         F.struct(
             F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"),
@@ -149,7 +149,7 @@ def request_log_ingest(spark, folder):
 
 @query
 def api_key_audit(spark, folder):
-    ev = W.view(spark, folder, "gateway_events")
+    ev = W.view(spark, folder, "request_events")
     return routing.key_audit(ev, ["key-1", "key-2", "key-3", "key-4"])
 
 
@@ -351,7 +351,7 @@ EXTRA = pii.Pattern("question_no", "QUESTION", r"question [0-9]+")
 
 @query
 def redact_extra_pattern(spark, folder):
-    ev = W.view(spark, folder, "gateway_events")
+    ev = W.view(spark, folder, "request_events")
     out = redact.redact_column(ev, "prompt_text", pii.patterns(extra=[EXTRA]))
     return out.select("event_id", "prompt_text", "unique_tokens")
 
@@ -578,12 +578,12 @@ def metric_routes(spark, folder):
 
 @query
 def metric_proxy_status(spark, folder):
-    return metrics.proxy_requests_total(W.view(spark, folder, "gateway_events"))
+    return metrics.proxy_requests_total(W.view(spark, folder, "request_events"))
 
 
 @query
 def metric_proxy_errors(spark, folder):
-    return metrics.proxy_errors_total(W.view(spark, folder, "gateway_events"))
+    return metrics.proxy_errors_total(W.view(spark, folder, "request_events"))
 
 
 @query
@@ -611,7 +611,7 @@ def _probes(spark, folder):
 
 def _pivots(cache):
     vectors = nearest.keyed_vectors(cache, "id")
-    return nearest.build_cells(vectors, "id", nearest.choose_pivots(vectors, "id", CELLS))
+    return nearest.build_cells(vectors, nearest.choose_pivots(vectors, "id", CELLS))
 
 
 def _lookups(spark, folder):
@@ -668,7 +668,7 @@ def cache_quality(spark, folder):
 def semantic_lookup_ivf(spark, folder):
     cache = _cache(spark, folder)
     vectors = nearest.keyed_vectors(cache, "id")
-    cells = nearest.build_cells(vectors, "id", nearest.trained_pivots(vectors, 16))
+    cells = nearest.build_cells(vectors, nearest.trained_pivots(vectors, 16))
     found = nearest.nearest_approximate(_probes(spark, folder), cache, cells, PROBED)
     return found.select("query_id", "cache_id", F.round("similarity", 6).alias("similarity"))
 
@@ -692,7 +692,7 @@ def embed_pending(spark, folder):
 
 @query
 def cache_insert_if_absent(spark, folder):
-    ev = R.stored(W.view(spark, folder, "gateway_events"))
+    ev = R.stored(W.view(spark, folder, "request_events"))
     rows = ev.select("team_id", T.prompt_hash(F.col("prompt_text")).alias("prompt_hash"), "created_at", "event_id")
     cache = _cache(spark, folder).select("team_id", "prompt_hash")
     fresh = PC.new_entries(rows, cache, ["created_at", "event_id"])
@@ -736,7 +736,7 @@ def alert_high_latency(spark, folder):
 
 @query
 def alert_error_rate(spark, folder):
-    ev = W.view(spark, folder, "gateway_events")
+    ev = W.view(spark, folder, "request_events")
     out = alerts.high_error_rate(ev, window=7200, step=1800, above=0.0008, hold=3600)
     return out.select("error_type", _when("started_at"), _when("ended_at"), _when("fired_at"), "samples")
 
@@ -746,7 +746,7 @@ SLOW_RATE, SLOW_BURST = 0.001, 20
 
 @query
 def rate_limit_audit(spark, folder):
-    ev = W.view(spark, folder, "gateway_events")
+    ev = W.view(spark, folder, "request_events")
     out = ratelimit.audit(ev, SLOW_RATE, 2, seconds=3600)
     return out.select(
         "team_id", _when("window_start"), "requests", F.round("excess", 4).alias("excess")
@@ -755,14 +755,14 @@ def rate_limit_audit(spark, folder):
 
 @query
 def rate_limit_exact(spark, folder):
-    ev = W.view(spark, folder, "gateway_events").select("team_id", "event_id", "created_at")
+    ev = W.view(spark, folder, "request_events").select("team_id", "event_id", "created_at")
     out = ratelimit.decide(ev, SLOW_RATE, SLOW_BURST, slice_seconds=86400)
     return out.select("event_id", "team_id", "allowed")
 
 
 @query
 def ttl_exact_replay(spark, folder):
-    return replay.replay(W.view(spark, folder, "gateway_events"))
+    return replay.replay(W.view(spark, folder, "request_events"))
 
 
 # ---- streams
@@ -826,26 +826,26 @@ def stream_redact(spark, folder):
 
 @_streaming
 def stream_dedup(spark, folder):
-    seen = SU.first_sightings(_event_stream(spark, folder, "gateway_events"), "90 days")
+    seen = SU.first_sightings(_event_stream(spark, folder, "request_events"), "90 days")
     return run.drain(seen.select("team_id", "prompt_hash"))
 
 
 @_streaming
 def stream_rate_limit(spark, folder):
-    ev = _event_stream(spark, folder, "gateway_events")
+    ev = _event_stream(spark, folder, "request_events")
     return run.drain(stateful.rate_limited(ev, SLOW_RATE, SLOW_BURST))
 
 
 @_streaming
 def stream_ttl_cache(spark, folder):
-    return run.drain(stateful.expiring_cache(_event_stream(spark, folder, "gateway_events"))).groupBy(
+    return run.drain(stateful.expiring_cache(_event_stream(spark, folder, "request_events"))).groupBy(
         "team_id", "kind"
     ).agg(F.count("*").alias("requests"))
 
 
 @_streaming
 def stream_cache_population(spark, folder):
-    ev = _event_stream(spark, folder, "gateway_events")
+    ev = _event_stream(spark, folder, "request_events")
     out = cache_fill.fill(ev, scratch_path(spark, "cache"), scratch_path(spark, "state"))
     return out.select("id", "team_id", "prompt_hash", "event_id", "hit_count")
 
@@ -888,7 +888,7 @@ def flow_inputs(spark, folder):
 def request_usage_rows(spark, folder):
     prepared, cache, replies = flow_inputs(spark, folder)
     vectors = nearest.keyed_vectors(cache, "id")
-    cells = nearest.build_cells(vectors, "id", nearest.choose_pivots(vectors, "id", CELLS))
+    cells = nearest.build_cells(vectors, nearest.choose_pivots(vectors, "id", CELLS))
     out = request_flow.usage_rows(prepared, cache, replies, cells=cells)
     return _money(out).withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
 

@@ -73,7 +73,7 @@ def test_nearest_is_exact(vectors, block_rows):
 def test_skipping_cells_loses_nothing(vectors, floor):
     cache, probes, c, p = vectors
     u = nearest.keyed_vectors(cache, "id")
-    cells = nearest.build_cells(u, "id", nearest.choose_pivots(u, "id", 6))
+    cells = nearest.build_cells(u, nearest.choose_pivots(u, "id", 6))
     got = nearest.nearest(probes, cache, floor=floor, cells=cells, block_rows=32)
     same(found(got), brute(c, p, floor))
 
@@ -81,7 +81,7 @@ def test_skipping_cells_loses_nothing(vectors, floor):
 def test_inverted_lists_find_most_and_all_lists_find_all(vectors):
     cache, probes, c, p = vectors
     u = nearest.keyed_vectors(cache, "id")
-    cells = nearest.build_cells(u, "id", nearest.trained_pivots(u, 6))
+    cells = nearest.build_cells(u, nearest.trained_pivots(u, 6))
     want = brute(c, p)
     few = found(nearest.nearest_approximate(probes, cache, cells, probes=2))
     assert sum(few.get(q, (None, 0))[1] >= s - 1e-6 for q, (_, s) in want.items()) / len(want) >= 0.8
@@ -92,7 +92,7 @@ def test_ivf_recall_on_the_sample(spark):
     folder = "/root/testdata/sf0.01"
     cache, probes = W.view(spark, folder, "prompt_cache"), W.view(spark, folder, "probes")
     u = nearest.keyed_vectors(cache, "id")
-    cells = nearest.build_cells(u, "id", nearest.trained_pivots(u, 16))
+    cells = nearest.build_cells(u, nearest.trained_pivots(u, 16))
     exact = found(nearest.nearest(probes, cache))
     got = found(nearest.nearest_approximate(probes, cache, cells, probes=4))
     assert sum(got.get(q, (None,))[0] == i for q, (i, _) in exact.items()) / len(exact) >= 0.85

@@ -21,14 +21,6 @@ def norm(a: Column) -> Column:
     return F.sqrt(squares)
 
 
-def unit(a: Column) -> Column:
-    """The vector over its length; null for the zero vector."""
-    # Bound outside the inner lambda, so the length is worked out once.
-    lengths = F.filter(F.array(norm(a)), lambda n: n > 0)
-    scaled = F.transform(lengths, lambda n: F.transform(a, lambda x: x.cast("double") / n))
-    return F.get(scaled, F.lit(0))
-
-
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
 

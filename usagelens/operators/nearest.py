@@ -73,7 +73,7 @@ def trained_pivots(vectors: DataFrame, count: int, seed: int = 7, rounds: int =
     return centres / np.linalg.norm(centres, axis=1, keepdims=True)
 
 
-def _to_cells(vectors: DataFrame, key: str, pivots: np.ndarray) -> DataFrame:
+def _to_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Each vector with its nearest pivot's cell and the angle to it."""
 
     def assign(batches):
@@ -97,9 +97,9 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def build_cells(vectors: DataFrame, key: str, pivots: np.ndarray) -> Cells:
+def build_cells(vectors: DataFrame, pivots: np.ndarray) -> Cells:
     """Measure the cells once, as one builds an index; one number per pivot."""
-    sized = _to_cells(vectors, key, pivots).groupBy("cell").agg(F.max("angle").alias("r")).collect()
+    sized = _to_cells(vectors, pivots).groupBy("cell").agg(F.max("angle").alias("r")).collect()
     radius = np.full(len(pivots), -1.0)
     for row in sized:
         radius[row["cell"]] = row["r"]
@@ -220,7 +220,7 @@ def nearest(
     """
     q, c = keyed_vectors(queries, query_id), keyed_vectors(cache, cache_id)
     if cells is not None and floor is not None:
-        c = _to_cells(c, cache_id, cells.pivots).drop("angle")
+        c = _to_cells(c, cells.pivots).drop("angle")
         q = _routes(q, _possible(cells, floor))
     else:
         q, c = q.withColumn("cell", F.lit(0)), c.withColumn("cell", F.lit(0))
@@ -238,6 +238,6 @@ def nearest_approximate(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Nearest entry among the ``probes`` closest inverted lists."""
-    c = _to_cells(keyed_vectors(cache, cache_id), cache_id, cells.pivots).drop("angle")
+    c = _to_cells(keyed_vectors(cache, cache_id), cells.pivots).drop("angle")
     q = _routes(keyed_vectors(queries, query_id), _closest(cells, probes))
     return _best_in_blocks(q, c, query_id, cache_id, block_rows)

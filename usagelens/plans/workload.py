@@ -75,7 +75,7 @@ SELECT id, created_at,
 FROM b
 """
 
-GATEWAY_EVENTS = f"""
+REQUEST_EVENTS = f"""
 SELECT event_id, ts AS created_at, {_TEAM.format('user_id')} AS team_id,
   'POST' AS method,
   CASE WHEN event_id % 11 = 0 THEN '/health' ELSE '/v1/chat/completions' END AS path,
@@ -149,7 +149,7 @@ VIEWS = {
     "usage_log": USAGE_LOG,
     "traffic": TRAFFIC,
     "usage_raw": USAGE_RAW,
-    "gateway_events": GATEWAY_EVENTS,
+    "request_events": REQUEST_EVENTS,
     "prompts": PROMPTS,
     "docs_pii": DOCS_PII,
     "conv_turns": CONV_TURNS,
