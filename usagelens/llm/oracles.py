@@ -29,14 +29,15 @@ FROM d
 
 OP5 = r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
-s AS (SELECT doc_id, unnest(range(1, greatest(len(words) - 18, 1))) AS at, words FROM w),
-win AS (SELECT doc_id, at, list_aggregate(words[at : at + 19], 'string_agg', ' ') AS body FROM s),
-rep AS (SELECT doc_id, at FROM (SELECT doc_id, at, row_number() OVER (PARTITION BY body ORDER BY doc_id, at) AS n FROM win) WHERE n > 1),
-cov AS (SELECT DISTINCT doc_id, at + unnest(range(0, 20)) AS place FROM rep),
+s AS (SELECT doc_id, unnest(range(1, greatest(len(words) - 18, 1))) AS pos, words FROM w),
+win AS (SELECT doc_id, pos, array_to_string(words[pos : pos + 19], ' ') AS body FROM s),
+rep AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS n FROM win) WHERE n > 1),
+cov AS (SELECT DISTINCT doc_id, pos + k AS place FROM rep, range(0, 20) AS r(k)),
 gone AS (SELECT doc_id, list(place) AS places FROM cov GROUP BY doc_id)
 SELECT w.doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
-  sha256(coalesce(array_to_string(CASE WHEN places IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(places, i)) END, ' '), '')) AS kept_sha256
+  sha256(coalesce(array_to_string(CASE WHEN places IS NULL THEN words
+    ELSE list_filter(words, lambda x, i: NOT list_contains(places, i)) END, ' '), '')) AS kept_sha256
 FROM w LEFT JOIN gone USING (doc_id)
 """
 
-ORACLES = {"op1_url_filter": OP1, "op10_exact_dedup": OP10}
+ORACLES = {"op1_url_filter": OP1, "op5_substring_dedup": OP5, "op10_exact_dedup": OP10}

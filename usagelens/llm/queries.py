@@ -14,6 +14,7 @@ from usagelens.llm import (
     quality,
     secrets,
     simhash,
+    substrings,
     toxicity,
     url_filter,
 )
@@ -38,6 +39,11 @@ def op4_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = substrings.without_repeats(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -72,6 +78,7 @@ QUERIES = {
         op2_secret_scan,
         op3_quality_grades,
         op4_benchmark_leaks,
+        op5_substring_dedup,
         op6_toxicity,
         op7_simhash,
         op8_pieces,
