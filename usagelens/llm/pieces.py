@@ -48,7 +48,12 @@ class Pieces:
             bytes([byte_of[i]]) if i in byte_of else name.replace(SPACE, " ").encode()
             for i, name in enumerate(self.names)
         ]
-        self.char = {name: i for name, i in usable.items() if len(name) == 1}
+        # Piece of each code point; a space is shown by its mark.
+        self.of_point = np.full(0x110000, -1, np.int64)
+        for name, i in usable.items():
+            if len(name) == 1:
+                self.of_point[ord(name)] = i
+        self.of_point[ord(" ")] = self.of_point[ord(SPACE)]
         left, right, merged = [], [], []
         for name, i in usable.items():
             for k in range(1, len(name)):
@@ -65,9 +70,16 @@ class Pieces:
         scores = np.array([sp.get_score(i) for i in range(len(self.names))])
         self.rank = np.unique(-scores, return_inverse=True)[1].astype(np.int64)
 
-    def start(self, chunk: str) -> list[int]:
-        """Pieces of single characters; what has none, and a literal space mark, is -1 - its code point."""
-        return [self.char.get(c, -1 - ord(c)) for c in chunk]
+    def starts(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of the single characters of all chunks in a row, and each chunk's length.
+
+        What has no piece, and a chunk that is a space mark of the text itself, is -1 - its code point.
+        """
+        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sizes = np.array([len(c) for c in chunks], np.int64)
+        ids = self.of_point[points]
+        literal = (points == ord(SPACE)) & np.repeat(sizes == 1, sizes)
+        return np.where((ids < 0) | literal, -1 - points, ids), sizes
 
     def candidates(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two neighbours merge to, or -1."""
@@ -115,93 +127,107 @@ def encode_long(ids: list, key: int, pieces: Pieces, limit: int) -> np.ndarray:
     return np.array([i for i in ids if i is not None], np.int64)
 
 
-def encode_chunks(chunks: list[str], draws: list[int], pieces: Pieces, dropout: float, seed: int) -> list[np.ndarray]:
-    """Piece ids of chunks, all chunks in step: each round takes every chunk's best candidate from its agenda.
+def encode_chunks(chunks: list[str], draws: list[int], pieces: Pieces, dropout: float, seed: int) -> list[bytes]:
+    """Piece ids (as bytes of int32) of chunks, all chunks in step: each round takes every chunk's best candidate.
 
-    The best candidate has the highest score, the leftmost first. It is merged unless the hash of seed, draw, chunk
-    and candidate (its two pieces and its place) falls below the dropout; a skipped candidate stays out of the agenda
-    until one of its pieces changes. Without dropout this is SentencePiece's own segmentation.
+    The best candidate of a chunk's agenda has the highest score, the leftmost first. It is merged unless the hash of
+    seed, draw, chunk and candidate (its two pieces and its place) falls below the dropout; a skipped candidate stays
+    out of the agenda until one of its pieces changes. Without dropout this is SentencePiece's own segmentation.
     """
-    out: list[np.ndarray] = [np.empty(0, np.int64)] * len(chunks)
-    limit = np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
-    by_size: dict[int, list[int]] = {}
-    shown = [chunk if chunk == SPACE else chunk.replace(" ", SPACE) for chunk in chunks]
-    starts = [[-1 - ord(SPACE)] if chunk == SPACE else pieces.start(shown[k]) for k, chunk in enumerate(chunks)]
-    keys = [xxhash.xxh64_intdigest(chunk.encode("utf-8", "surrogatepass"), seed * 1_000_003 + d) for chunk, d in zip(chunks, draws)]
-    for k, chunk in enumerate(chunks):
-        if len(chunk) > LONG:
-            out[k] = encode_long(starts[k], keys[k], pieces, int(limit))
+    out: list[bytes] = [b""] * len(chunks)
+    limit = min(int(dropout * 2.0**64), 2**64 - 1)
+    flat, sizes = pieces.starts(chunks)
+    begin = np.cumsum(sizes) - sizes
+    keys = np.array(
+        [
+            xxhash.xxh64_intdigest(chunk.encode("utf-8", "surrogatepass"), seed * 1_000_003 + draw)
+            for chunk, draw in zip(chunks, draws)
+        ],
+        np.uint64,
+    )
+    for k in np.flatnonzero(sizes > LONG):
+        ids = encode_long(flat[begin[k] : begin[k] + sizes[k]].tolist(), int(keys[k]), pieces, limit)
+        _put(out, np.array([k]), ids, np.array([len(ids)]), pieces)
+    width = 2
+    while width <= 2 * LONG:
+        all_of = np.flatnonzero((sizes > width // 2) & (sizes <= min(width, LONG)) | ((sizes <= 1) & (width == 2)))
+        step = max(1, (1 << 18) // width)
+        for first in range(0, len(all_of), step):
+            part = all_of[first : first + step]
+            _merge_rounds(out, part, flat, begin, sizes, keys, width, pieces, np.uint64(limit))
+        width *= 2
+    return out
+
+
+def _put(out: list[bytes], part: np.ndarray, flat: np.ndarray, counts: np.ndarray, pieces: Pieces) -> None:
+    """Writes the rows of `flat`; characters without a piece become the pieces of their UTF-8 bytes."""
+    odd = np.zeros(len(part), bool)
+    if (flat < 0).any():
+        odd[np.repeat(np.arange(len(part)), counts)[flat < 0]] = True
+    data, ends = flat.astype(np.int32).tobytes(), (4 * np.cumsum(counts)).tolist()
+    low = 0
+    for k, high in zip(part.tolist(), ends):
+        out[k] = data[low:high]
+        low = high
+    starts = np.cumsum(counts) - counts
+    for r in np.flatnonzero(odd):
+        ids: list[int] = []
+        for i in flat[starts[r] : starts[r] + counts[r]].tolist():
+            ids += [i] if i >= 0 else pieces.bytes[list(chr(-1 - i).encode("utf-8", "surrogatepass"))].tolist()
+        out[int(part[r])] = np.array(ids, np.int32).tobytes()
+
+
+def _merge_rounds(out, part, flat, begin, sizes, keys, width, pieces, limit) -> None:
+    """Segments chunks of up to `width` characters, one candidate per chunk and round."""
+    column = np.arange(width + 1)
+    at = begin[part][:, None] + column
+    there = column < sizes[part][:, None]
+    ids = np.where(there, flat[np.minimum(at, max(len(flat) - 1, 0))], _NONE) if len(flat) else np.full(at.shape, _NONE)
+    key, place = keys[part], np.broadcast_to(column, ids.shape).copy()
+    made = pieces.candidates(ids[:, :-1], ids[:, 1:])
+    worst = np.int64(len(pieces.names))
+    rank = np.where(made >= 0, pieces.rank[made], worst)
+    while len(part):
+        best = rank.argmin(axis=1)
+        now = np.arange(len(part))
+        found = rank[now, best] < worst
+        if not found.all():
+            ready = ids[~found]
+            real = ready != _NONE
+            _put(out, part[~found], ready[real], real.sum(axis=1), pieces)
+            ids, place, made, rank = ids[found], place[found], made[found], rank[found]
+            key, part, best = key[found], part[found], best[found]
+            now = np.arange(len(part))
+            if not len(part):
+                return
+        a, b = ids[now, best], ids[now, best + 1]
+        if limit:
+            pair = (a.astype(np.uint64) << np.uint64(40)) ^ (b.astype(np.uint64) << np.uint64(20))
+            skip = _mixed(key ^ pair ^ place[now, best].astype(np.uint64)) < limit
         else:
-            by_size.setdefault(1 << max(len(chunk) - 1, 0).bit_length(), []).append(k)
-    for size, all_of in by_size.items():
-        step = max(1, (1 << 18) // size)
-        for begin in range(0, len(all_of), step):
-            part = all_of[begin : begin + step]
-            n = len(part)
-            ids = np.full((n, size + 1), _NONE, np.int64)
-            for row, k in enumerate(part):
-                ids[row, : len(starts[k])] = starts[k]
-            key = np.array([keys[k] for k in part], np.uint64)
-            place = np.broadcast_to(np.arange(size + 1), ids.shape).copy()
-            made = pieces.candidates(ids[:, :-1], ids[:, 1:])
-            worst = np.int64(len(pieces.names))
-            rank = np.where(made >= 0, pieces.rank[made], worst)
-            where = np.arange(n)
-            while len(where):
-                best = rank.argmin(axis=1)
-                now = np.arange(len(where))
-                found = rank[now, best] < worst
-                if not found.all():
-                    for r in np.flatnonzero(~found):
-                        row = ids[r]
-                        out[part[where[r]]] = row[row != _NONE]
-                    ids, place, made, rank, key = ids[found], place[found], made[found], rank[found], key[found]
-                    where, best = where[found], best[found]
-                    now = np.arange(len(where))
-                    if not len(where):
-                        break
-                a, b = ids[now, best], ids[now, best + 1]
-                drawn = _mixed(
-                    key
-                    ^ (a.astype(np.uint64) << np.uint64(40))
-                    ^ (b.astype(np.uint64) << np.uint64(20))
-                    ^ place[now, best].astype(np.uint64)
-                )
-                skip = drawn < limit
-                rank[now[skip], best[skip]] = worst
-                go = np.flatnonzero(~skip)
-                if not len(go):
-                    continue
-                at = best[go]
-                # Close the gap to the right of the merged pair.
-                column = np.arange(size + 1)
-                source = np.minimum(column + (column > at[:, None]), size)
-                new = np.take_along_axis(ids[go], source, axis=1)
-                new[:, size] = _NONE
-                new[np.arange(len(go)), at] = made[go, at]
-                place[go] = np.take_along_axis(place[go], source, axis=1)
-                source = np.minimum(column[:-1] + (column[:-1] > at[:, None]), size - 1)
-                made_, rank_ = (np.take_along_axis(x[go], source, axis=1) for x in (made, rank))
-                made_[:, size - 1], rank_[:, size - 1] = -1, worst
-                rows = np.arange(len(go))
-                for side in (at - 1, at):
-                    ok = side >= 0
-                    r, c = rows[ok], side[ok]
-                    m = pieces.candidates(new[r, c], new[r, c + 1])
-                    made_[r, c] = m
-                    rank_[r, c] = np.where(m >= 0, pieces.rank[m], worst)
-                ids[go], made[go], rank[go] = new, made_, rank_
-    return [_with_bytes(x, pieces) for x in out]
-
-
-def _with_bytes(ids: np.ndarray, pieces: Pieces) -> np.ndarray:
-    """Characters without a piece become the pieces of their UTF-8 bytes."""
-    if (ids >= 0).all():
-        return ids.astype(np.int32)
-    out: list[int] = []
-    for i in ids.tolist():
-        out += [i] if i >= 0 else pieces.bytes[list(chr(-1 - i).encode("utf-8", "surrogatepass"))].tolist()
-    return np.array(out, np.int32)
+            skip = np.zeros(len(part), bool)
+        rank[now[skip], best[skip]] = worst
+        go = np.flatnonzero(~skip)
+        if not len(go):
+            continue
+        spot = best[go]
+        # Close the gap to the right of the merged pair.
+        source = np.minimum(column + (column > spot[:, None]), width)
+        rows = go[:, None]
+        new, moved = ids[rows, source], place[rows, source]
+        new[:, width] = _NONE
+        new[np.arange(len(go)), spot] = made[go, spot]
+        ids[go], place[go] = new, moved
+        source = np.minimum(column[:-1] + (column[:-1] > spot[:, None]), width - 1)
+        made_, rank_ = made[rows, source], rank[rows, source]
+        made_[:, width - 1], rank_[:, width - 1] = -1, worst
+        for side in (spot - 1, spot):
+            r = np.flatnonzero(side >= 0)
+            c = side[r]
+            m = pieces.candidates(new[r, c], new[r, c + 1])
+            made_[r, c] = m
+            rank_[r, c] = np.where(m >= 0, pieces.rank[m], worst)
+        made[go], rank[go] = made_, rank_
 
 
 def decode_ids(ids: np.ndarray, pieces: Pieces) -> str:
@@ -225,7 +251,7 @@ class Encoder:
         if len(self.known) + len(new) > _CACHE:
             self.known, new = {}, list(wanted)
         found = encode_chunks([c for _, c in new], [d for d, _ in new], self.pieces, self.dropout, self.seed)
-        self.known.update(zip(new, (x.tobytes() for x in found)))
+        self.known.update(zip(new, found))
         known = self.known
         return [
             np.frombuffer(b"".join([known[d, c] for c in parts]), np.int32)
