@@ -43,63 +43,103 @@ def signatures(line: Column, length: Column, edits: int) -> list[tuple[str, Colu
     return out
 
 
+def _let(value: Column, then) -> Column:
+    """`then(value)`, with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _common(a: Column, b: Column, most: Column) -> Column:
+    """Length of the common beginning of two strings, `most` at most: steps of falling powers of two."""
+    steps = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
+
+    def longer(have: Column, step: Column) -> Column:
+        alike = F.substring(a, have + 1, step) == F.substring(b, have + 1, step)
+        return F.when((step <= most - have) & alike, have + step).otherwise(have)
+
+    return F.aggregate(steps, F.lit(0), longer)
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether two strings are within `edits`, by a banded bit-parallel edit distance.
 
-    One word of 2 * edits + 1 bits holds the vertical differences of the band around the diagonal; every character
-    of the shorter string moves the band on by one row. The score follows the diagonal that ends in the last cell.
+    What both begin and end with is cut off first. One word of 2 * edits + 1 bits then holds the vertical differences
+    of the band around the diagonal; every character of the shorter string moves the band on by one row. The score
+    follows the diagonal that ends in the last cell, where it never falls: once above `edits` it is left as it is.
     """
+    long_first = F.char_length(a) >= F.char_length(b)
+    both = F.struct(
+        F.when(long_first, a).otherwise(b).alias("longer"), F.when(long_first, b).otherwise(a).alias("shorter")
+    )
+
+    def measured(p: Column) -> Column:
+        n = F.char_length(p["shorter"])
+        begin = _common(p["longer"], p["shorter"], n)
+        return _let(
+            F.struct(
+                p["longer"].alias("longer"),
+                p["shorter"].alias("shorter"),
+                F.char_length(p["longer"]).alias("m"),
+                n.alias("n"),
+                begin.alias("begin"),
+            ),
+            trimmed,
+        )
+
+    def trimmed(p: Column) -> Column:
+        end = _common(F.reverse(p["longer"]), F.reverse(p["shorter"]), p["n"] - p["begin"])
+        cut = F.struct(*(p[c].alias(c) for c in ("longer", "shorter", "m", "n", "begin")), end.alias("end"))
+        return _let(cut, compared)
+
+    def compared(p: Column) -> Column:
+        m, n = p["m"] - p["begin"] - p["end"], p["n"] - p["begin"] - p["end"]
+        characters = F.struct(
+            F.split(F.substring(p["longer"], p["begin"] + 1, m), "").alias("longer"),
+            F.split(F.substring(p["shorter"], p["begin"] + 1, n), "").alias("shorter"),
+            m.alias("m"),
+            n.alias("n"),
+        )
+        near = F.when(n == 0, m <= edits).otherwise(_let(characters, lambda c: _band(c, edits) <= edits))
+        return F.when(m - n > edits, F.lit(False)).otherwise(near)
+
+    return _let(both, measured)
+
+
+def _band(p: Column, edits: int) -> Column:
+    """Edit distance of `p.longer` and `p.shorter` (characters, `m` and `n` of them), exact up to `edits`."""
     width = 2 * edits + 1
     full = (1 << width) - 1
-    longer = F.split(F.when(F.char_length(a) >= F.char_length(b), a).otherwise(b), "")
-    shorter = F.split(F.when(F.char_length(a) >= F.char_length(b), b).otherwise(a), "")
-    m = F.greatest(F.char_length(a), F.char_length(b))
-    n = F.least(F.char_length(a), F.char_length(b))
 
     def clipped(x: Column) -> Column:
         return x.bitwiseAND(F.lit(full))
 
-    def let(value: Column, then) -> Column:
-        return F.element_at(F.transform(F.array(value), then), 1)
-
     def step(s: Column, j: Column) -> Column:
-        char = F.get(s["shorter"], j - 1)
         equal = [
-            F.coalesce((F.get(s["longer"], j - 1 - edits + bit) == char).cast("int"), F.lit(0)) * (1 << bit)
+            F.coalesce((F.get(p["longer"], j - 1 - edits + bit) == F.get(p["shorter"], j - 1)).cast("int"), F.lit(0))
+            * (1 << bit)
             for bit in range(width)
         ]
-        pm = reduce(lambda x, y: x + y, equal)
 
         def column(pm: Column) -> Column:
             carried = (pm.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"])
-            return let(clipped(carried.bitwiseOR(pm).bitwiseOR(s["vn"])), moved)
+            return _let(clipped(carried.bitwiseOR(pm).bitwiseOR(s["vn"])), moved)
 
         def moved(d0: Column) -> Column:
             hp = s["vn"].bitwiseOR(clipped(F.bitwise_not(d0.bitwiseOR(s["vp"]))))
             hn = d0.bitwiseAND(s["vp"])
             below = F.shiftright(d0, 1)
-            met = F.call_function("shiftright", d0, s["diagonal"]).bitwiseAND(F.lit(1))
+            met = F.call_function("shiftright", d0, F.lit(edits) + p["m"] - p["n"]).bitwiseAND(F.lit(1))
             return F.struct(
                 hn.bitwiseOR(clipped(F.bitwise_not(below.bitwiseOR(hp)))).alias("vp"),
                 hp.bitwiseAND(below).alias("vn"),
                 (s["score"] + 1 - met).alias("score"),
-                s["diagonal"].alias("diagonal"),
-                s["longer"].alias("longer"),
-                s["shorter"].alias("shorter"),
             )
 
-        return let(pm, column)
+        return F.when(s["score"] > edits, s).otherwise(_let(reduce(lambda x, y: x + y, equal), column))
 
     first = F.struct(
-        F.lit(full & ~((1 << edits) - 1)).alias("vp"),
-        F.lit(0).alias("vn"),
-        (m - n).alias("score"),
-        (F.lit(edits) + m - n).alias("diagonal"),
-        longer.alias("longer"),
-        shorter.alias("shorter"),
+        F.lit(full & ~((1 << edits) - 1)).alias("vp"), F.lit(0).alias("vn"), (p["m"] - p["n"]).alias("score")
     )
-    score = F.aggregate(F.sequence(F.lit(1), n), first, step)["score"]
-    return F.when(m - n > edits, F.lit(False)).when(n == 0, m <= edits).otherwise(score <= edits)
+    return F.aggregate(F.sequence(F.lit(1), p["n"]), first, step)["score"]
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
