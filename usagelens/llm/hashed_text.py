@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from usagelens.llm.common import written
+
 #: Terms kept from one token to the next occurrence, per worker.
 CACHE = 200_000
 _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -58,67 +60,81 @@ def bounded_sample(labelled: DataFrame, id_col: str, most: int) -> DataFrame:
     return labelled.orderBy(F.xxhash64(id_col), id_col).limit(most)
 
 
-def collected(sample: DataFrame, text_col: str, label_col: str) -> tuple[list, list, np.ndarray, np.ndarray]:
-    """Term hashes, counts, numbers of tokens and labels of a bounded sample; texts are read and hashed in tasks."""
+def hashed(sample: DataFrame, text_col: str, label_col: str) -> DataFrame:
+    """`terms, counts, tokens, label` of a bounded sample of texts, written to the shared folder."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
-            out = []
+            terms, counts, tokens = [], [], []
             for text in batch.column(0):
-                counts = counts_of(text.as_py(), cache)
-                out.append(
-                    (
-                        np.fromiter(counts.keys(), np.uint64, len(counts)).tobytes(),
-                        np.fromiter(counts.values(), np.int32, len(counts)).tobytes(),
-                        len((text.as_py() or "").split()),
-                    )
-                )
+                found = counts_of(text.as_py(), cache)
+                terms.append(np.fromiter(found.keys(), np.uint64, len(found)).view(np.int64))
+                counts.append(np.fromiter(found.values(), np.int32, len(found)))
+                tokens.append(len((text.as_py() or "").split()))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([o[0] for o in out], pa.binary()),
-                    pa.array([o[1] for o in out], pa.binary()),
-                    pa.array([o[2] for o in out], pa.int64()),
+                    pa.array(terms, pa.list_(pa.int64())),
+                    pa.array(counts, pa.list_(pa.int32())),
+                    pa.array(tokens, pa.int64()),
                     batch.column(1),
                 ],
                 names=["terms", "counts", "tokens", "label"],
             )
 
+    rows = sample.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
+    return written(rows.mapInArrow(run, "terms array<long>, counts array<int>, tokens long, label int"), "hashed")
+
+
+def screened(texts: DataFrame, most: int, least_docs: int) -> np.ndarray:
+    """The `most` terms that move the mean label most among those in `least_docs` texts or more, sorted."""
+    mean = texts.agg(F.avg("label")).first()[0] or 0.0
+    score = F.abs(F.col("labels") - F.col("n") * mean) / F.sqrt(F.col("n") + 1)
     rows = (
-        sample.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
-        .mapInArrow(hashed, "terms binary, counts binary, tokens long, label int")
-        .toPandas()
+        texts.select(F.explode("terms").alias("term"), "label")
+        .groupBy("term")
+        .agg(F.count("*").alias("n"), F.sum("label").alias("labels"))
+        .where(F.col("n") >= least_docs)
+        .orderBy(score.desc(), "term")
+        .limit(most)
+        .collect()
     )
+    return np.sort(np.array([r["term"] for r in rows], np.int64))
+
+
+def placed(texts: DataFrame, vocabulary: np.ndarray) -> tuple[list, list, np.ndarray, np.ndarray]:
+    """Places in the vocabulary, counts, numbers of tokens and labels of the sample: what the fit needs, no more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where, counts = [], []
+            for t, c in zip(batch.column(0), batch.column(1)):
+                t, c = t.values.to_numpy(zero_copy_only=False), c.values.to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(vocabulary, t), max(len(vocabulary) - 1, 0))
+                known = vocabulary[at] == t if len(vocabulary) else np.zeros(len(t), bool)
+                where.append(at[known].astype(np.int32).tobytes())
+                counts.append(c[known].astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(where, pa.binary()), pa.array(counts, pa.binary()), batch.column(2), batch.column(3)],
+                names=["places", "counts", "tokens", "label"],
+            )
+
+    rows = texts.mapInArrow(run, "places binary, counts binary, tokens long, label int").toPandas()
     return (
-        [np.frombuffer(t, np.uint64) for t in rows["terms"]],
+        [np.frombuffer(t, np.int32) for t in rows["places"]],
         [np.frombuffer(c, np.int32) for c in rows["counts"]],
         rows["tokens"].to_numpy(np.int64),
         rows["label"].to_numpy(np.int64),
     )
 
 
-def screened(terms: list[np.ndarray], target: np.ndarray, most: int, least_docs: int) -> np.ndarray:
-    """The `most` terms that vary most with the target among those in `least_docs` texts or more, sorted by hash."""
-    if not terms:
-        return np.empty(0, np.uint64)
-    flat = np.concatenate(terms)
-    rows = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-    names, where, n = np.unique(flat, return_inverse=True, return_counts=True)
-    centred = target - target.mean()
-    moved = np.bincount(where, weights=centred[rows], minlength=len(names))
-    score = np.abs(moved) / np.sqrt(n + 1.0)
-    score[n < least_docs] = -1
-    best = np.argsort(-score, kind="stable")[:most]
-    return np.sort(names[best[score[best] > 0]])
-
-
 def scored(text: Column, vocabulary: np.ndarray, predict: Callable[[np.ndarray, np.ndarray, int], tuple], kind: str):
     """A column of `predict(positions in the vocabulary, counts, tokens)` for each whole text (null: empty)."""
     fields = kind.replace("double", "").replace(",", " ").split()
 
     @F.pandas_udf(kind)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        places = {int(h): i for i, h in enumerate(vocabulary)}
+        places = {int(h) & (2**64 - 1): i for i, h in enumerate(vocabulary)}
         again = places.get(_hash("shape", "again"))
         known: dict[str, tuple[int, ...]] = {}
         for texts in batches:

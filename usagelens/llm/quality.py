@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.hashed_text import bounded_sample, collected, scored, screened
+from usagelens.llm.hashed_text import bounded_sample, hashed, placed, scored, screened
 
 #: Bounds and settings of the fit: labelled rows, terms, texts a term must be in, passes, step, decay.
 ROWS, TERMS, LEAST_DOCS, EPOCHS, STEP, DECAY = 20_000, 4096, 5, 8, 0.1, 1e-4
@@ -39,7 +39,9 @@ class Ordinal:
         return _sigmoid(self.weights[where] @ _shares(counts, tokens) - self.cuts)
 
 
-def fit(terms: list, counts: list, tokens: np.ndarray, grades: np.ndarray, seed: int = 7) -> Ordinal:
+def fit(
+    vocabulary: np.ndarray, places: list, counts: list, tokens: np.ndarray, grades: np.ndarray, seed: int = 7
+) -> Ordinal:
     """Maximum likelihood by AdaGrad; the cuts are a first one and positive gaps, so their order holds by form.
 
     Without any rows all grades are equally likely.
@@ -48,16 +50,10 @@ def fit(terms: list, counts: list, tokens: np.ndarray, grades: np.ndarray, seed:
     above = np.array([(grades > k).sum() + 0.5 for k in range(levels)]) / (len(grades) + 1.0)
     start = np.maximum.accumulate(-np.log(above / (1 - above)) + 1e-3 * np.arange(levels))
     first, gaps = start[0], np.log(np.maximum(np.diff(start), 1e-3))
-    vocabulary = screened(terms, grades.astype(float), TERMS, LEAST_DOCS) if len(grades) else np.empty(0, np.uint64)
     w = np.zeros(len(vocabulary))
     if not len(vocabulary):
         return Ordinal(vocabulary, w, start)
-    at_, x_ = [], []
-    for t, c, n in zip(terms, counts, tokens):
-        at = np.minimum(np.searchsorted(vocabulary, t), len(vocabulary) - 1)
-        known = vocabulary[at] == t
-        at_.append(at[known])
-        x_.append(_shares(c[known], int(n)))
+    at_, x_ = places, [_shares(c, int(n)) for c, n in zip(counts, tokens)]
     random = np.random.default_rng(seed)
     gw, g1, gg = np.full(len(w), 1e-2), 1e-2, np.full(len(gaps), 1e-2)
     for _ in range(EPOCHS):
@@ -103,7 +99,9 @@ def train(docs: DataFrame, ratings: DataFrame, id_col="doc_id", text_col="text",
     # At most `rows` ids and grades, so small enough for every task.
     chosen = F.broadcast(bounded_sample(known, "id", rows))
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text is not null")
-    return fit(*collected(texts.join(chosen, "id"), "text", "grade"))
+    sample = hashed(texts.join(chosen, "id"), "text", "grade")
+    vocabulary = screened(sample, TERMS, LEAST_DOCS)
+    return fit(vocabulary, *placed(sample, vocabulary))
 
 
 def graded(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usagelens.llm.common import free_name
-from usagelens.llm.hashed_text import bounded_sample, collected, scored, screened
+from usagelens.llm.hashed_text import bounded_sample, hashed, placed, scored, screened
 
 #: Bounds and settings of the fit: labelled rows, terms, texts a term must be in, factors, passes, step, decay.
 ROWS, TERMS, LEAST_DOCS, FACTORS, EPOCHS, STEP, DECAY = 20_000, 4096, 5, 4, 8, 0.1, 2e-5
@@ -32,18 +32,13 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.linear[where].sum() + pairs, -30, 30))))
 
 
-def fit(terms: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
+def fit(vocabulary: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     """AdaGrad over small batches of texts; without rows of both labels the score is their share (0.5 without rows)."""
     if len(set(labels.tolist())) < 2:
         share = (labels.sum() + 0.5) / (len(labels) + 1)
-        return Machine(np.empty(0, np.uint64), float(np.log(share / (1 - share))), np.empty(0), np.empty((0, FACTORS)))
+        none = np.empty(0, np.int64)
+        return Machine(none, float(np.log(share / (1 - share))), np.empty(0), np.empty((0, FACTORS)))
     y = labels.astype(float)
-    vocabulary = screened(terms, y, TERMS, LEAST_DOCS)
-    rows = []
-    for t in terms:
-        at = np.searchsorted(vocabulary, t)
-        at = at[at < len(vocabulary)] if not len(vocabulary) else np.minimum(at, len(vocabulary) - 1)
-        rows.append(at[vocabulary[at] == t] if len(vocabulary) else at)
     random = np.random.default_rng(seed)
     w = np.zeros(len(vocabulary))
     v = random.normal(0, 0.01, (len(vocabulary), FACTORS))
@@ -83,7 +78,8 @@ def held_out(id_col):
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", rows=ROWS) -> Machine:
     """Fits on at most `rows` labelled texts outside the held-out quarter (those with the smallest id hashes).
 
-    Rows without id, label or text teach nothing. Only the term hashes of this bounded sample reach the driver.
+    Rows without id, label or text teach nothing. Only this bounded sample's places in the vocabulary
+    reach the driver.
     """
     known = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -93,8 +89,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     # At most `rows` ids and labels, so small enough for every task.
     chosen = F.broadcast(bounded_sample(known, "id", rows))
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text is not null")
-    terms, _, _, y = collected(texts.join(chosen, "id"), "text", "label")
-    return fit(terms, y)
+    sample = hashed(texts.join(chosen, "id"), "text", "label")
+    vocabulary = screened(sample, TERMS, LEAST_DOCS)
+    places, _, _, y = placed(sample, vocabulary)
+    return fit(vocabulary, places, y)
 
 
 def score(docs: DataFrame, machine: Machine, out: str, text_col: str = "text") -> DataFrame:
