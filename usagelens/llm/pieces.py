@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,9 @@ DROPOUT, DRAWS, SEED = 0.1, 4, 17
 SPACE = "▁"
 #: Longer chunks are encoded one by one.
 LONG = 64
-_CACHE, _CHARS, _NONE = 150_000, 1 << 20, np.iinfo(np.int64).min
+#: Chunks of like length are worked on together.
+_WIDTHS = (2, 4, 5, 6, 7, 8, 9, 10, 12, 14, 17, 20, 26, 36, 64)
+_CACHE, _CHARS, _NONE = 200_000, 1 << 20, np.iinfo(np.int32).min
 _CHUNKS = re.compile(f"[{SPACE}\n]| +[^ {SPACE}\n]*|[^ {SPACE}\n]+")
 
 
@@ -49,7 +52,7 @@ class Pieces:
             for i, name in enumerate(self.names)
         ]
         # Piece of each code point; a space is shown by its mark.
-        self.of_point = np.full(0x110000, -1, np.int64)
+        self.of_point = np.full(0x110000, -1, np.int32)
         for name, i in usable.items():
             if len(name) == 1:
                 self.of_point[ord(name)] = i
@@ -64,18 +67,18 @@ class Pieces:
                     merged.append(i)
         code = np.array(left, np.int64) << 32 | np.array(right, np.int64)
         order = np.argsort(code)
-        self.code, self.merged = code[order], np.array(merged, np.int64)[order]
+        self.code, self.merged = code[order], np.array(merged, np.int32)[order]
         self.merge = dict(zip(zip(left, right), merged))
         # Merges are ranked by score, best first; equal scores share a rank.
         scores = np.array([sp.get_score(i) for i in range(len(self.names))])
-        self.rank = np.unique(-scores, return_inverse=True)[1].astype(np.int64)
+        self.rank = np.unique(-scores, return_inverse=True)[1].astype(np.int32)
 
     def starts(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of the single characters of all chunks in a row, and each chunk's length.
 
         What has no piece, and a chunk that is a space mark of the text itself, is -1 - its code point.
         """
-        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.int32)
         sizes = np.array([len(c) for c in chunks], np.int64)
         ids = self.of_point[points]
         literal = (points == ord(SPACE)) & np.repeat(sizes == 1, sizes)
@@ -83,9 +86,9 @@ class Pieces:
 
     def candidates(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two neighbours merge to, or -1."""
-        code = left << 32 | right
+        code = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
-        return np.where((left >= 0) & (right >= 0) & (self.code[at] == code), self.merged[at], -1)
+        return np.where((left >= 0) & (right >= 0) & (self.code[at] == code), self.merged[at], np.int32(-1))
 
 
 def split(text: str) -> list[str]:
@@ -124,7 +127,7 @@ def encode_long(ids: list, key: int, pieces: Pieces, limit: int) -> np.ndarray:
         push(i)
         if before[i] >= 0:
             push(before[i])
-    return np.array([i for i in ids if i is not None], np.int64)
+    return np.array([i for i in ids if i is not None], np.int32)
 
 
 def encode_chunks(chunks: list[str], draws: list[int], pieces: Pieces, dropout: float, seed: int) -> list[bytes]:
@@ -148,14 +151,12 @@ def encode_chunks(chunks: list[str], draws: list[int], pieces: Pieces, dropout:
     for k in np.flatnonzero(sizes > LONG):
         ids = encode_long(flat[begin[k] : begin[k] + sizes[k]].tolist(), int(keys[k]), pieces, limit)
         _put(out, np.array([k]), ids, np.array([len(ids)]), pieces)
-    width = 2
-    while width <= 2 * LONG:
-        all_of = np.flatnonzero((sizes > width // 2) & (sizes <= min(width, LONG)) | ((sizes <= 1) & (width == 2)))
-        step = max(1, (1 << 18) // width)
+    for low, width in zip((-1, *_WIDTHS), _WIDTHS):
+        all_of = np.flatnonzero((sizes > low) & (sizes <= min(width, LONG)))
+        step = max(1, (1 << 16) // width)
         for first in range(0, len(all_of), step):
             part = all_of[first : first + step]
             _merge_rounds(out, part, flat, begin, sizes, keys, width, pieces, np.uint64(limit))
-        width *= 2
     return out
 
 
@@ -164,7 +165,7 @@ def _put(out: list[bytes], part: np.ndarray, flat: np.ndarray, counts: np.ndarra
     odd = np.zeros(len(part), bool)
     if (flat < 0).any():
         odd[np.repeat(np.arange(len(part)), counts)[flat < 0]] = True
-    data, ends = flat.astype(np.int32).tobytes(), (4 * np.cumsum(counts)).tolist()
+    data, ends = flat.astype(np.int32, copy=False).tobytes(), (4 * np.cumsum(counts)).tolist()
     low = 0
     for k, high in zip(part.tolist(), ends):
         out[k] = data[low:high]
@@ -182,10 +183,10 @@ def _merge_rounds(out, part, flat, begin, sizes, keys, width, pieces, limit) ->
     column = np.arange(width + 1)
     at = begin[part][:, None] + column
     there = column < sizes[part][:, None]
-    ids = np.where(there, flat[np.minimum(at, max(len(flat) - 1, 0))], _NONE) if len(flat) else np.full(at.shape, _NONE)
-    key, place = keys[part], np.broadcast_to(column, ids.shape).copy()
+    ids = np.where(there, flat[np.minimum(at, max(len(flat) - 1, 0))], np.int32(_NONE)) if len(flat) else np.full(at.shape, _NONE, np.int32)
+    key, place = keys[part], np.broadcast_to(column.astype(np.int32), ids.shape).copy()
     made = pieces.candidates(ids[:, :-1], ids[:, 1:])
-    worst = np.int64(len(pieces.names))
+    worst = np.int32(len(pieces.names))
     rank = np.where(made >= 0, pieces.rank[made], worst)
     while len(part):
         best = rank.argmin(axis=1)
@@ -237,50 +238,55 @@ def decode_ids(ids: np.ndarray, pieces: Pieces) -> str:
 
 
 class Encoder:
-    """Encodes texts; keeps the pieces of chunks it has seen, up to a bound."""
+    """Encodes texts; keeps the pieces of chunks met lately, up to a bound."""
 
     def __init__(self, model: bytes, dropout: float, draws: int, seed: int) -> None:
         self.pieces, self.dropout, self.draws, self.seed = Pieces(model), dropout, draws, seed
-        self.known: dict[tuple[int, str], bytes] = {}
+        self.known: list[dict[str, bytes]] = [{} for _ in range(draws)]
+        self.before: list[dict[str, bytes]] = [{} for _ in range(draws)]
 
-    def __call__(self, texts: list[str], marks: list[int]) -> list[np.ndarray]:
-        split_ = [split(t) if t else [] for t in texts]
+    def __call__(self, texts: list[str], marks: list[int]) -> list[bytes]:
+        """Piece ids of each text, as bytes of int32."""
         draws = [int(m) % self.draws for m in marks]
-        wanted = {(d, c) for d, parts in zip(draws, split_) for c in parts}
-        new = [k for k in wanted if k not in self.known]
-        if len(self.known) + len(new) > _CACHE:
-            self.known, new = {}, list(wanted)
-        found = encode_chunks([c for _, c in new], [d for d, _ in new], self.pieces, self.dropout, self.seed)
-        self.known.update(zip(new, found))
-        known = self.known
-        return [
-            np.frombuffer(b"".join([known[d, c] for c in parts]), np.int32)
-            for d, parts in zip(draws, split_)
-        ]
-
-
-def encoded(
-    text: Column, mark: Column, model: bytes, dropout: float = DROPOUT, draws: int = DRAWS, seed: int = SEED
-) -> Column:
-    """`struct<ids array<int>, lossless boolean>` of a text column.
-
-    `mark` (a long that doesn't change, such as a hash of the id) and the seed choose one of `draws` segmentations of
-    each chunk, so equal words differ between documents and every run gives the same ids. Null and empty texts give
-    no ids. `lossless` says that decoding gave the text again.
-    """
-
-    @F.pandas_udf("ids array<int>, lossless boolean")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(model, dropout, draws, seed)
-        for texts, marks in batches:
-            texts, ids, same = [t or "" for t in texts], [], []
-            for a, b in slices([len(t) for t in texts], _CHARS):
-                for t, i in zip(texts[a:b], encoder(texts[a:b], marks.iloc[a:b].tolist())):
-                    ids.append(i)
-                    same.append(decode_ids(i, encoder.pieces) == t)
-            yield pd.DataFrame({"ids": ids, "lossless": same})
-
-    return run(text, mark)
+        chunks = [split(t) if t else [] for t in texts]
+        new: list[dict[str, None]] = [{} for _ in range(self.draws)]
+        for d, parts in zip(draws, chunks):
+            known, before = self.known[d], self.before[d]
+            for c in set(parts).difference(known):
+                if c in before:
+                    known[c] = before[c]
+                else:
+                    new[d][c] = None
+        asked = [(d, c) for d in range(self.draws) for c in new[d]]
+        found = encode_chunks([c for _, c in asked], [d for d, _ in asked], self.pieces, self.dropout, self.seed)
+        for (d, c), ids in zip(asked, found):
+            self.known[d][c] = ids
+        out = [b"".join(map(self.known[d].__getitem__, parts)) for d, parts in zip(draws, chunks)]
+        for d in range(self.draws):
+            if len(self.known[d]) > _CACHE // self.draws:
+                self.before[d], self.known[d] = self.known[d], {}
+        return out
+
+
+def _encode_batches(batches: Iterator[pa.RecordBatch], model: bytes, dropout: float, draws: int, seed: int):
+    encoder = Encoder(model, dropout, draws, seed)
+    for batch in batches:
+        ids, texts, marks = batch.column(0), batch.column(1), batch.column(2)
+        lengths = [len(t) if (t := x.as_py()) else 0 for x in texts]
+        for low, high in slices(lengths, _CHARS):
+            part = [texts[k].as_py() or "" for k in range(low, high)]
+            found = encoder(part, marks.slice(low, high - low).to_pylist())
+            flat = [np.frombuffer(f, np.int32) for f in found]
+            same = [decode_ids(f, encoder.pieces) == t for f, t in zip(flat, part)]
+            offsets = np.cumsum([0, *map(len, flat)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ids.slice(low, high - low),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32))),
+                    pa.array(same),
+                ],
+                names=["id", "ids", "lossless"],
+            )
 
 
 def decoded(ids: Column, model: bytes) -> Column:
@@ -306,7 +312,9 @@ def encode(
 ) -> DataFrame:
     """The id, `ids`, `n_tokens` and `lossless` of every row; only these columns come out.
 
-    Each row is encoded where it lies, without a shuffle. Repeated rows get the same ids. A null id draws like the id
+    A hash of id and seed chooses one of `draws` segmentations of each chunk, so equal words differ between documents
+    and every run gives the same ids; `lossless` says that decoding gave the text again. Each row is encoded where it
+    lies, without a shuffle. Repeated rows get the same ids. A null id draws like the id
     0. A null text counts as empty. A surrogate or space mark in a text is written as bytes. An empty table gives no
     rows. The model file is read by the driver and sent to the tasks (its size is fixed).
     """
@@ -314,10 +322,9 @@ def encode(
         model = f.read()
     plain = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     mark = F.xxhash64(F.lit(seed), F.coalesce(F.col("id"), F.lit(0)).cast("long"))
-    out = plain.withColumn("e", encoded(F.col("text"), mark, model, dropout, draws, seed))
-    return out.select(
-        F.col("id").alias(id_col),
-        F.col("e.ids").alias("ids"),
-        F.size("e.ids").alias("n_tokens"),
-        F.col("e.lossless").alias("lossless"),
+    rows = plain.select("id", "text", mark.alias("mark"))
+    out = rows.mapInArrow(
+        lambda b: _encode_batches(b, model, dropout, draws, seed),
+        f"id {plain.schema['id'].dataType.simpleString()}, ids array<int>, lossless boolean",
     )
+    return out.select(F.col("id").alias(id_col), "ids", F.size("ids").alias("n_tokens"), "lossless")
