@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from usagelens.llm.bloom import build, inside
 from usagelens.llm.common import free_name, row_key, written
 from usagelens.llm.components import components
 
@@ -14,6 +15,8 @@ from usagelens.llm.components import components
 EDITS, LEAST_CHARS = 1, 20
 #: Lines of one segment bucket that are paired; larger buckets are cut by single-character variants.
 BUCKET = 100
+#: Bits at most of the filter that lines pass before their texts are fetched.
+FILTER_BITS = 1 << 25
 
 
 def _segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
@@ -226,8 +229,12 @@ def line_classes(
         .select("a", "b")
     )
     wanted = members.select("node").distinct()
+    # A filter of bounded size lets few other lines through to the join that decides.
+    bits = min(FILTER_BITS, max(64, 64 * (wanted.count() * 10 // 64)))
+    likely = build(wanted.select(F.col("node").alias("key"), F.lit(0).alias("slice")), 0, 1, 4, bits)
     texts = written(
         lines.select(_node(F.col("line")).alias("node"), "line", "length")
+        .where(inside(F.col("node"), likely))
         .join(wanted, "node", "left_semi")
         .dropDuplicates(["node"]),
         "texts",

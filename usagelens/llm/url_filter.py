@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from usagelens.llm.bloom import Level, build, inside
 from usagelens.llm.common import LOWER, UPPER, written
 
 #: (host, path, verdict); a rule fits its host and all subdomains.
@@ -43,61 +44,16 @@ def matched(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return rule, verdict
 
 
-@dataclass(frozen=True)
-class Level:
-    """A Bloom filter per slice: rows `slice, words`."""
-
-    number: int
-    hashes: int
-    bits: int
-    words: DataFrame
-
-
 @dataclass(frozen=True)
 class Cascade:
     slices: int
     levels: tuple[Level, ...]
 
 
-def _positions(key: Column, level: int, hashes: int, bits: int) -> list[Column]:
-    one, two = F.xxhash64(F.lit(2 * level), key), F.xxhash64(F.lit(2 * level + 1), key)
-    size = F.lit(bits).cast("long")
-    return [F.pmod(F.pmod(one, size) + F.pmod(two, size) * F.lit(j), size) for j in range(hashes)]
-
-
-def _inside(key: Column, level: Level, number: int) -> Column:
-    """Whether the slice's filter of this level has the key; the filter comes as a scalar, without a join."""
-    words = level.words.where(F.col("slice") == number).select("words").scalar()
-    tests = []
-    for at in _positions(key, level.number, level.hashes, level.bits):
-        word = F.element_at(words, (F.shiftrightunsigned(at, 6) + 1).cast("int"))
-        shifted = F.call_function("shiftrightunsigned", word, at.bitwiseAND(F.lit(63)).cast("int"))
-        tests.append(shifted.bitwiseAND(F.lit(1)) == 1)
-    return reduce(lambda a, b: a & b, tests)
-
-
 def _slice_of(key: Column, slices: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(slices).cast("long")).cast("int")
 
 
-def _build(keys: DataFrame, number: int, slices: int, hashes: int, bits: int) -> Level:
-    spark = keys.sparkSession
-    set_bits = keys.select("slice", F.explode(F.array(*_positions(F.col("key"), number, hashes, bits))).alias("at"))
-    words = set_bits.select(
-        "slice",
-        F.shiftright("at", 6).alias("word"),
-        F.expr("shiftleft(1L, CAST(at & 63 AS INT))").alias("bits"),
-    )
-    count = bits // 64
-    zeros = spark.range(slices * count).select(
-        (F.col("id") / count).cast("int").alias("slice"), (F.col("id") % count).alias("word"), F.lit(0).cast("long")
-    )
-    rows = words.union(zeros).groupBy("slice", "word").agg(F.bit_or("bits").alias("bits"))
-    filters = rows.groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("all"))
-    filters = filters.select("slice", F.transform("all", lambda x: x["bits"]).alias("words"))
-    return Level(number, hashes, bits, written(filters, "bloom"))
-
-
 def cascade(universe: DataFrame, slice_bits: int = SLICE_BITS, most_levels: int = 64) -> Cascade:
     """Filters that tell listed keys from all others among `universe(key, listed)`, which must hold every key asked.
 
@@ -122,9 +78,9 @@ def cascade(universe: DataFrame, slice_bits: int = SLICE_BITS, most_levels: int
             return Cascade(slices, tuple(levels))
         hashes = max(1, round(math.log2(1 / (first_rate if number == 1 else LATER_RATE))))
         bits = 64 * math.ceil(largest * hashes / math.log(2) / 64)
-        levels.append(_build(now, number, slices, hashes, bits))
+        levels.append(build(now, number, slices, hashes, bits))
         wrong = [
-            other.where(F.col("slice") == s).where(_inside(F.col("key"), levels[-1], s)) for s in range(slices)
+            other.where(F.col("slice") == s).where(inside(F.col("key"), levels[-1], s)) for s in range(slices)
         ]
         now, other = written(reduce(DataFrame.unionByName, wrong), "passed"), now
     raise RuntimeError("the cascade does not end")
@@ -137,10 +93,10 @@ def listed_in(rows: DataFrame, found: Cascade, out: str = "listed") -> DataFrame
     sliced = written(rows.withColumn("slice", _slice_of(F.col("key"), found.slices)), "urls", by="slice")
     answers = []
     for s in range(found.slices):
-        inside = F.lit(len(found.levels) % 2 == 1)
+        answer = F.lit(len(found.levels) % 2 == 1)
         for level in reversed(found.levels):
-            inside = F.when(_inside(F.col("key"), level, s), inside).otherwise(F.lit(level.number % 2 == 0))
-        answers.append(sliced.where(F.col("slice") == s).withColumn(out, inside))
+            answer = F.when(inside(F.col("key"), level, s), answer).otherwise(F.lit(level.number % 2 == 0))
+        answers.append(sliced.where(F.col("slice") == s).withColumn(out, answer))
     return reduce(DataFrame.unionByName, answers).drop("slice")
 
 
