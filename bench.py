@@ -15,6 +15,8 @@ from usagelens.session import local_session  # noqa: E402
 
 HEADLINE = [
     "redact_documents",
+    "redact_conversations",
+    "request_usage_rows",
     "classify_route_cost",
     "cost_summary",
     "latency_by_model",
@@ -36,7 +38,6 @@ HEADLINE = [
 # Rows each query reads, for rates.
 INPUT = {
     "redact_documents": "documents",
-    "classify_route_cost": "documents",
     "cost_summary": "events",
     "latency_by_model": "events",
     "semantic_lookup": "embeddings",

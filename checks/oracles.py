@@ -95,6 +95,11 @@ _add(
     "rejected_requests",
     f"WITH {_REQUEST} SELECT request_id, team_id, reject_reason FROM r WHERE reject_reason IS NOT NULL",
 )
+_add(
+    "rejected_oversize",
+    """SELECT conv_id AS request_id, 'too_large' AS reject_reason FROM conversations
+    GROUP BY conv_id HAVING sum(strlen(coalesce(text, '')) + strlen(role) + 24) > 4000""",
+)
 _add(
     "response_content",
     """SELECT conv_id, turn, CASE WHEN turn % 7 IN (3, 5) THEN '' ELSE text END AS content

@@ -116,6 +116,16 @@ def rejected_requests(spark, folder):
     return bad.select("request_id", "team_id", "reject_reason")
 
 
+# A limit that some sample conversations pass.
+SMALL_BODY = 4000
+
+
+@query
+def rejected_oversize(spark, folder):
+    bad = R.rejected(R.decode(W.bodies(spark, folder, max_bytes=SMALL_BODY)))
+    return bad.filter(F.col("reject_reason") == "too_large").select("request_id", "reject_reason")
+
+
 @query
 def response_content(spark, folder):
     turns = W.table(spark, folder, "conversations")
@@ -324,7 +334,7 @@ def redact_conversations(spark, folder):
 
 @query
 def redact_request_rows(spark, folder):
-    rows = R.gather_messages(W.view(spark, folder, "conv_turns"))
+    rows = R.gather_messages(W.view(spark, folder, "conv_turns")).filter(~F.col("oversize"))
     out = redact.redact_requests(rows.withColumn("system", F.lit(None).cast("string")))
     return out.select("conv_id", F.posexplode("messages").alias("pos", "m"), "unique_tokens").select(
         "conv_id", "pos", F.col("m.role").alias("role"), F.col("m.content").alias("text"), "unique_tokens"

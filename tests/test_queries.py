@@ -2,6 +2,7 @@ import pytest
 
 import __spark_entry__ as entry_point
 from checks import compare
+from checks.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -19,7 +20,7 @@ def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     if name in entry_point.oracle_sql():
         assert compare.difference(spark, con, FOLDER, name) is None

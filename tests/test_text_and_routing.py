@@ -8,6 +8,7 @@ from usagelens.functions import pricing, text as T
 from usagelens.functions.timerange import range_days, range_hours, since_days
 from usagelens.functions.vectors import cosine, outcome, outcome_label
 from usagelens.operators import routing
+from usagelens.sources import requests
 
 
 def one(spark, rows, schema, column):
@@ -172,3 +173,31 @@ def test_key_audit(spark):
     assert got["missing"] == (2, "")
     assert got["invalid"][0] == 1 and len(got["invalid"][1]) == 8
     assert routing.key_audit(df, []).count() == 0
+
+
+def test_bodies_of_wrong_types_are_invalid(spark):
+    good = '{"model": "m", "messages": [{"role": "user", "content": "hi"}], "max_tokens": 5, "x": [1]}'
+    bodies = [
+        good,
+        '{"messages": [{"role": "user", "content": [{"type": "text"}]}]}',
+        '{"messages": [{"role": "user", "content": 5}]}',
+        '{"messages": [{"role": "user", "content": "hi"}], "max_tokens": "a"}',
+        '{"messages": "x"}',
+        "[1]",
+        '{"messages": [{"role": "user", "content": "hi"}], "stream": "yes"}',
+        '{"messages": []}',
+        "{",
+    ]
+    rows = [(k, "", "", "", b, False) for k, b in enumerate(bodies)] + [(99, "", "", "", None, True)]
+    df = spark.createDataFrame(
+        rows, "request_id long, team_header string, feature_header string, model_header string, body string, oversize boolean"
+    )
+    got = {r["request_id"]: r["reject_reason"] for r in requests.decode(df).collect()}
+    assert got == {0: None, **{k: "invalid_body" for k in (1, 2, 3, 4, 5, 6, 8)}, 7: "no_prompt", 99: "too_large"}
+
+
+def test_a_model_priced_twice_doubles_no_row(spark):
+    prices = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 2.0)], "model string, input_per_1m double, output_per_1m double")
+    prices = prices.selectExpr("model", "cast(input_per_1m as decimal(12,6)) input_per_1m", "cast(output_per_1m as decimal(12,6)) output_per_1m")
+    df = spark.createDataFrame([("a", 10, 10)], "model string, input_tokens int, output_tokens int")
+    assert pricing.with_cost(df, prices=prices, model="model").count() == 1

@@ -1,5 +1,5 @@
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,8 +83,7 @@ def replay_by_hand(rows, ttl):
     return sets
 
 
-@pytest.mark.parametrize("heavy_rows", [0, 60, 10**6])
-def test_replay_by_slices_equals_replay_by_fold(spark, heavy_rows):
+def test_replay_equals_a_fold(spark):
     rnd, t, seconds = random.Random(4), 0.0, []
     for _ in range(400):
         t += rnd.choice([1, 5, 30, 200])
@@ -94,7 +93,7 @@ def test_replay_by_slices_equals_replay_by_fold(spark, heavy_rows):
     keyed = df.withColumn("prompt_hash", F.col("prompt_text"))
     got = {
         (r["team_id"], r["prompt_hash"]): r["n"]
-        for r in replay.settings(keyed, 3600, heavy_rows)
+        for r in replay.settings(keyed, 3600)
         .groupBy("team_id", "prompt_hash")
         .agg(F.count("*").alias("n"))
         .collect()
@@ -216,6 +215,35 @@ def test_late_rows_are_counted(spark, tmp_path):
     assert SU.dropped_late(query) == 1
 
 
+def test_late_rows_outlive_the_progress_kept(spark):
+    class Progress:
+        def __init__(self, batch, dropped):
+            self.runId, self.batchId, self.stateOperators = "r", batch, [type("O", (), {"numRowsDroppedByWatermark": dropped})]
+
+    late = SU.LateRows()
+    for batch in range(5):
+        late.onQueryProgress(type("E", (), {"progress": Progress(batch, 1)}))
+    query = type("Q", (), {"recentProgress": [Progress(4, 1)], "runId": "r"})
+    assert SU.dropped_late(query, late) == 5 and SU.dropped_late(query) == 1
+
+
+def test_drain_goes_on_where_it_stopped(spark, tmp_path):
+    source = str(tmp_path / "in")
+    log(spark, [(0, "t", "m", 1, True), (5, "t", "m", 1, False)]).write.parquet(source)
+    stream = run.file_stream(spark, source, USAGE_LOG).select("id", "team_id")
+    places = {"checkpoint": str(tmp_path / "state"), "out": str(tmp_path / "out")}
+    assert run.drain(stream, **places).count() == 2
+    assert run.drain(stream, **places).count() == 2
+
+
+def test_day_filter_in_any_zone(spark, tmp_path):
+    rows = log(spark, [(23 * 3600 + 1800, "t", "m", 1, True)])
+    U.write_usage_log(rows, str(tmp_path / "log"))
+    since = START.replace(tzinfo=timezone(timedelta(hours=9))) + timedelta(hours=32)
+    for df in (rows, U.read_usage_log(spark, str(tmp_path / "log"))):
+        assert U.scan(df, since=since).count() == 1
+
+
 def test_expiring_cache_stream(spark, tmp_path):
     rows, df = requests(spark, [0, 10, 3600, 3700, 9000])
     df.coalesce(1).write.mode("append").parquet(str(tmp_path))

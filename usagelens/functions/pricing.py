@@ -97,6 +97,9 @@ def with_cost(
         priced = df.withColumn("_price", known)
         rate_in, rate_out = F.col("_price.i"), F.col("_price.o")
     else:
+        # One price per model (the dearest, should the table have several), so no row is doubled.
+        rates = F.max(F.struct("input_per_1m", "output_per_1m")).alias("_r")
+        prices = prices.groupBy("model").agg(rates).select("model", "_r.*")
         known = prices.select(
             F.col("model").alias("_m"),
             F.col("input_per_1m").alias("_i"),

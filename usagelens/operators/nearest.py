@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK_ROWS = 4096
@@ -35,9 +36,15 @@ def keyed_vectors(df: DataFrame, key: str, embedding: str = "embedding") -> Data
 
 
 def _matrix(column) -> np.ndarray:
-    """Rows of unit length; a zero vector has no direction and stays zero."""
+    """Rows of unit length; a zero vector has no direction and stays zero.
+
+    Vectors of unequal length cannot be compared, so they are an error.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    sizes = pc.unique(pc.list_value_length(column)).to_pylist()
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of unequal length: {sorted(sizes)}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
     rows = flat.reshape(len(column), -1)
     length = np.linalg.norm(rows, axis=1, keepdims=True)
@@ -177,9 +184,12 @@ def _best_in_blocks(
         # In id order, so the first of equal matches is the lowest id.
         c = c.sort_by("cache_id")
         left, right = _matrix(q["u"]), _matrix(c["u"])
-        sims = np.round(left @ right.T, TIE_DIGITS)
+        if left.shape[1] != right.shape[1]:
+            raise ValueError(f"queries have {left.shape[1]} dimensions, entries {right.shape[1]}")
+        sims = left @ right.T
         sims[:, ~right.any(axis=1)] = NO_MATCH
-        at = sims.argmax(axis=1)
+        # Rounded to find ties only; the similarity itself stays as it is.
+        at = np.round(sims, TIE_DIGITS).argmax(axis=1)
         top = sims[np.arange(len(at)), at]
         keep = np.nonzero(left.any(axis=1) & (top > NO_MATCH))[0]
         return pa.table(
@@ -196,9 +206,9 @@ def _best_in_blocks(
         .cogroup(right.groupBy(*keys))
         .applyInArrow(best, f"{query_id} {id_type}, similarity double, cache_id {cid_type}")
     )
-    ranked = F.min(F.struct((-F.col("similarity")).alias("d"), F.col("cache_id"))).alias("_b")
-    return found.groupBy(query_id).agg(ranked).select(
-        query_id, F.col("_b.cache_id").alias("cache_id"), (-F.col("_b.d")).alias("similarity")
+    place_of = F.struct(F.round(-F.col("similarity"), TIE_DIGITS).alias("d"), F.col("cache_id"), F.col("similarity"))
+    return found.groupBy(query_id).agg(F.min(place_of).alias("_b")).select(
+        query_id, F.col("_b.cache_id").alias("cache_id"), F.col("_b.similarity").alias("similarity")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from usagelens.functions.text import prompt_hash
 from usagelens.session import cut_lineage
@@ -10,87 +10,60 @@ from usagelens.session import cut_lineage
 KEY = ["team_id", "prompt_hash"]
 # Fixed value: an entry serves for a day after it was set.
 TTL_SECONDS = 24 * 3600
-# A prompt sent more often than this is replayed by time slices.
-HEAVY_KEY_ROWS = 200_000
 
 
-def _light(rows: DataFrame, ttl_us: int) -> DataFrame:
-    """Moments that set the entry, for prompts with a bounded number of rows."""
-    times = F.array_sort(F.collect_set("_us"))
-    start = F.expr("cast(array() as array<bigint>)")
+def _followers(times: DataFrame, ttl_us: int) -> DataFrame:
+    """(key, moment, next): the first moment not before this one's expiry, null when there is none.
 
-    def step(sets, t):
-        last = F.try_element_at(sets, F.lit(-1))
-        late = last.isNull() | (t >= last + F.lit(ttl_us))
-        return F.when(late, F.concat(sets, F.array(t))).otherwise(sets)
-
-    folded = rows.groupBy(*KEY).agg(times.alias("_times"))
-    return folded.select(*KEY, F.explode(F.aggregate("_times", start, step)).alias("_set"))
+    Moments and expiries are merged inside slices of one TTL, so a prompt sent
+    very often is as many groups as it has slices. An expiry that no moment of
+    its slice follows takes the first moment of the next slice that has any.
+    """
+    slice_of = F.floor(F.col("at") / ttl_us).cast("bigint")
+    marks = times.select(*KEY, F.col("_us").alias("at"), F.col("_us").alias("moment"), F.lit(None).cast("bigint").alias("of"))
+    ends = times.select(
+        *KEY, (F.col("_us") + ttl_us).alias("at"), F.lit(None).cast("bigint").alias("moment"), F.col("_us").alias("of")
+    )
+    both = marks.unionByName(ends).withColumn("slice", slice_of)
+    onward = Window.partitionBy(*KEY, "slice").orderBy("at").rangeBetween(0, Window.unboundedFollowing)
+    inside = both.withColumn("next", F.min("moment").over(onward)).filter(F.col("of").isNotNull())
+    # One row per prompt and slice from here on.
+    firsts = both.groupBy(*KEY, "slice").agg(F.min("moment").alias("first"))
+    later = Window.partitionBy(*KEY).orderBy("slice").rowsBetween(1, Window.unboundedFollowing)
+    carried = firsts.select(*KEY, "slice", F.min("first").over(later).alias("carried"))
+    return inside.join(carried, [*KEY, "slice"]).select(
+        *KEY, F.col("of").alias("_us"), F.coalesce("next", "carried").alias("next")
+    )
 
 
-def _heavy(rows: DataFrame, ttl_us: int, ts: str) -> DataFrame:
-    """The same for prompts of any size, one stretch of TTL length after another.
+def settings(requests: DataFrame, ttl_seconds: int = TTL_SECONDS, ts: str = "created_at") -> DataFrame:
+    """(team, prompt, moment) of every time an entry was set.
 
-    Two settings are at least one TTL apart, so each stretch holds at most one
-    per prompt: the first request not before the expiry carried in. Each step
-    reads one stretch, reduces it map-side and carries one row per prompt.
+    Every moment points to the next setting, were it one itself. From each
+    prompt's first moment the pointers are followed by doubling: after n rounds
+    all settings up to 2^n - 1 steps away are known, and as two settings are at
+    least one TTL apart, log2(range / TTL) rounds reach them all.
     """
-    bounds = rows.agg(F.min("_us").alias("a"), F.max("_us").alias("b")).first()
-    if bounds["a"] is None:
-        return rows.select(*KEY, F.col("_us").alias("_set"))
-    state, start = None, bounds["a"]
-    while start <= bounds["b"]:
-        # On the stored column, so the stretch is cut out by the reader.
-        low, high = (F.timestamp_micros(F.lit(m)) for m in (start, start + ttl_us))
-        part = rows.filter((F.col(ts) >= low) & (F.col(ts) < high))
-        if "created_date" in rows.columns:
-            part = part.filter(F.col("created_date").between(F.to_date(low), F.to_date(high)))
-        if state is None:
-            state = part.groupBy(*KEY).agg(F.min("_us").alias("_last")).withColumn(
-                "_sets", F.array("_last")
-            )
-        else:
-            usable = part.join(
-                state.select(*KEY, (F.col("_last") + F.lit(ttl_us)).alias("_until")), KEY, "left"
-            ).filter(F.col("_until").isNull() | (F.col("_us") >= F.col("_until")))
-            found = usable.groupBy(*KEY).agg(F.min("_us").alias("_new"))
-            none = F.expr("cast(array() as array<bigint>)")
-            state = state.join(found, KEY, "full").select(
-                *KEY,
-                F.coalesce("_new", "_last").alias("_last"),
-                F.concat(
-                    F.coalesce("_sets", none), F.array_compact(F.array("_new"))
-                ).alias("_sets"),
-            )
-        state = cut_lineage(state)
-        start += ttl_us
-    return state.select(*KEY, F.explode("_sets").alias("_set"))
-
-
-def settings(
-    requests: DataFrame,
-    ttl_seconds: int = TTL_SECONDS,
-    heavy_rows: int = HEAVY_KEY_ROWS,
-    ts: str = "created_at",
-) -> DataFrame:
-    """(team, prompt, moment) of every time an entry was set."""
     ttl_us = ttl_seconds * 1_000_000
-    day = [c for c in ("created_date",) if c in requests.columns]
-    rows = requests.select(*KEY, ts, *day, F.unix_micros(F.col(ts)).alias("_us"))
-    sizes = rows.groupBy(*KEY).agg(F.count("*").alias("_n"))
-    # At most rows / heavy_rows prompts can be heavy.
-    heavy = sizes.filter(F.col("_n") > heavy_rows).select(*KEY)
-    if heavy.isEmpty():
-        return _light(rows, ttl_us)
-    few = _light(rows.join(heavy, KEY, "left_anti"), ttl_us)
-    many = _heavy(rows.join(heavy, KEY, "left_semi"), ttl_us, ts)
-    return few.unionByName(many)
+    times = requests.select(*KEY, F.unix_micros(F.col(ts)).alias("_us")).filter(F.col("_us").isNotNull()).distinct()
+    jumps = cut_lineage(_followers(times, ttl_us))
+    found = jumps.groupBy(*KEY).agg(F.min("_us").alias("_us"))
+    span = jumps.agg(F.max("_us") - F.min("_us")).first()[0] or 0
+    for _ in range((span // ttl_us + 1).bit_length()):
+        ahead = jumps.filter(F.col("next").isNotNull())
+        found = cut_lineage(
+            found.unionByName(found.join(ahead, [*KEY, "_us"]).select(*KEY, F.col("next").alias("_us"))).distinct()
+        )
+        twice = ahead.select(*KEY, F.col("_us").alias("next"), F.col("next").alias("after"))
+        jumps = cut_lineage(
+            ahead.join(twice, [*KEY, "next"]).select(*KEY, "_us", F.col("after").alias("next"))
+        )
+    return found.select(*KEY, F.col("_us").alias("_set"))
 
 
 def replay(
     requests: DataFrame,
     ttl_seconds: int = TTL_SECONDS,
-    heavy_rows: int = HEAVY_KEY_ROWS,
     text: str = "prompt_text",
     ts: str = "created_at",
 ) -> DataFrame:
@@ -101,7 +74,7 @@ def replay(
     """
     keyed = requests.select("team_id", prompt_hash(F.col(text)).alias("prompt_hash"), ts)
     sizes = keyed.groupBy(*KEY).agg(F.count("*").alias("requests"))
-    sets = settings(keyed, ttl_seconds, heavy_rows, ts).groupBy(*KEY).agg(
+    sets = settings(keyed, ttl_seconds, ts).groupBy(*KEY).agg(
         F.count("*").alias("sets")
     )
     return (

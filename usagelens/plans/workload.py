@@ -10,6 +10,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from usagelens.schemas import MAX_BODY_BYTES
 from usagelens.sources.requests import gather_messages
 
 # "Now" for the sample data, so results never depend on the clock.
@@ -193,10 +194,12 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return derive(spark, name, **{b: table(spark, folder, b) for b in used})
 
 
-def bodies(spark: SparkSession, folder: str, turns: str = "conversations") -> DataFrame:
-    """One JSON request body per conversation, a few of them broken."""
+def bodies(
+    spark: SparkSession, folder: str, turns: str = "conversations", max_bytes: int = MAX_BODY_BYTES
+) -> DataFrame:
+    """One JSON request body per conversation, a few of them broken; none for oversize ones."""
     rows = table(spark, folder, turns) if turns == "conversations" else view(spark, folder, turns)
-    gathered = gather_messages(rows)
+    gathered = gather_messages(rows, max_bytes=max_bytes)
     number = F.col("conv_id")
     model = F.when(number % 6 == 0, F.lit("openai/gpt-4o")).otherwise(F.lit(""))
     body = F.to_json(
@@ -218,5 +221,6 @@ def bodies(spark: SparkSession, folder: str, turns: str = "conversations") -> Da
         F.when(number % 5 == 0, F.lit("")).otherwise(F.lit("chat")).alias("feature_header"),
         model.alias("model_header"),
         # Every 13th body is not JSON.
-        F.when(number % 13 == 0, F.concat(F.lit("{"), body)).otherwise(body).alias("body"),
+        F.when(~F.col("oversize"), F.when(number % 13 == 0, F.concat(F.lit("{"), body)).otherwise(body)).alias("body"),
+        "oversize",
     )

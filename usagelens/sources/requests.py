@@ -23,15 +23,52 @@ def first_user_message(messages: Column) -> Column:
     return F.get(mine, F.lit(0))["content"]
 
 
+def _kind(value: Column, path: str) -> Column:
+    """Type name of a variant's field; null when it is absent, VOID when it is null."""
+    return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+
+
+def _is(kind: Column, *names: str) -> Column:
+    """Absent and null fields take any type."""
+    ok = kind.isNull() | (kind == "VOID")
+    for name in names:
+        ok = ok | kind.startswith(name)
+    return ok
+
+
+def well_typed(v: Column) -> Column:
+    """Whether a parsed body is an object whose known fields have their types; other fields are free."""
+    messages = F.try_variant_get(v, "$.messages", "array<variant>")
+    sound = F.forall(
+        messages,
+        lambda m: F.coalesce(_is(F.schema_of_variant(m), "OBJECT"), F.lit(True))
+        & _is(_kind(m, "$.role"), "STRING")
+        & _is(_kind(m, "$.content"), "STRING"),
+    )
+    whole = _is(_kind(v, "$.messages"), "ARRAY") & F.coalesce(sound, F.lit(True))
+    return (
+        F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+        & whole
+        & _is(_kind(v, "$.model"), "STRING")
+        & _is(_kind(v, "$.stream"), "BOOLEAN")
+        & _is(_kind(v, "$.max_tokens"), "BIGINT")
+        & _is(_kind(v, "$.temperature"), "BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
+    )
+
+
 def decode(requests: DataFrame, body: str = "body", max_bytes: int = MAX_BODY_BYTES) -> DataFrame:
     """Decode bodies and give each row its ``reject_reason`` (null when good).
 
-    Expects ``team_header``, ``feature_header`` and ``model_header``.
+    Expects ``team_header``, ``feature_header`` and ``model_header``. Rows marked
+    ``oversize`` (see ``gather_messages``) are too large whatever their body is.
     """
-    ok_size = F.octet_length(body) <= max_bytes
-    parsed = F.from_json(F.when(ok_size, F.col(body)), REQUEST_BODY)
-    readable = F.expr(f"try_parse_json({body}) is not null")
-    df = requests.withColumn("_b", parsed).withColumn("_readable", ok_size & readable)
+    too_large = F.coalesce(F.octet_length(body) > max_bytes, F.lit(False))
+    if "oversize" in requests.columns:
+        too_large = too_large | F.col("oversize")
+    ok_size = ~too_large
+    df = requests.withColumn("_v", F.try_parse_json(F.when(ok_size, F.col(body))))
+    df = df.withColumn("_b", F.from_json(F.when(ok_size, F.col(body)), REQUEST_BODY))
+    df = df.withColumn("_readable", ok_size & well_typed(F.col("_v")))
     df = df.withColumn("prompt_text", first_user_message(F.col("_b.messages")))
     reason = (
         F.when(~ok_size, F.lit("too_large"))
@@ -44,7 +81,7 @@ def decode(requests: DataFrame, body: str = "body", max_bytes: int = MAX_BODY_BY
         .withColumn("model_override", F.coalesce("model_header", F.lit("")))
         .withColumn("reject_reason", reason)
         .select(
-            *[c for c in requests.columns if c not in (body, "team_header", "feature_header", "model_header")],
+            *[c for c in requests.columns if c not in (body, "team_header", "feature_header", "model_header", "oversize")],
             "team_id",
             "feature_tag",
             "model_override",
@@ -96,20 +133,35 @@ def gather_messages(
     text: str = "text",
     max_bytes: int = MAX_BODY_BYTES,
 ) -> DataFrame:
-    """One row per request with its messages in turn order.
+    """One row per request: its messages in turn order, and whether it is ``oversize``.
 
-    Requests over the body limit cannot be sent (see ``oversize``); taking them
-    out first bounds what any one row gathers.
+    A request over the body limit is kept as a row without messages, so no one
+    row gathers more than the limit; ``decode`` rejects it as too large, and its
+    turns can still be worked on as rows (``oversize_turns``).
     """
-    big = oversize(turns, request, role, text, max_bytes)
+    big = oversize(turns, request, role, text, max_bytes).select(request)
     message = F.struct(F.col(turn).alias("t"), F.col(role).alias("role"), F.col(text).alias("content"))
-    rows = turns.join(big.select(request), request, "left_anti")
+    rows = turns.join(big, request, "left_anti")
     listed = F.array_sort(F.collect_list(message))
-    return rows.groupBy(request).agg(
+    small = rows.groupBy(request).agg(
         F.transform(
             listed, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))
         ).alias("messages")
     )
+    return small.withColumn("oversize", F.lit(False)).unionByName(
+        big.withColumn("oversize", F.lit(True)), allowMissingColumns=True
+    )
+
+
+def oversize_turns(
+    turns: DataFrame,
+    request: str = "conv_id",
+    role: str = "role",
+    text: str = "text",
+    max_bytes: int = MAX_BODY_BYTES,
+) -> DataFrame:
+    """The turns of the requests that ``gather_messages`` doesn't gather."""
+    return turns.join(oversize(turns, request, role, text, max_bytes).select(request), request, "left_semi")
 
 
 def reply_text(response: Column) -> Column:

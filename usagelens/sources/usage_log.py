@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from usagelens.schemas import USAGE_LOG, usage_violations
 
+LAID_OUT = T.StructType([*USAGE_LOG.fields, T.StructField("created_date", T.DateType())])
+
 
 def read_usage_log(spark: SparkSession, path: str) -> DataFrame:
-    """A log written by ``write_usage_log``; ``created_date`` prunes folders."""
-    return spark.read.parquet(path)
+    """A log written by ``write_usage_log``; ``created_date`` prunes folders.
+
+    The schema is given, so a log that has no rows yet reads as empty.
+    """
+    return spark.read.schema(LAID_OUT).parquet(path)
 
 
 def scan(
@@ -25,7 +30,8 @@ def scan(
     if since is not None:
         usage = usage.filter(F.col("created_at") >= F.lit(since))
         if "created_date" in usage.columns:
-            usage = usage.filter(F.col("created_date") >= F.lit(since.date()))
+            # Both days in the session's zone, whatever zone the moment was given in.
+            usage = usage.filter(F.col("created_date") >= F.to_date(F.lit(since)))
     if team is not None:
         usage = usage.filter(F.col("team_id") == team)
     return usage

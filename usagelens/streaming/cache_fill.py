@@ -23,9 +23,13 @@ def entries_before(spark: SparkSession, folder: str, batch_id: int | None = None
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _begin(spark: SparkSession, folder: str) -> None:
+    """Empty first batches, so both folders can be read before anything was written."""
+    for name, schema in (("entries", ENTRY), ("hits", HITS)):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/{name}/batch_id=-1")
 
 
 def cache_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,6 +52,7 @@ def fill(requests: DataFrame, folder: str, checkpoint: str) -> DataFrame:
     changes nothing.
     """
     spark = requests.sparkSession
+    _begin(spark, folder)
 
     def work(batch: DataFrame, batch_id: int) -> None:
         known = entries_before(spark, folder, batch_id).select("id", *KEY)

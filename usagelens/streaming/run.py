@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from usagelens.session import scratch_path
 
@@ -32,17 +32,18 @@ def drain(
     """Run the stream over what is there now and return what it emitted.
 
     Each micro-batch is written under its own id, so a batch that is tried again
-    after a failure replaces itself. In complete mode the last batch is the
-    result; otherwise all batches are.
+    after a failure replaces itself. What is returned is read from ``out``, so a
+    run that goes on from a checkpoint returns the rows of earlier runs as well.
+    In complete mode the last batch is the result; otherwise all batches are.
     """
     spark = stream.sparkSession
     out = out or scratch_path(spark, "stream-out")
-    last = {}
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        last["id"] = batch_id
 
+    # An empty first batch, so the folder is there whatever comes.
+    save(spark.createDataFrame([], stream.schema), -1)
     query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-state"))
@@ -51,11 +52,12 @@ def drain(
         .start()
     )
     query.awaitTermination()
-    if not last:
-        return spark.createDataFrame([], stream.schema)
+    schema = StructType([*stream.schema.fields, StructField("batch_id", LongType())])
+    rows = spark.read.schema(schema).parquet(out)
     if mode == "complete":
-        return spark.read.schema(stream.schema).parquet(f"{out}/batch_id={last['id']}")
-    return spark.read.schema(stream.schema).parquet(*[f"{out}/batch_id={i}" for i in range(last["id"] + 1)])
+        last = rows.agg(F.max("batch_id").alias("last"))
+        rows = rows.filter(F.col("batch_id") == last.scalar())
+    return rows.drop("batch_id")
 
 
 def each_batch(

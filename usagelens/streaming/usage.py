@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from usagelens.sources.usage_log import accepted, with_layout
 
@@ -84,10 +84,39 @@ def first_sightings(
     )
 
 
-def dropped_late(query: StreamingQuery) -> int:
-    """Rows the watermark refused so far in this run."""
-    return sum(
-        int(op.numRowsDroppedByWatermark)
-        for progress in query.recentProgress
-        for op in progress.stateOperators
-    )
+class LateRows(StreamingQueryListener):
+    """Counts the rows that watermarks refuse, batch by batch, for as long as it listens.
+
+    A query keeps its last progress entries only; this keeps one number per
+    batch. Attach it with ``spark.streams.addListener`` before the query starts.
+    """
+
+    def __init__(self) -> None:
+        self.batches: dict[tuple[str, int], int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.add(event.progress)
+
+    def add(self, progress) -> None:
+        dropped = sum(int(op.numRowsDroppedByWatermark) for op in progress.stateOperators)
+        self.batches[str(progress.runId), int(progress.batchId)] = dropped
+
+    def total(self, query: StreamingQuery) -> int:
+        """Rows refused so far in this run; entries still on their way to the listener are read from the query."""
+        for progress in query.recentProgress:
+            self.add(progress)
+        return sum(n for (run, _), n in self.batches.items() if run == str(query.runId))
+
+
+def dropped_late(query: StreamingQuery, late: LateRows | None = None) -> int:
+    """Rows the watermark refused so far in this run; give the listener for runs of many batches."""
+    return (late or LateRows()).total(query)
