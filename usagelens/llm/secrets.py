@@ -11,6 +11,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from usagelens.llm.bloom import Level, build, inside
 from usagelens.llm.common import written
 
 #: kind: (regex, group that is measured, characters it needs). The first three are fixed values.
@@ -31,6 +32,8 @@ BASE = ("assign", "access", "hex")
 _SPELT = 64
 #: Trigrams of one alternative that a query names.
 _NAMED = 4
+#: Bits at most of the filter that holds a rule's candidates.
+FILTER_BITS = 1 << 27
 
 
 def _grams(words: set[str]) -> frozenset | None:
@@ -127,6 +130,24 @@ def candidates(postings: DataFrame, queries: dict[str, list[frozenset]]) -> Data
     return held.select("id", *flags)
 
 
+def _key(id_: Column) -> Column:
+    return F.coalesce(id_.cast("string"), F.lit("-"))
+
+
+def _filters(found: DataFrame, kinds: list[str]) -> dict[str, Level]:
+    """For each rule a Bloom filter of its candidates' ids, of bounded size, so no text is moved to meet them.
+
+    It lets every candidate through, and a few texts more, in which the regex finds nothing.
+    """
+    counts = found.agg(*(F.count_if(F.col(k)).alias(k) for k in kinds)).first()
+    out = {}
+    for number, kind in enumerate(kinds):
+        bits = min(FILTER_BITS, max(64, 64 * (counts[kind] * 10 // 64)))
+        keys = found.where(kind).select(_key(F.col("id")).alias("key"), F.lit(0).alias("slice"))
+        out[kind] = build(keys, number, 1, 4, bits)
+    return out
+
+
 def _spans(text: Column, regex: str, group: int, least: int, kind: str, order: int) -> Column:
     """Leftmost matches that do not overlap, as structs (start, order, end, kind) in code points; short ones drop.
 
@@ -196,15 +217,15 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("an index has at most 62 trigrams; split the rules")
     plain = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     found = written(candidates(trigram_index(plain, _trigrams(queries)), queries), "candidates")
-    found = found.withColumnRenamed("id", "at")
-    rows = plain.join(found, plain["id"].eqNullSafe(found["at"]), "left")
+    asked_of = _filters(found, list(queries))
+    rows = plain.withColumn("key", _key(F.col("id")))
     none = F.expr("CAST(array() AS array<struct<start:int,`order`:int,`end`:int,kind:string>>)")
     for order, (kind, (regex, group, least)) in enumerate(rules.items()):
         # Runs of one class are maximal, so those long enough can be asked for at once.
         asked = f"[0-9a-f]{{{least},}}" if regex == "[0-9a-f]+" else regex
         spans = _spans(F.col("text"), asked, group, least, kind, order)
         if kind in queries:
-            spans = F.when(F.coalesce(F.col(kind), F.lit(False)), spans).otherwise(none)
+            spans = F.when(inside(F.col("key"), asked_of[kind]), spans).otherwise(none)
         else:
             spans = F.when(F.col("text").rlike(asked), spans).otherwise(none)
         rows = rows.withColumn(f"spans_{kind}", spans)
