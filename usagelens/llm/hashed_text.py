@@ -16,6 +16,8 @@ from usagelens.llm.common import written
 
 #: Terms kept from one token to the next occurrence, per worker.
 CACHE = 200_000
+#: Lengths of the word beginnings that are terms: inflected and compound forms share them.
+HEADS = range(3, 9)
 _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -24,11 +26,10 @@ def _hash(kind: str, term: str) -> int:
 
 
 def terms_of(token: str) -> tuple[int, ...]:
-    """Hashes of what a token shows: its word, its beginning and what it is made of."""
+    """Hashes of what a token shows: its word, its beginnings and what it is made of."""
     word = token.strip(_PUNCTUATION).lower()
     out = [_hash("word", word)] if word else [_hash("mark", token[:3])]
-    if len(word) >= 5:
-        out.append(_hash("head", word[:5]))
+    out.extend(_hash("head", word[:n]) for n in HEADS if n <= len(word))
     tail = token[len(token.rstrip(_PUNCTUATION)) :]
     if len(tail) >= 2 and word:
         out.append(_hash("tail", tail[-3:]))

@@ -12,7 +12,7 @@ from usagelens.llm.common import free_name
 from usagelens.llm.hashed_text import bounded_sample, hashed, placed, scored, screened
 
 #: Bounds and settings of the fit: labelled rows, terms, texts a term must be in, factors, passes, step, decay.
-ROWS, TERMS, LEAST_DOCS, FACTORS, EPOCHS, STEP, DECAY = 20_000, 4096, 5, 4, 8, 0.1, 2e-5
+ROWS, TERMS, LEAST_DOCS, FACTORS, EPOCHS, STEP, DECAY = 20_000, 1024, 5, 4, 8, 0.1, 2e-5
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 4, 2
 _BATCH = 64
 
