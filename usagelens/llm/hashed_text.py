@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from usagelens.llm.common import written
 
@@ -18,23 +18,21 @@ from usagelens.llm.common import written
 CACHE = 200_000
 #: Lengths of the word beginnings that are terms: inflected and compound forms share them.
 HEADS = range(3, 9)
+#: Seeds of the kinds of terms: the same string is another term in another kind.
+WORD, MARK, HEAD, TAIL, SHAPE = range(7, 12)
 _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
-def _hash(kind: str, term: str) -> int:
-    return xxhash.xxh64_intdigest(f"{kind}:{term}", seed=7)
-
-
 def terms_of(token: str) -> tuple[int, ...]:
     """Hashes of what a token shows: its word, its beginnings and what it is made of."""
     word = token.strip(_PUNCTUATION).lower()
-    out = [_hash("word", word)] if word else [_hash("mark", token[:3])]
-    out.extend(_hash("head", word[:n]) for n in HEADS if n <= len(word))
+    out = [xxh64_intdigest(word, WORD)] if word else [xxh64_intdigest(token[:3], MARK)]
+    out += [xxh64_intdigest(word[:n], HEAD) for n in HEADS if n <= len(word)]
     tail = token[len(token.rstrip(_PUNCTUATION)) :]
     if len(tail) >= 2 and word:
-        out.append(_hash("tail", tail[-3:]))
+        out.append(xxh64_intdigest(tail[-3:], TAIL))
     if len(word) > 1 and token.isupper():
-        out.append(_hash("shape", "upper"))
+        out.append(xxh64_intdigest("upper", SHAPE))
     return tuple(out)
 
 
@@ -52,7 +50,7 @@ def counts_of(text: str | None, cache: dict) -> dict[int, int]:
             counts[t] += n
     again = sum(map(str.__eq__, tokens, tokens[1:]))
     if again:
-        counts[_hash("shape", "again")] = again
+        counts[xxh64_intdigest("again", SHAPE)] = again
     return counts
 
 
@@ -136,7 +134,7 @@ def scored(text: Column, vocabulary: np.ndarray, predict: Callable[[np.ndarray,
     @F.pandas_udf(kind)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         places = {int(h) & (2**64 - 1): i for i, h in enumerate(vocabulary)}
-        again = places.get(_hash("shape", "again"))
+        again = places.get(xxh64_intdigest("again", SHAPE))
         known: dict[str, tuple[int, ...]] = {}
         for texts in batches:
             out = []
