@@ -7,29 +7,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelens.llm.common import free_name, row_key, written
 from usagelens.llm.components import components
+from usagelens.llm.shingles import shingle_hashes
+from usagelens.llm.similar import SIMILARITY, drop_similar
 
-BITS, SEED, HALF = 64, 42, 32
+BITS, HALF = 64, 32
 #: Buckets above this many fingerprints are cut again by the other half's variants.
 BUCKET = 4096
 _BLOCK = 1 << 14
 
 
 def _fingerprint(text: str | None, words: int) -> int:
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
+    values = shingle_hashes(text, words)
+    if not len(values):
         return 0
-    hash_ = xxhash.xxh64_intdigest
-    if len(tokens) < words:
-        grams = [b" ".join(tokens)]
-    else:
-        grams = map(b" ".join, zip(*(tokens[i:] for i in range(words))))
-    values = np.array([hash_(g, SEED) for g in grams], dtype=np.uint64)
     ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(values), _BLOCK):
         block = values[i : i + _BLOCK].view(np.uint8).reshape(-1, 8)
@@ -227,20 +222,25 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """One document of each component, with the columns of the input.
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = SIMILARITY
+) -> DataFrame:
+    """One document of each group of near duplicates, with the columns of the input.
 
-    Five words make a shingle here. The row with the smallest id stays; of rows with this id and the same text one,
-    of rows with this id and different texts the one whose text hash is smallest. Rows without id stay only where their
-    component has no other.
+    Five words make a shingle here. Fingerprints within three bits are classes; the row with the smallest id stays of
+    each; of rows with this id and the same text one, of rows with this id and different texts the one whose text hash
+    is smallest. Rows without id stay only where their component has no other. The classes' remaining rows are then
+    compared by their sets of shingles, and one of those linked by a similarity of `least` or more stays, the smallest
+    id again. Null and empty texts have fingerprint zero and are one class.
     """
     key = free_name(docs, "row_key")
     number = free_name(docs, "number")
     marked = docs.withColumn(key, row_key(docs[id_col], docs[text_col]))
     kept = near_duplicates(marked, (id_col, key), text_col, words).where("stays").select(key).distinct()
-    return (
+    alone = (
         marked.join(kept, key, "left_semi")
         .withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1))))
         .where(F.col(number) == 1)
         .select(*docs.columns)
     )
+    return drop_similar(written(alone, "classes"), id_col, text_col, words, least)
