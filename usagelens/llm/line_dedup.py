@@ -235,8 +235,8 @@ def line_classes(
     texts = written(
         lines.select(_node(F.col("line")).alias("node"), "line", "length")
         .where(inside(F.col("node"), likely))
-        .join(wanted, "node", "left_semi")
-        .dropDuplicates(["node"]),
+        .dropDuplicates(["node"])
+        .join(wanted, "node", "left_semi"),
         "texts",
     )
     if bucket is not None:
