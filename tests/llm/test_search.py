@@ -261,6 +261,22 @@ def test_repeats_in_awkward_rows(spark):
     assert substrings.without_repeats(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("shard_words", [50, substrings.SHARD_WORDS])
+def test_a_repeated_first_holder_keeps_a_partly_shared_passage(spark, shard_words):
+    pick = random.Random(5)
+
+    def own(n):
+        return [f"u{pick.randrange(10**9)}" for _ in range(n)]
+
+    passage = own(40)
+    # The passage ends differently in each row, so the runs at its edges have the same anchor and other words.
+    rows = [(k, " ".join(own(15) + passage + own(15))) for k in range(1, 6)]
+    got = substrings.without_repeats(frame(spark, rows + [rows[0]] * 2 + [rows[1]]), shard_words=shard_words).collect()
+    want = {r[0]: r for r in plain_windows(rows, substrings.WINDOW)}
+    assert sorted(r.doc_id for r in got) == [1, 1, 1, 2, 2, 3, 4, 5]
+    assert all(tuple(r) == want[r.doc_id] for r in got)
+
+
 def test_fm_index_counts():
     random_ = np.random.default_rng(1)
     text = np.r_[random_.integers(1, 5, 400), 0]

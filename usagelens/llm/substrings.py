@@ -177,8 +177,13 @@ def _index(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
         columns = [rows[c].take(hit).combine_chunks() for c in ("id", "key", "at")]
         return pa.RecordBatch.from_arrays([*columns, pa.array(bits[bits != 0])], names=["id", "key", "at", "bits"])
 
-    now = None
+    now = last = None
     for batch in batches:
+        # Repeats of a row come side by side: the first of them stands for all.
+        new = np.ones(batch.num_rows, dtype=bool)
+        for k, place in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
+            new[k], last = place != last, place
+        batch = batch.filter(pa.array(new))
         shards = batch.column(0).to_numpy()
         edges = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]) if len(shards) else np.empty(0, int)
         for low, high in zip(edges, np.r_[edges[1:], len(shards)]):
