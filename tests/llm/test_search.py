@@ -143,6 +143,23 @@ def test_leaks_against_all_alignments(spark):
     assert decontaminate.leaks(docs, bench.limit(0)).collect() == []
 
 
+def test_every_placement_of_two_substitutions_is_found(spark):
+    sizes = range(12, 21)
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in sizes]
+    rows, want = [], set()
+    for n, text in items:
+        for p in range(n):
+            for q in range(p + 1, n):
+                words = text.split()
+                words[p], words[q] = "one", "two"
+                if max(sum(w[0] == "i" for w in words[k : k + 13]) for k in range(max(1, n - 12))) >= 0.8 * min(n, 13):
+                    want.add((len(rows), n))
+                rows.append((len(rows), " ".join(["before"] * 5 + words + ["after"] * 5)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, rows), bench).collect()}
+    assert len(want) == len(rows) and got == want
+
+
 def random_lines(seed):
     pick, lines = random.Random(seed), []
     for _ in range(120):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +12,16 @@ from pyspark.sql import functions as F
 
 from usagelens.llm.common import free_name, row_key, slices, written
 
-#: Tokens a seed spans, tokens it looks at, number of seeds.
-SPAN, WEIGHT, SEEDS = 12, 8, 4
+#: Offsets that each seed looks at, seven of them. In any SPAN neighbouring tokens, whichever two are substituted, some
+#: seed at some place inside looks at neither.
+SPAN = 12
+MASKS = (
+    (0, 1, 3, 4, 5, 6, 7),
+    (0, 1, 2, 3, 5, 7, 8),
+    (0, 1, 5, 6, 8, 9, 10),
+    (0, 1, 2, 3, 4, 10, 11),
+)
+SEEDS = len(MASKS)
 #: An overlap: so many tokens side by side (or a whole shorter item) of which this share is equal.
 OVERLAP, SHARE = 13, 0.8
 #: Tokens kept on either side of a hit for verification.
@@ -25,12 +32,6 @@ _CHARS, _CACHE = 1 << 21, 300_000
 _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¿¡"
 
 
-def masks(seed: int = 11) -> list[tuple[int, ...]]:
-    """Fixed masks: the offsets looked at; first and last belong to every mask."""
-    pick = random.Random(seed)
-    return [tuple(sorted({0, SPAN - 1, *pick.sample(range(1, SPAN - 1), WEIGHT - 2)})) for _ in range(SEEDS)]
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
     x = x * np.uint64(0x9E3779B97F4A7C15)
@@ -64,8 +65,8 @@ class Tokens:
 def _seed_hashes(tokens: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
     """(seed number, hash at every start) of each mask; then of whole runs of the lengths given."""
     factors = _factors()
-    for number, mask in enumerate(masks()):
-        n = len(tokens) - SPAN + 1
+    for number, mask in enumerate(MASKS):
+        n = len(tokens) - mask[-1]
         if n > 0:
             total = np.zeros(n, dtype=np.uint64)
             for j in mask:
@@ -86,7 +87,7 @@ def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`item_id, tokens, seeds(number, hash, at)`: an item shorter than a seed has one seed, the whole of it."""
+    """`item_id, tokens, seeds(number, hash, at)`: an item of fewer than SPAN tokens has one seed, the whole of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Tokens()
@@ -95,11 +96,13 @@ def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for text in batch.column(1):
                 t = hashed(text.as_py())
                 tokens.append(t.view(np.int64))
-                short = [len(t)] if 0 < len(t) < SPAN else []
+                found = _seed_hashes(t, [])
+                if 0 < len(t) < SPAN:
+                    found = (x for x in _seed_hashes(t, [len(t)]) if x[0] >= SEEDS)
                 seeds.append(
                     [
                         {"number": number, "hash": int(h), "at": at}
-                        for number, hashes in _seed_hashes(t, short)
+                        for number, hashes in found
                         for at, h in enumerate(hashes.view(np.int64))
                     ]
                 )
@@ -151,7 +154,7 @@ def _regions(docs: DataFrame, id_cols: list[str], bits, short: list[int]) -> Dat
                     at = np.flatnonzero(there)
                     b = b[at]
                     at = at[((words[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)]
-                    span = SPAN if number < SEEDS else number - SEEDS
+                    span = MASKS[number][-1] + 1 if number < SEEDS else number - SEEDS
                     at = at[at + span <= ends[at]]
                     rows.append(np.stack([at, np.full(len(at), number), hashes[at].view(np.int64)], axis=1))
                 hits = np.concatenate(rows) if rows else np.empty((0, 3), np.int64)
@@ -200,12 +203,13 @@ def leaks(
     """One row per document and benchmark item it holds a passage of: ids, `item_id`, `doc_start`, `item_start`,
     `tokens` and `matches` of the best overlap.
 
-    Seeds ignore fixed token positions, so a hit survives substitutions there. Documents' seed hashes first pass a
+    Seeds ignore fixed token positions, so a hit survives substitutions there; the seeds together meet every overlap
+    with up to two substitutions, the most that the rule allows. Documents' seed hashes first pass a
     bit filter of fixed size, then join the benchmark's by equality; the two token rows are laid side by side along
     the hit's diagonal, and an overlap counts when OVERLAP neighbouring tokens (a whole item where that is shorter)
     agree in SHARE of their places. Places count tokens that have a letter or digit.
 
-    A null or empty text holds nothing; an empty item is in no document. Items shorter than a seed are looked for as
+    A null or empty text holds nothing; an empty item is in no document. Items of fewer than SPAN tokens are looked for as
     a whole, word for word. Null ids stay null; repeated rows share one result; repeated items are listed each; an
     empty table on either side gives no rows. Other columns are not read.
     """
