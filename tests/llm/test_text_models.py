@@ -107,3 +107,34 @@ def test_dropout_varies_and_long_chunks_agree():
     finally:
         pieces.LONG = before
     assert len({tuple(pieces.encode_chunks([" theothertion"], [d], own, 0.3, 5)) for d in range(30)}) > 3
+
+
+def test_every_occurrence_is_drawn_for_itself(spark):
+    """More segmentations than a handful, inside a document and between documents, at the dropout asked for."""
+    with open(pieces.MODEL, "rb") as f:
+        own = pieces.Pieces(f.read())
+    word = "theothertion"
+    docs = frame(spark, [(i, " ".join([word] * 200)) for i in range(40)])
+    split = {}
+    for r in pieces.encode(docs).collect():
+        words = " ".join(own.names[i] for i in r.ids).split(" " + pieces.SPACE)
+        split[r.doc_id] = [w.lstrip(pieces.SPACE) for w in words]
+    assert len({tuple(x) for x in split.values()}) == 40
+    assert all(len(set(x)) > 4 for x in split.values())
+    # As often as in independent draws, an occurrence has its undropped pieces.
+    word_alone = [" " + word]
+    plain = pieces.encode_chunks(word_alone, [0], own, 0.0, 5)[0]
+    name = " ".join(own.names[i] for i in pieces.np.frombuffer(plain, pieces.np.int32)).lstrip(pieces.SPACE)
+    same = [w == name for x in split.values() for w in x]
+    drawn = pieces.encode_chunks(word_alone * 8000, list(range(8000)), own, pieces.DROPOUT, 5)
+    assert abs(sum(same) / len(same) - sum(x == plain for x in drawn) / len(drawn)) < 0.04
+    # What is taken from the cache is what encoding the occurrence by itself gives.
+    texts, limit = [f"a {word}  naïve x\n{'ab' * 60} {word}"] * 3, pieces._limit(0.3)
+    coder, seen = pieces.Encoder(open(pieces.MODEL, "rb").read(), 0.3, 5), []
+    kept, pieces.Encoder._dropped = pieces.Encoder._dropped, lambda self, which, keys: seen.append(keys) or pieces.np.arange(len(which))
+    try:
+        alone = coder(texts, [1, 2, -3])
+    finally:
+        pieces.Encoder._dropped = kept
+    assert len(seen[0]) == 3 * len(pieces.split(texts[0])) and limit == coder.limit
+    assert coder(texts, [1, 2, -3]) == alone

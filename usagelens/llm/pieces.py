@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from usagelens.llm.common import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Share of candidate merges that are skipped, and the number of different draws for the same chunk.
-DROPOUT, DRAWS, SEED = 0.1, 4, 17
+#: Share of candidate merges that are skipped.
+DROPOUT, SEED = 0.1, 17
 SPACE = "▁"
 #: Longer chunks are encoded one by one.
 LONG = 64
@@ -137,10 +137,6 @@ def encode_chunks(chunks: list[str], draws: list[int], pieces: Pieces, dropout:
     seed, draw, chunk and candidate (its two pieces and its place) falls below the dropout; a skipped candidate stays
     out of the agenda until one of its pieces changes. Without dropout this is SentencePiece's own segmentation.
     """
-    out: list[bytes] = [b""] * len(chunks)
-    limit = min(int(dropout * 2.0**64), 2**64 - 1)
-    flat, sizes = pieces.starts(chunks)
-    begin = np.cumsum(sizes) - sizes
     keys = np.array(
         [
             xxhash.xxh64_intdigest(chunk.encode("utf-8", "surrogatepass"), seed * 1_000_003 + draw)
@@ -148,6 +144,25 @@ def encode_chunks(chunks: list[str], draws: list[int], pieces: Pieces, dropout:
         ],
         np.uint64,
     )
+    return encode_keyed(chunks, keys, pieces, _limit(dropout))
+
+
+def _limit(dropout: float) -> int:
+    """Candidates whose hash is below are skipped."""
+    return min(int(dropout * 2.0**64), 2**64 - 1)
+
+
+def encode_keyed(
+    chunks: list[str], keys: np.ndarray, pieces: Pieces, limit: int, paths: list[np.ndarray] | None = None
+) -> list[bytes]:
+    """`encode_chunks` with a key per chunk in the place of seed, draw and chunk.
+
+    `paths` (without a limit only) receives the codes of each chunk's merges, a code being what is hashed with the key.
+    """
+    out: list[bytes] = [b""] * len(chunks)
+    flat, sizes = pieces.starts(chunks)
+    begin = np.cumsum(sizes) - sizes
+    merges: list[tuple[np.ndarray, np.ndarray]] = []
     for k in np.flatnonzero(sizes > LONG):
         ids = encode_long(flat[begin[k] : begin[k] + sizes[k]].tolist(), int(keys[k]), pieces, limit)
         _put(out, np.array([k]), ids, np.array([len(ids)]), pieces)
@@ -156,7 +171,12 @@ def encode_chunks(chunks: list[str], draws: list[int], pieces: Pieces, dropout:
         step = max(1, (1 << 16) // width)
         for first in range(0, len(all_of), step):
             part = all_of[first : first + step]
-            _merge_rounds(out, part, flat, begin, sizes, keys, width, pieces, np.uint64(limit))
+            _merge_rounds(out, part, flat, begin, sizes, keys, width, pieces, np.uint64(limit), merges)
+    if paths is not None:
+        owner = np.concatenate([np.empty(0, np.int64), *(p for p, _ in merges)])
+        codes = np.concatenate([np.empty(0, np.uint64), *(c for _, c in merges)])
+        ends = np.cumsum(np.bincount(owner, minlength=len(chunks)))
+        paths.extend(np.split(codes[np.argsort(owner, kind="stable")], ends[:-1]) if chunks else [])
     return out
 
 
@@ -178,8 +198,8 @@ def _put(out: list[bytes], part: np.ndarray, flat: np.ndarray, counts: np.ndarra
         out[int(part[r])] = np.array(ids, np.int32).tobytes()
 
 
-def _merge_rounds(out, part, flat, begin, sizes, keys, width, pieces, limit) -> None:
-    """Segments chunks of up to `width` characters, one candidate per chunk and round."""
+def _merge_rounds(out, part, flat, begin, sizes, keys, width, pieces, limit, merges) -> None:
+    """Segments chunks of up to `width` characters, one candidate per chunk and round; `merges` lists those merged."""
     column = np.arange(width + 1)
     at = begin[part][:, None] + column
     there = column < sizes[part][:, None]
@@ -202,11 +222,13 @@ def _merge_rounds(out, part, flat, begin, sizes, keys, width, pieces, limit) ->
             if not len(part):
                 return
         a, b = ids[now, best], ids[now, best + 1]
+        pair = (a.astype(np.uint64) << np.uint64(40)) ^ (b.astype(np.uint64) << np.uint64(20))
+        code = pair ^ place[now, best].astype(np.uint64)
         if limit:
-            pair = (a.astype(np.uint64) << np.uint64(40)) ^ (b.astype(np.uint64) << np.uint64(20))
-            skip = _mixed(key ^ pair ^ place[now, best].astype(np.uint64)) < limit
+            skip = _mixed(key ^ code) < limit
         else:
             skip = np.zeros(len(part), bool)
+            merges.append((part, code))
         rank[now[skip], best[skip]] = worst
         go = np.flatnonzero(~skip)
         if not len(go):
@@ -238,38 +260,67 @@ def decode_ids(ids: np.ndarray, pieces: Pieces) -> str:
 
 
 class Encoder:
-    """Encodes texts; keeps the pieces of chunks met lately, up to a bound."""
-
-    def __init__(self, model: bytes, dropout: float, draws: int, seed: int) -> None:
-        self.pieces, self.dropout, self.draws, self.seed = Pieces(model), dropout, draws, seed
-        self.known: list[dict[str, bytes]] = [{} for _ in range(draws)]
-        self.before: list[dict[str, bytes]] = [{} for _ in range(draws)]
+    """Encodes texts; keeps what undropped merging gives for chunks met lately, up to a bound."""
+
+    def __init__(self, model: bytes, dropout: float, seed: int) -> None:
+        self.pieces, self.limit, self.seed = Pieces(model), _limit(dropout), seed
+        self._clear()
+
+    def _clear(self) -> None:
+        """Chunks' numbers, their undropped pieces, and the codes of their merges in a row."""
+        self.known: dict[str, int] = {}
+        self.plain: list[bytes] = []
+        self.codes, self.begin, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        paths: list[np.ndarray] = []
+        self.plain += encode_keyed(new, np.zeros(len(new), np.uint64), self.pieces, 0, paths)
+        for c in new:
+            self.known[c] = len(self.known)
+        count = np.array([len(p) for p in paths], np.int64)
+        # The merges of a long chunk are not listed: it is always encoded with its own key.
+        count[[len(c) > LONG for c in new]] = -1
+        self.begin = np.r_[self.begin, len(self.codes) + np.cumsum(np.maximum(count, 0)) - np.maximum(count, 0)]
+        self.codes = np.concatenate([self.codes, *paths])
+        self.count = np.r_[self.count, count]
+
+    def _dropped(self, which: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The occurrences of which a merge is skipped: each has the undropped merges up to its first skip."""
+        count = self.count[which]
+        hit = count < 0
+        order = np.argsort(count, kind="stable")
+        for k in range(int(count.max(initial=0))):
+            live = order[np.searchsorted(count[order], k, side="right") :]
+            live = live[~hit[live]]
+            hit[live] = _mixed(keys[live] ^ self.codes[self.begin[which[live]] + k]) < np.uint64(self.limit)
+        return np.flatnonzero(hit)
 
     def __call__(self, texts: list[str], marks: list[int]) -> list[bytes]:
-        """Piece ids of each text, as bytes of int32."""
-        draws = [int(m) % self.draws for m in marks]
+        """Piece ids of each text, as bytes of int32; a chunk's key is made of the text's mark and its place there."""
         chunks = [split(t) if t else [] for t in texts]
-        new: list[dict[str, None]] = [{} for _ in range(self.draws)]
-        for d, parts in zip(draws, chunks):
-            known, before = self.known[d], self.before[d]
-            for c in set(parts).difference(known):
-                if c in before:
-                    known[c] = before[c]
-                else:
-                    new[d][c] = None
-        asked = [(d, c) for d in range(self.draws) for c in new[d]]
-        found = encode_chunks([c for _, c in asked], [d for d, _ in asked], self.pieces, self.dropout, self.seed)
-        for (d, c), ids in zip(asked, found):
-            self.known[d][c] = ids
-        out = [b"".join(map(self.known[d].__getitem__, parts)) for d, parts in zip(draws, chunks)]
-        for d in range(self.draws):
-            if len(self.known[d]) > _CACHE // self.draws:
-                self.before[d], self.known[d] = self.known[d], {}
-        return out
-
-
-def _encode_batches(batches: Iterator[pa.RecordBatch], model: bytes, dropout: float, draws: int, seed: int):
-    encoder = Encoder(model, dropout, draws, seed)
+        if len(self.known) > _CACHE:
+            self._clear()
+        flat = [c for parts in chunks for c in parts]
+        new = list(dict.fromkeys(c for c in flat if c not in self.known))
+        if new:
+            self._learn(new)
+        which = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        sizes = np.array([len(parts) for parts in chunks], np.int64)
+        found = list(map(self.plain.__getitem__, which.tolist()))
+        if self.limit:
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            start = _mixed(np.array([m & (2**64 - 1) for m in marks], np.uint64) + np.uint64(self.seed))
+            keys = _mixed(np.repeat(start, sizes) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            again = self._dropped(which, keys)
+            asked = [flat[k] for k in again.tolist()]
+            for k, ids in zip(again.tolist(), encode_keyed(asked, keys[again], self.pieces, self.limit)):
+                found[k] = ids
+        ends = np.cumsum(sizes).tolist()
+        return [b"".join(found[high - len(parts) : high]) for parts, high in zip(chunks, ends)]
+
+
+def _encode_batches(batches: Iterator[pa.RecordBatch], model: bytes, dropout: float, seed: int):
+    encoder = Encoder(model, dropout, seed)
     for batch in batches:
         ids, texts, marks = batch.column(0), batch.column(1), batch.column(2)
         lengths = [len(t) if (t := x.as_py()) else 0 for x in texts]
@@ -307,13 +358,12 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     dropout: float = DROPOUT,
-    draws: int = DRAWS,
     seed: int = SEED,
 ) -> DataFrame:
     """The id, `ids`, `n_tokens` and `lossless` of every row; only these columns come out.
 
-    A hash of id and seed chooses one of `draws` segmentations of each chunk, so equal words differ between documents
-    and every run gives the same ids; `lossless` says that decoding gave the text again. Each row is encoded where it
+    Which merges are skipped follows from a hash of id, seed and the chunk's place in the text, so every occurrence of
+    a word is drawn for itself, inside a document too, and every run gives the same ids; `lossless` says that decoding gave the text again. Each row is encoded where it
     lies, without a shuffle. Repeated rows get the same ids. A null id draws like the id
     0. A null text counts as empty. A surrogate or space mark in a text is written as bytes. An empty table gives no
     rows. The model file is read by the driver and sent to the tasks (its size is fixed).
@@ -324,7 +374,7 @@ def encode(
     mark = F.xxhash64(F.lit(seed), F.coalesce(F.col("id"), F.lit(0)).cast("long"))
     rows = plain.select("id", "text", mark.alias("mark"))
     out = rows.mapInArrow(
-        lambda b: _encode_batches(b, model, dropout, draws, seed),
+        lambda b: _encode_batches(b, model, dropout, seed),
         f"id {plain.schema['id'].dataType.simpleString()}, ids array<int>, lossless boolean",
     )
     return out.select(F.col("id").alias(id_col), "ids", F.size("ids").alias("n_tokens"), "lossless")
