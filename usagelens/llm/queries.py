@@ -17,6 +17,7 @@ from usagelens.llm import (
     substrings,
     toxicity,
     url_filter,
+    whitening,
 )
 from usagelens.llm.common import table
 
@@ -67,6 +68,10 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
 
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -84,6 +89,7 @@ QUERIES = {
         op8_pieces,
         op9_line_dedup,
         op10_exact_dedup,
+        op13_embedding_whitening,
         pipeline,
     )
 }
