@@ -11,6 +11,7 @@ from usagelens.llm import (
     exact_dedup,
     line_dedup,
     pieces,
+    prefix_trie,
     quality,
     secrets,
     simhash,
@@ -68,6 +69,11 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = prefix_trie.turns_of(table(spark, folder, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.branched(turns))
+
+
 def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
@@ -89,6 +95,7 @@ QUERIES = {
         op8_pieces,
         op9_line_dedup,
         op10_exact_dedup,
+        op12_prefix_trie,
         op13_embedding_whitening,
         pipeline,
     )
