@@ -9,6 +9,7 @@ import corpus_pipeline
 from usagelens.llm import (
     decontaminate,
     exact_dedup,
+    katz,
     line_dedup,
     pieces,
     prefix_trie,
@@ -69,6 +70,10 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
 
+def op11_katz_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return katz.katz_scores(table(spark, folder, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     turns = prefix_trie.turns_of(table(spark, folder, "conversations"))
     return prefix_trie.prefix_trie(*prefix_trie.branched(turns))
@@ -95,6 +100,7 @@ QUERIES = {
         op8_pieces,
         op9_line_dedup,
         op10_exact_dedup,
+        op11_katz_scores,
         op12_prefix_trie,
         op13_embedding_whitening,
         pipeline,

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import free_name, written
+from usagelens.llm.common import written
 
 #: What is taken for zero, as a part of the largest singular value.
 ZERO = 1e-10
@@ -247,4 +247,4 @@ def whiten(
 
     kind = f"id {rows.schema['id'].dataType.simpleString()}, component int, n long, deviation long"
     out = rows.mapInArrow(run, f"{kind}, whitened double, explained double, identity_error double")
-    return out.withColumnRenamed("id", id_col if id_col != "component" else free_name(out, id_col))
+    return out.withColumnRenamed("id", id_col)
