@@ -25,8 +25,8 @@ from xxhash import xxh3_128_digest
 from usagelens.llm.common import written
 
 #: Tokens in a chunk (a longer text is a chunk of its own), and characters of the corpus per bucket.
-CHUNK = 1 << 22
-BUCKET_CHARS = 1 << 24
+CHUNK = 1 << 21
+BUCKET_CHARS = 1 << 23
 #: Largest count that is discounted.
 MOST = 5
 #: Ids beside those of known words: any word that was never counted, and what stands before a text's first word.
@@ -396,21 +396,23 @@ def _scored(chunks: DataFrame, answers: DataFrame, words: Words, d: np.ndarray,
         answers = right.to_pylist()
         c = _read(rows[0], answers, words, buckets)
         told = sorted((a for a in answers if a["third"] is not None), key=lambda a: a["bucket"])
-        total = np.zeros(len(c.before), np.int64)
-        stats = np.zeros((len(c.before), MOST + 1))
+        # Pairs after an unknown word are not asked for: they leave the word's own share.
+        logs = np.log10(words.share(c.word_count))
         at = 0
         for a in told:
             counts = _unpacked(a["first"], np.int64)
             part = c.order[at : at + len(counts)]
             at += len(part)
-            total[part] = counts
-            shares = _unpacked(a["third"], np.float64)
-            by_count = _unpacked(a["second"], np.int64).reshape(MOST, -1).T
             starts = _runs(c.before[part])
-            stats[part] = np.repeat(np.column_stack([by_count, shares]), np.diff(np.append(starts, len(part))), axis=0)
-        heavy = _hot(c.before_count, words, buckets) & (c.before != UNKNOWN)
-        stats[heavy] = hot_stats[np.searchsorted(hot_ids, c.before[heavy])]
-        logs = log_probabilities(total, c.word_count, c.before_count, stats[:, :-1], stats[:, -1], words, d)
+            begun = np.diff(np.append(starts, len(part)))
+            by_count, seen = _unpacked(a["second"], np.int64).reshape(MOST, -1).T, _unpacked(a["third"], np.float64)
+            heavy = np.flatnonzero(_hot(c.before_count[part][starts], words, buckets))
+            if len(heavy):
+                by_count, seen = by_count.copy(), seen.copy()
+                known = hot_stats[np.searchsorted(hot_ids, c.before[part][starts][heavy])]
+                by_count[heavy], seen[heavy] = known[:, :-1], known[:, -1]
+            stats = np.repeat(by_count, begun, axis=0), np.repeat(seen, begun)
+            logs[part] = log_probabilities(counts, c.word_count[part], c.before_count[part], *stats, words, d)
         starts = np.cumsum(c.lengths) - c.lengths
         plain = np.log10((c.count + 1) / (words.tokens + words.distinct + 1))
         return pa.Table.from_arrays(
