@@ -483,16 +483,6 @@ _usage(
     "metric_histogram_quantile",
     f", {_HIST}, {_QUANTILE.format(k=_LABELS)} SELECT {_LABELS}, round(quantile, 4) AS quantile FROM qt",
 )
-for _name, _label, _bounds in (
-    ("metric_lookup_latency", f"{_SERVED} AS type", (1, 2, 5, 10, 25, 50, 100, 250, 500)),
-    ("metric_embedding_latency", "cache_hit", (10, 25, 50, 100, 200, 500, 1000)),
-):
-    _values = ", ".join(f"({b}::DOUBLE)" for b in (*_bounds, -1))
-    _usage(
-        _name,
-        f"""SELECT {_label}, le, count(*) FILTER (latency_ms <= le OR le < 0) AS cumulative,
-        sum(latency_ms)::BIGINT AS sum, count(*) AS count FROM u CROSS JOIN (VALUES {_values}) AS b(le) GROUP BY ALL""",
-    )
 _add(
     "metric_proxy_status",
     "SELECT method, status, count(*) AS value FROM request_events GROUP BY ALL",
@@ -551,6 +541,34 @@ _lookup(
     CASE WHEN outcome = 'hit' THEN c.cost_usd END::DOUBLE AS cached_cost,
     round(similarity, 6) AS similarity FROM l LEFT JOIN prompt_cache c ON c.id = matched_id""",
 )
+ORACLES["semantic_lookup_all_lists"] = ORACLES["semantic_lookup"]
+_add(
+    "semantic_lookup_recall",
+    """SELECT count(*) AS queries, true AS recall_reached FROM probes
+    WHERE team_id IN (SELECT team_id FROM prompt_cache)""",
+    "prompt_cache",
+    "probes",
+)
+_add("vector_index_lists", "SELECT team_id, count(*) AS vectors, true AS bounded FROM prompt_cache GROUP BY team_id", "prompt_cache")
+_add(
+    "cache_scan_team",
+    """SELECT id, sha256(prompt_text) AS prompt_hash, model_used, hit_count FROM prompt_cache
+    WHERE team_id = 'default'""",
+    "prompt_cache",
+)
+_lookup(
+    "cached_replies",
+    """SELECT query_id, matched_id AS cache_id, 'reply to ' || c.prompt_text AS reply
+    FROM l JOIN prompt_cache c ON c.id = matched_id WHERE outcome = 'hit'""",
+)
+_add(
+    "top_prompts_by_team",
+    """SELECT team_id, rn AS rank, CASE WHEN length(prompt_text) > 80 THEN substr(prompt_text, 1, 80) || '...' ELSE prompt_text END AS prompt_preview,
+    hit_count, (hit_count * cost_usd)::DOUBLE AS cost_saved_usd
+    FROM (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY hit_count DESC, id) AS rn FROM prompt_cache)
+    WHERE rn <= 10""",
+    "prompt_cache",
+)
 _lookup(
     "near_misses",
     """SELECT query_id, l.team_id, l.prompt_text, c.prompt_text AS cached_text, round(similarity, 6) AS similarity
@@ -605,6 +623,30 @@ _add(
     round(list_sum(list(((n / norm)::FLOAT)::DOUBLE * (b + 1) ORDER BY b)), 3) AS weighted
     FROM w JOIN nrm ON nrm.h = w.h GROUP BY w.h""",
 )
+_VALID = """, ev AS (SELECT team_id, prompt_text, sha256(prompt_text) AS h, epoch_us(created_at) AS us FROM request_events),
+    early AS (SELECT sha256('common question ' || i) AS h, epoch_us(TIMESTAMP '2023-12-31 18:00:00') AS us
+      FROM range(0, {early}) AS r(i) WHERE sha256('common question ' || i) IN (SELECT h FROM ev)),
+    d AS (SELECT DISTINCT h, us FROM ev UNION SELECT h, us FROM early),
+    nx AS (SELECT *, min(us) OVER (PARTITION BY h ORDER BY us
+      RANGE BETWEEN 86400000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM d),
+    r AS (SELECT h, min(us) AS us FROM d GROUP BY h
+      UNION ALL SELECT nx.h, nx.next FROM r JOIN nx ON r.h = nx.h AND r.us = nx.us WHERE nx.next IS NOT NULL),
+    used AS (SELECT ev.*, r.us AS made FROM ev JOIN r ON r.h = ev.h AND r.us <= ev.us AND ev.us < r.us + 86400000000)"""
+_add(
+    "embed_valid_24h",
+    f"""{_VALID.format(early=5)}, src AS (SELECT DISTINCT h, prompt_text AS text FROM ev), {_BUCKETS},
+    v AS (SELECT w.h, round(list_sum(list(((n / norm)::FLOAT)::DOUBLE * (b + 1) ORDER BY b)), 3) AS weighted
+      FROM w JOIN nrm ON nrm.h = w.h GROUP BY w.h)
+    SELECT used.h AS text_hash, strftime(make_timestamp(made), '%Y-%m-%d %H:%M:%S.%f') AS computed_at,
+    count(*) AS requests, any_value(weighted) AS weighted FROM used JOIN v ON v.h = used.h GROUP BY used.h, made""",
+    "request_events",
+)
+_add(
+    "embedding_sources",
+    f"""{_VALID.format(early=0)} SELECT team_id, CASE WHEN us = made THEN 'computed' ELSE 'cached' END AS source,
+    count(*) AS requests FROM used GROUP BY ALL""",
+    "request_events",
+)
 _add(
     "cache_insert_if_absent",
     """, r AS (SELECT team_id, sha256(prompt_text) AS prompt_hash,
@@ -732,11 +774,56 @@ _add(
     "SELECT DISTINCT team_id, sha256(prompt_text) AS prompt_hash FROM request_events",
     "request_events",
 )
+def _population(pieces: int) -> str:
+    """Micro-batch after micro-batch: what is asked, what the entries before it serve, what becomes an entry."""
+    ctes = [
+        """ev AS (SELECT *, least((day(created_at) - 1) // 6, 4) AS piece, sha256(prompt_text) AS h FROM request_events),
+    src AS (SELECT DISTINCT h, prompt_text AS text FROM ev)""",
+        _BUCKETS,
+        """x AS (SELECT w.h, b, ((n / norm)::FLOAT)::DOUBLE AS v FROM w JOIN nrm ON nrm.h = w.h),
+    len AS (SELECT h, sqrt(sum(v * v)) AS l, round(list_sum(list(v * (b + 1) ORDER BY b)), 3) AS weighted FROM x GROUP BY h),
+    sims AS (SELECT q.h AS qh, c.h AS ch, round(sum(q.v * c.v) / (any_value(lq.l) * any_value(lc.l)), 9) AS sim
+      FROM x q JOIN x c ON c.b = q.b JOIN len lq ON lq.h = q.h JOIN len lc ON lc.h = c.h
+      GROUP BY q.h, c.h HAVING sim >= 0.85),
+    e0 AS (SELECT team_id, h, sha256(team_id || ':' || h) AS id, event_id FROM ev WHERE false)""",
+    ]
+    for k in range(pieces):
+        ctes.append(
+            f"""q{k} AS (SELECT team_id, h, count(*) AS n,
+        arg_min(event_id, (created_at, event_id)) FILTER (status BETWEEN 200 AND 299) AS event_id
+      FROM ev WHERE piece = {k} GROUP BY ALL),
+    x{k} AS (SELECT q.*, e.id AS exact_id FROM q{k} q LEFT JOIN e{k} e ON e.team_id = q.team_id AND e.h = q.h),
+    s{k} AS (SELECT team_id, h, id AS near_id FROM (
+        SELECT q.team_id, q.h, e.id, s.sim, row_number() OVER (PARTITION BY q.team_id, q.h ORDER BY s.sim DESC, e.id) AS rn
+        FROM x{k} q JOIN sims s ON s.qh = q.h JOIN e{k} e ON e.team_id = q.team_id AND e.h = s.ch
+        WHERE q.exact_id IS NULL) WHERE rn = 1 AND sim >= 0.92),
+    l{k} AS (SELECT q.*, near_id FROM x{k} q LEFT JOIN s{k} s ON s.team_id = q.team_id AND s.h = q.h),
+    e{k + 1} AS (SELECT * FROM e{k} UNION ALL SELECT team_id, h, sha256(team_id || ':' || h), event_id FROM l{k}
+      WHERE exact_id IS NULL AND near_id IS NULL AND event_id IS NOT NULL)"""
+        )
+    hits = " UNION ALL ".join(
+        f"SELECT coalesce(exact_id, near_id) AS id, CASE WHEN exact_id IS NULL THEN 0 ELSE n END AS a,"
+        f" CASE WHEN exact_id IS NULL THEN n ELSE 0 END AS b FROM l{k}"
+        for k in range(pieces)
+    )
+    ctes.append(f"hit AS (SELECT id, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b FROM ({hits}) WHERE id IS NOT NULL GROUP BY id)")
+    ctes.append(_PRICE)
+    ctes.append(
+        f"""o AS (SELECT e.id, e.team_id, e.h, ev.prompt_text, e.event_id, strlen(ev.prompt_text) // 4 AS tin,
+      e.event_id % 100 AS tout, ['groq/gpt-oss-20b', 'openai/gpt-4o', 'anthropic/claude-haiku-3'][e.event_id % 3 + 1] AS model
+      FROM e{pieces} e JOIN ev ON ev.event_id = e.event_id)"""
+    )
+    return ", ".join(ctes)
+
+
 _add(
     "stream_cache_population",
-    """SELECT sha256(team_id || ':' || sha256(prompt_text)) AS id, team_id, sha256(prompt_text) AS prompt_hash,
-    arg_min(event_id, (created_at, event_id)) AS event_id, 0::BIGINT AS hit_count
-    FROM request_events WHERE status BETWEEN 200 AND 299 GROUP BY team_id, prompt_text""",
+    f""", {_population(5)}
+    SELECT o.id, o.team_id, o.h AS prompt_hash, prompt_text, event_id, model AS model_used, tin::INT AS input_tokens,
+    tout::INT AS output_tokens, ({_priced('tin', 'tout')})::DOUBLE AS cost_usd, 'reply ' || event_id AS reply, weighted,
+    (coalesce(a, 0) + coalesce(b, 0))::BIGINT AS hit_count, coalesce(a, 0)::BIGINT AS exact_hits,
+    coalesce(b, 0)::BIGINT AS semantic_hits
+    FROM o JOIN price ON pm = model JOIN len ON len.h = o.h LEFT JOIN hit ON hit.id = o.id""",
     "request_events",
 )
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -23,7 +25,7 @@ from usagelens.operators import (
 )
 from usagelens.plans import request_flow, workload as W
 from usagelens.session import ROCKSDB, conf, scratch_path
-from usagelens.sources import prompt_cache as PC, requests as R, usage_log as U
+from usagelens.sources import cache_store, prompt_cache as PC, requests as R, usage_log as U, vector_index
 from usagelens.streaming import cache_fill, run, stateful, usage as SU
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,8 +35,19 @@ QUERIES: dict[str, Query] = {}
 RANGE = "30d"
 DAYS = range_days(RANGE)
 THRESHOLDS = [0.86, 0.88, 0.90, 0.92, 0.94, 0.96, 0.98]
-CELLS = 8
 PROBED = 4
+#: Tables that are stored once per session and folder, as a service keeps them: place by (session, folder, name).
+_KEPT: dict[tuple[str, str, str], str] = {}
+
+
+def _kept(spark, folder, name, make):
+    """Where the stored table is; ``make(place)`` writes it the first time."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _KEPT:
+        place = scratch_path(spark, name)
+        make(place)
+        _KEPT[key] = place
+    return _KEPT[key]
 
 
 def query(f: Query) -> Query:
@@ -462,6 +475,12 @@ def top_cached_prompts(spark, folder):
     return _money(reports.top_cached_prompts(W.view(spark, folder, "prompt_cache"), "default"))
 
 
+@query
+def top_prompts_by_team(spark, folder):
+    out = reports.top_prompts_by_team(W.view(spark, folder, "prompt_cache"))
+    return _money(out.withColumn("rank", F.col("rank").cast("bigint")))
+
+
 @query
 def complexity_distribution(spark, folder):
     out = reports.complexity_distribution(_usage(spark, folder))
@@ -563,17 +582,6 @@ def metric_latency_histogram(spark, folder):
     return _bounded(metrics.request_latency(_usage(spark, folder)))
 
 
-@query
-def metric_lookup_latency(spark, folder):
-    served = F.when(F.col("cache_hit"), F.lit("hit")).otherwise(F.lit("miss"))
-    return _bounded(metrics.lookup_latency(_usage(spark, folder).withColumn("type", served)))
-
-
-@query
-def metric_embedding_latency(spark, folder):
-    return _bounded(metrics.embedding_latency(_usage(spark, folder)))
-
-
 @query
 def metric_histogram_quantile(spark, folder):
     labels = ["model_used", "cache_hit", "complexity"]
@@ -609,24 +617,40 @@ def metric_embedding_requests(spark, folder):
 
 # ---- cache lookups
 
+BUCKETS = 8
 
-def _cache(spark, folder):
+
+def _cache_rows(spark, folder):
     cache = W.view(spark, folder, "prompt_cache")
-    return cache.withColumn("prompt_hash", T.prompt_hash(F.col("prompt_text")))
+    reply = F.struct(F.struct(F.concat(F.lit("reply to "), F.col("prompt_text")).alias("content")).alias("message"))
+    return cache.withColumn("prompt_hash", T.prompt_hash(F.col("prompt_text"))).withColumn(
+        "response_json", F.to_json(F.struct(F.array(reply).alias("choices")))
+    )
+
+
+def _cache(spark, folder):
+    """The cache as it is stored: bucketed by (team, hash)."""
+    name = "prompt_cache_" + hashlib.sha256(folder.encode()).hexdigest()[:12]
+    _kept(spark, folder, name, lambda path: cache_store.write_bucketed(_cache_rows(spark, folder), name, BUCKETS, path))
+    return spark.table(name)
+
+
+def _index(spark, folder):
+    """The stored index of the cache's vectors."""
+    return _kept(spark, folder, "vector-index", lambda path: vector_index.create(_cache_rows(spark, folder), path))
 
 
 def _probes(spark, folder):
     return W.view(spark, folder, "probes")
 
 
-def _pivots(cache):
-    vectors = nearest.keyed_vectors(cache, "id")
-    return nearest.build_cells(vectors, nearest.choose_pivots(vectors, "id", CELLS))
+def _lookups(spark, folder):
+    return lookup.two_layer(_probes(spark, folder), _cache(spark, folder), index=_index(spark, folder))
 
 
-def _lookups(spark, folder):
-    cache = _cache(spark, folder)
-    return lookup.two_layer(_probes(spark, folder), cache, cells=_pivots(cache))
+@query
+def cache_scan_team(spark, folder):
+    return PC.scan(_cache(spark, folder), "default").select("id", "prompt_hash", "model_used", "hit_count")
 
 
 @query
@@ -637,7 +661,7 @@ def exact_lookup(spark, folder):
 
 @query
 def semantic_lookup(spark, folder):
-    found = nearest.nearest(_probes(spark, folder), _cache(spark, folder))
+    found = nearest.nearest(_probes(spark, folder), _cache_rows(spark, folder))
     return found.select("query_id", "cache_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -649,6 +673,12 @@ def two_layer_lookup(spark, folder):
     )
 
 
+@query
+def cached_replies(spark, folder):
+    hits = _lookups(spark, folder).filter(F.col("cache_id").isNotNull())
+    return hits.select("query_id", "cache_id", R.reply_text(F.col("cached_response")).alias("reply"))
+
+
 @query
 def near_misses(spark, folder):
     out = lookup.near_misses(_lookups(spark, folder), _cache(spark, folder))
@@ -658,7 +688,7 @@ def near_misses(spark, folder):
 @query
 def threshold_sweep(spark, folder):
     cache, probes = _cache(spark, folder), _probes(spark, folder)
-    best = nearest.nearest(probes, cache, floor=V.NEAR_AT, cells=_pivots(cache))
+    best = vector_index.probe(probes, _index(spark, folder), None, V.NEAR_AT)
     labels = cache.select(F.col("id").alias("cache_id"), F.col("label").alias("cached_label"))
     rows = probes.select("query_id", "label").join(best, "query_id", "left").join(labels, "cache_id", "left")
     rows = rows.withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
@@ -676,13 +706,34 @@ def cache_quality(spark, folder):
 
 @query
 def semantic_lookup_ivf(spark, folder):
-    cache = _cache(spark, folder)
-    vectors = nearest.keyed_vectors(cache, "id")
-    cells = nearest.build_cells(vectors, nearest.trained_pivots(vectors, 16))
-    found = nearest.nearest_approximate(_probes(spark, folder), cache, cells, PROBED)
+    found = vector_index.probe(_probes(spark, folder), _index(spark, folder), PROBED)
     return found.select("query_id", "cache_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query
+def semantic_lookup_all_lists(spark, folder):
+    found = vector_index.probe(_probes(spark, folder), _index(spark, folder), None)
+    return found.select("query_id", "cache_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def semantic_lookup_recall(spark, folder):
+    probes, index = _probes(spark, folder), _index(spark, folder)
+    few = vector_index.probe(probes, index, PROBED).select("query_id", F.col("cache_id").alias("found"))
+    best = vector_index.probe(probes, index, None).join(few, "query_id", "left")
+    same = F.count_if(F.col("found") == F.col("cache_id"))
+    return best.agg(F.count("*").alias("queries"), (same >= 0.9 * F.count("*")).alias("recall_reached"))
+
+
+@query
+def vector_index_lists(spark, folder):
+    """What the index holds: all vectors, each in one list, blocks within their bound."""
+    blocks = vector_index.blocks_of(spark, _index(spark, folder), "bigint")
+    return blocks.groupBy("team_id").agg(
+        F.sum(F.size("ids")).alias("vectors"), (F.max(F.size("ids")) <= vector_index.BLOCK).alias("bounded")
+    )
+
+
 def _known_embeddings(spark, folder):
     """Embeddings of what the system messages say are there already."""
     turns = W.table(spark, folder, "conversations").filter(F.col("role") == "system")
@@ -690,14 +741,41 @@ def _known_embeddings(spark, folder):
     return embedding.embed(texts)
 
 
+#: Texts that were embedded six hours before the sample begins.
+EARLY = datetime(2023, 12, 31, 18)
+
+
 @query
-def embed_pending(spark, folder):
-    turns = W.table(spark, folder, "conversations")
-    out = embedding.embed_missing(turns, _known_embeddings(spark, folder))
+def embed_valid_24h(spark, folder):
+    ev = W.view(spark, folder, "request_events")
+    early = spark.range(5).select(F.concat(F.lit("common question "), F.col("id").cast("string")).alias("text"))
+    known = embedding.embed(early.select(T.prompt_hash(F.col("text")).alias("text_hash"), "text"))
+    known = known.withColumn("computed_at", F.lit(EARLY).cast("timestamp"))
+    out = embedding.embed_valid(ev, known, text="prompt_text")
+    return out.select("text_hash", _when("computed_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "requests", _weighted())
+
+
+@query
+def embedding_sources(spark, folder):
+    ev = W.view(spark, folder, "request_events")
+    known = spark.createDataFrame([], "text_hash string, computed_at timestamp")
+    out = embedding.embedding_times(ev, known, text="prompt_text")
+    return out.groupBy("team_id", "source").agg(F.count("*").alias("requests"))
+
+
+def _weighted():
+    """A number that depends on every entry of the vector."""
     weighted = F.aggregate(
         F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x
     )
-    return out.select("text_hash", "source", F.round(weighted, 3).alias("weighted"))
+    return F.round(weighted, 3).alias("weighted")
+
+
+@query
+def embed_pending(spark, folder):
+    turns = W.table(spark, folder, "conversations")
+    out = embedding.embed_missing(turns, _known_embeddings(spark, folder))
+    return out.select("text_hash", "source", _weighted())
 
 
 @query
@@ -853,11 +931,50 @@ def stream_ttl_cache(spark, folder):
     ).agg(F.count("*").alias("requests"))
 
 
+def _in_order(spark, folder, table="events"):
+    """A folder with the events in five files, each of six days, the oldest first; one file is one micro-batch."""
+
+    def make(place):
+        events = W.table(spark, folder, table).withColumn("_piece", F.least(F.floor((F.dayofmonth("ts") - 1) / 6), F.lit(4)))
+        for k in range(PIECES):
+            events.filter(F.col("_piece") == k).drop("_piece").coalesce(1).write.mode("append").parquet(place)
+
+    return _kept(spark, folder, "events-in-order", make)
+
+
+PIECES = 5
+
+
+def _ordered_stream(spark, folder, view):
+    schema = W.table(spark, folder, "events").schema
+    events = run.file_stream(spark, _in_order(spark, folder), schema, files_per_trigger=1)
+    return W.derive(spark, view, events=events)
+
+
 @_streaming
 def stream_cache_population(spark, folder):
-    ev = _event_stream(spark, folder, "request_events")
-    out = cache_fill.fill(ev, scratch_path(spark, "cache"), scratch_path(spark, "state"))
-    return out.select("id", "team_id", "prompt_hash", "event_id", "hit_count")
+    ev = _ordered_stream(spark, folder, "request_events")
+    models = F.array(*(F.lit(m) for m in ("groq/gpt-oss-20b", "openai/gpt-4o", "anthropic/claude-haiku-3")))
+    reply = F.struct(F.struct(F.concat(F.lit("reply "), F.col("event_id").cast("string")).alias("content")).alias("message"))
+    ev = (
+        ev.withColumn("response_json", F.to_json(F.struct(F.array(reply).alias("choices"))))
+        .withColumn("model_used", F.element_at(models, (F.col("event_id") % 3 + 1).cast("int")))
+        .withColumn("input_tokens", T.byte_tokens(F.col("prompt_text")).cast("int"))
+        .withColumn("output_tokens", (F.col("event_id") % 100).cast("int"))
+    )
+    ev = pricing.with_cost(ev, model="model_used").withColumn("cost_usd", F.col("cost_usd").cast("decimal(10,8)"))
+    store = cache_store.CacheStore(spark, scratch_path(spark, "cache"))
+    store = cache_fill.fill(ev, store, scratch_path(spark, "state"), compact_every=3)
+    per_layer = store.hits().groupBy("id").pivot("layer", ["exact_hash", "semantic"]).agg(F.sum("new_hits"))
+    out = store.table().join(per_layer, "id", "left").na.fill(0, ["exact_hash", "semantic"])
+    return _money(
+        out.select(
+            "id", "team_id", "prompt_hash", "prompt_text", "event_id", "model_used", "input_tokens", "output_tokens",
+            "cost_usd", R.reply_text(F.col("response_json")).alias("reply"), _weighted(),
+            F.col("hit_count").cast("bigint").alias("hit_count"),
+            F.col("exact_hash").alias("exact_hits"), F.col("semantic").alias("semantic_hits"),
+        )
+    )
 
 
 # ---- end to end

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from usagelens.operators import embedding, lookup, nearest
 from usagelens.plans import workload as W
-from usagelens.session import scratch_path
-from usagelens.sources import prompt_cache as PC
+from usagelens.session import conf, scratch_path
+from usagelens.sources import cache_store, prompt_cache as PC, vector_index
+from usagelens.sources.cache_store import CacheStore
 from usagelens.streaming import cache_fill
 
 DIMS = 8
@@ -133,27 +134,204 @@ def test_embed_only_what_is_missing(spark):
     assert counts == {"hit": 1, "miss": 41}
 
 
-def test_cache_fill_over_several_batches(spark, tmp_path):
+REPLY = "response_json string, model_used string, input_tokens int, output_tokens int, cost_usd decimal(10,8)"
+
+
+def _batches(spark, folder, batches):
+    """One file per micro-batch."""
     from datetime import datetime, timedelta
+    from decimal import Decimal
 
-    start = datetime(2024, 1, 1)
-    batches = [
-        [("t", "a", 200), ("t", "a", 200), ("t", "b", 502)],
-        [("t", "a", 200), ("u", "a", 200), ("t", "b", 200)],
-        [("t", "a", 200), ("t", "b", 200)],
-    ]
-    schema = "team_id string, prompt_text string, status int, created_at timestamp, event_id long"
-    n = 0
-    for k, rows in enumerate(batches):
+    start, n = datetime(2024, 1, 1), 0
+    schema = f"team_id string, prompt_text string, status int, created_at timestamp, event_id long, {REPLY}"
+    for rows in batches:
         full = []
         for r in rows:
-            full.append((*r, start + timedelta(seconds=n), n))
+            full.append((*r, start + timedelta(seconds=n), n, f"reply {n}", "m", 1, 2, Decimal("0.00000100")))
             n += 1
-        spark.createDataFrame(full, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    folder, state = scratch_path(spark, "cache"), scratch_path(spark, "state")
-    got = {(r["team_id"], r["prompt_text"]): (r["event_id"], r["hit_count"]) for r in cache_fill.fill(files, folder, state).collect()}
-    assert got == {("t", "a"): (0, 2), ("u", "a"): (4, 0), ("t", "b"): (5, 1)}
-    # A second run finds nothing new.
-    again = cache_fill.fill(files, folder, state)
-    assert again.count() == 3
+        spark.createDataFrame(full, schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+# "c b a" and "a b c" have the same words and so the same vector.
+BATCHES = [
+    [("t", "a", 200), ("t", "a", 200), ("t", "b", 502), ("t", "a b c", 200)],
+    [("t", "a", 200), ("u", "a", 200), ("t", "b", 200), ("t", "c b a", 200), ("u", "c b a", 502)],
+    [("t", "a", 200), ("t", "b", 200), ("t", "c b a", 200), ("t", "a b c", 200)],
+    [("t", "b", 502), ("u", "c b a", 502)],
+]
+
+
+def _filled(store):
+    hits = {(r["id"], r["layer"]): r["new_hits"] for r in store.hits().groupBy("id", "layer").agg(F.sum("new_hits").alias("new_hits")).collect()}
+    return {
+        (r["team_id"], r["prompt_text"]): (r["event_id"], r["response_json"], hits.get((r["id"], "exact_hash"), 0), hits.get((r["id"], "semantic"), 0), r["hit_count"])
+        for r in store.table().collect()
+    }
+
+
+@pytest.mark.parametrize("compact_every", [None, 1, 2])
+def test_cache_fill_over_several_batches(spark, tmp_path, compact_every):
+    files = _batches(spark, str(tmp_path / "in"), BATCHES)
+    state = scratch_path(spark, "state")
+    store = CacheStore(spark, scratch_path(spark, "cache"))
+    want = {
+        ("t", "a"): (0, "reply 0", 2, 0, 2),
+        ("t", "a b c"): (3, "reply 3", 1, 2, 3),
+        ("u", "a"): (5, "reply 5", 0, 0, 0),
+        ("t", "b"): (6, "reply 6", 2, 0, 2),
+    }
+    assert _filled(cache_fill.fill(files, store, state, compact_every=compact_every)) == want
+    # A second run finds nothing new, and a batch that is tried again changes nothing.
+    assert _filled(cache_fill.fill(files, store, state, compact_every=compact_every)) == want
+    entries = store.entries(4).filter("event_id = 6")
+    store.add(spark.createDataFrame(entries.collect(), entries.schema), 1 if compact_every is None else 3)
+    assert store.entries().filter("event_id = 6").count() <= 2
+
+
+def test_a_batch_tried_again_changes_nothing(spark, tmp_path):
+    """The work of the second batch is done twice, as after a crash before its commit."""
+    files = _batches(spark, str(tmp_path / "in"), BATCHES)
+    store = CacheStore(spark, scratch_path(spark, "cache"))
+    kept = cache_fill.each_batch
+
+    def twice(stream, work, checkpoint):
+        kept(stream, lambda batch, n: [work(batch, n) for _ in range(2)], checkpoint)
+
+    cache_fill.each_batch = twice
+    try:
+        got = _filled(cache_fill.fill(files, store, scratch_path(spark, "state")))
+    finally:
+        cache_fill.each_batch = kept
+    assert {k: v[2:] for k, v in got.items()} == {("t", "a"): (2, 0, 2), ("t", "a b c"): (1, 2, 3), ("u", "a"): (0, 0, 0), ("t", "b"): (2, 0, 2)}
+
+
+@pytest.fixture(scope="module")
+def indexed(spark, vectors):
+    cache, probes, c, p = vectors
+    path = scratch_path(spark, "index")
+    vector_index.create(cache, path, lists=6)
+    return path
+
+
+@pytest.mark.parametrize("floor", [None, 0.85, 0.97])
+def test_stored_index_is_exact_over_all_lists(vectors, indexed, floor):
+    cache, probes, c, p = vectors
+    want = brute(c, p) if floor is None else brute(c, p, floor)
+    same(found(vector_index.probe(probes, indexed, None, floor)), want)
+
+
+def test_stored_index_finds_most_in_few_lists(vectors, indexed):
+    cache, probes, c, p = vectors
+    want, few = brute(c, p), found(vector_index.probe(probes, indexed, 2))
+    assert sum(few.get(q, (None, 0))[1] >= s - 1e-6 for q, (_, s) in want.items()) / len(want) >= 0.8
+
+
+def test_index_grows_by_versions_without_training(spark, vectors):
+    cache, probes, c, p = vectors
+    path = scratch_path(spark, "index")
+    vector_index.create(cache.filter("id < 100"), path, lists=6)
+    centres = vector_index.centres_of(spark, path)
+    for _ in range(2):
+        # The second time replaces the first.
+        vector_index.append(cache.filter("id >= 100 AND id < 250"), path, version=1)
+        vector_index.append(cache.filter("id >= 250"), path, version=2)
+    assert np.array_equal(vector_index.centres_of(spark, path), centres)
+    same(found(vector_index.probe(probes, path, None)), brute(c, p))
+    early = [r for r in c if r[0] < 250]
+    same(found(vector_index.probe(probes, path, None, 0.85, before=2)), brute(early, p, 0.85))
+    into = scratch_path(spark, "index")
+    vector_index.compact(spark, path, "bigint", 2, into)
+    same(found(vector_index.probe(probes, into, None)), brute(early, p))
+
+
+def test_index_puts_out_what_it_cannot_hold(spark, vectors, indexed):
+    rows = [(1, "big", None), (2, "big", [1.0, 2.0]), (3, "big", [0.0] * DIMS), (4, "big", [1.0] * DIMS), (5, "big", [None] + [1.0] * (DIMS - 1))]
+    odd = spark.createDataFrame(rows, "id long, team_id string, embedding array<double>")
+    assert sorted(r["id"] for r in vector_index.unusable(odd, indexed).collect()) == [1, 2, 3, 5]
+    assert vector_index.probe(odd.withColumnRenamed("id", "query_id"), indexed, 4).count() == 1
+    empty = scratch_path(spark, "index")
+    vector_index.create(odd.limit(0), empty)
+    assert vector_index.probe(odd.withColumnRenamed("id", "query_id"), empty, 4).count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_probe_reads_only_the_lists_it_needs(vectors, indexed):
+    cache, probes, c, p = vectors
+    assert "dynamicpruning" in _plan(vector_index.probe(probes.limit(1), indexed, 1)).lower()
+
+
+def test_lookup_does_not_move_the_bucketed_cache(spark):
+    rows = [(i, "t", f"prompt {i}") for i in range(200)]
+    cache = spark.createDataFrame(rows, "id long, team_id string, prompt_text string").withColumn("prompt_hash", F.sha2("prompt_text", 256))
+    stored = cache_store.write_bucketed(cache, "bucketed_cache", 8)
+    asked = cache.filter("id % 3 = 0").select("team_id", "prompt_hash", F.col("id").alias("query_id"))
+    with conf(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        looked = lookup.exact(asked, stored)
+        plan = _plan(looked).split("Exchange")
+        # One exchange, of the queries; the cache is read in its buckets.
+        assert len(plan) == 2 and "Bucketed: true" in plan[0] + plan[1]
+        assert looked.filter("cache_id = query_id").count() == 67
+        fresh = PC.new_entries(asked.withColumn("n", F.lit(1)), stored, ["query_id"])
+        assert "Bucketed: true" in _plan(fresh) and fresh.count() == 0
+    cache_store.write_bucketed(cache.withColumn("team_id", F.lit("u")), "bucketed_cache", 8, _path_of(spark, "bucketed_cache"))
+    assert spark.table("bucketed_cache").count() == 400
+
+
+def _path_of(spark, table):
+    rows = spark.sql(f"DESCRIBE EXTENDED {table}").collect()
+    return next(r["data_type"] for r in rows if r["col_name"] == "Location")
+
+
+def test_hashed_words_are_the_function_s(spark):
+    texts = ["", " ", "a", "a b", "a  b ", "unique question 17", "x y " * 500, "é 日本 😀"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r["text"]: r["v"] for r in rows.select("text", embedding.hashed_words(F.col("text")).alias("v")).collect()}
+    for t, w in zip(texts, embedding.word_buckets(texts).astype("float32")):
+        assert np.array_equal(np.array(got[t], "float32"), w)
+    assert "Python" not in _plan(embedding.embed_missing(rows, embedding.embed(rows.withColumn("text_hash", F.sha2("text", 256)))))
+
+
+def _times(rows, known, ttl):
+    """Each text's requests in turn."""
+    out = []
+    for text in {t for t, _ in rows}:
+        made = known.get(text)
+        for at in sorted(a for t, a in rows if t == text):
+            if made is None or at >= made + ttl:
+                made = at
+            out.append((text, at, made))
+    return sorted(out)
+
+
+def test_embeddings_are_made_again_after_a_day(spark):
+    import random
+    from datetime import datetime, timedelta, timezone
+
+    pick, start = random.Random(2), datetime(2024, 1, 1)
+    rows = [("hot", pick.randrange(30 * 86400)) for _ in range(600)]
+    rows += [(f"t{pick.randrange(20)}", pick.randrange(30 * 86400)) for _ in range(300)]
+    rows += [("edge", 0), ("edge", 86399), ("edge", 86400), ("edge", 86400), ("known", 10), ("known", 3600)]
+    known = {"known": -86000, "t1": -50, "never asked": -5}
+    asked = spark.createDataFrame([(t, start + timedelta(seconds=a)) for t, a in rows], "text string, created_at timestamp")
+    before = spark.createDataFrame([(t, start + timedelta(seconds=a)) for t, a in known.items()], "text string, computed_at timestamp")
+    before = embedding.embed(before.select(F.sha2("text", 256).alias("text_hash"), "text")).join(before.select(F.sha2("text", 256).alias("text_hash"), "computed_at"), "text_hash")
+    out = embedding.embedding_times(asked, before).collect()
+    second = lambda t: round((t - start).total_seconds())
+    want = _times(rows, known, 86400)
+    assert sorted((r["text"], second(r["created_at"]), second(r["computed_at"])) for r in out) == want
+    assert all((r["source"] == "computed") == (r["created_at"] == r["computed_at"]) for r in out)
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting(batch):
+        calls.add(len(batch))
+        return embedding.word_buckets(batch)
+
+    used = embedding.embed_valid(asked, before, embedder=counting).collect()
+    assert len(used) == len({(t, m) for t, _, m in want}) and sum(r["requests"] for r in used) == len(rows)
+    native = embedding.embed_valid(asked, before).collect()
+    assert sorted(map(str, used)) == sorted(map(str, native)) and all(r["embedding"] for r in native)
+    assert calls.value >= len({t for t, _, m in want if m >= 0}) - 2

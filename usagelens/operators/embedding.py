@@ -7,17 +7,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from usagelens.functions.text import prompt_hash
+from usagelens.operators.replay import TTL_SECONDS, settings
+from usagelens.session import stored
 
 Embedder = Callable[[list[str]], np.ndarray]
 BATCH_SIZE = 20
 
 
-
 def word_buckets(texts: list[str], dims: int = 64) -> np.ndarray:
-    """Stand-in for a model: unit vectors of hashed word counts."""
+    """Stand-in for a model, as a function for tasks: unit vectors of hashed word counts."""
     out = np.zeros((len(texts), dims))
     for i, t in enumerate(texts):
         for w in t.split(" "):
@@ -26,6 +27,48 @@ def word_buckets(texts: list[str], dims: int = 64) -> np.ndarray:
     return out / np.where(length == 0, 1.0, length)
 
 
+def hashed_words(text: Column, dims: int = 64) -> Column:
+    """The same vectors as an expression: no Python, and no shuffle.
+
+    Bucket numbers are sorted and counted run by run, so a long text takes one
+    step per word.
+    """
+    bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dims
+    buckets = F.array_sort(F.transform(F.split(text, " ", -1), bucket))
+    start = F.expr("named_struct('runs', cast(array() as array<struct<b:int,n:double>>), 'b', -1, 'n', 0D)")
+
+    def step(run: Column, b: Column) -> Column:
+        closed = F.concat(run["runs"], F.array(F.struct(run["b"].alias("b"), run["n"].alias("n"))))
+        same = b == run["b"]
+        return F.struct(
+            F.when(same, run["runs"]).otherwise(closed).alias("runs"),
+            b.alias("b"),
+            F.when(same, run["n"] + 1.0).otherwise(F.lit(1.0)).alias("n"),
+        )
+
+    # The first run is an empty one, of no bucket; the last is closed here.
+    runs = F.aggregate(
+        buckets, start, step, lambda r: F.concat(r["runs"], F.array(F.struct(r["b"].alias("b"), r["n"].alias("n"))))
+    )
+
+    def spread(counted: Column) -> Column:
+        length = F.sqrt(F.aggregate(counted, F.lit(0.0), lambda s, r: s + r["n"] * r["n"]))
+        places = F.sequence(F.lit(0), F.lit(dims - 1))
+        return _let(
+            F.struct(F.map_from_entries(counted).alias("n"), length.alias("length")),
+            lambda v: F.transform(
+                places, lambda b: (F.coalesce(F.try_element_at(v["n"], b), F.lit(0.0)) / v["length"]).cast("float")
+            ),
+        )
+
+    return _let(runs, spread)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def pending(texts: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
     """Each distinct text that has no embedding, once."""
     hashed = texts.select(F.col(text).alias("text"), prompt_hash(F.col(text)).alias("text_hash"))
@@ -35,9 +78,15 @@ def pending(texts: DataFrame, known: DataFrame, text: str = "text") -> DataFrame
 
 
 def embed(
-    texts: DataFrame, embedder: Embedder = word_buckets, batch_size: int = BATCH_SIZE
+    texts: DataFrame, embedder: Embedder | None = None, batch_size: int = BATCH_SIZE
 ) -> DataFrame:
-    """Call the embedder on batches of (text_hash, text) rows."""
+    """(text_hash, embedding) of (text_hash, text) rows.
+
+    Without an embedder the vectors are an expression; one that is given is
+    called on batches of texts.
+    """
+    if embedder is None:
+        return texts.select("text_hash", hashed_words(F.col("text")).alias("embedding"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -55,19 +104,92 @@ def embed_missing(
     texts: DataFrame,
     known: DataFrame,
     text: str = "text",
-    embedder: Embedder = word_buckets,
+    embedder: Embedder | None = None,
     batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
     """Embeddings of all distinct texts: the known ones and the new ones.
 
     The result is keyed by text hash, so vectors are not copied to every row
-    that repeats a text.
+    that repeats a text. ``known`` is read once.
+    """
+    hashed = texts.select(F.col(text).alias("text"), prompt_hash(F.col(text)).alias("text_hash"))
+    once = hashed.groupBy("text_hash").agg(F.any_value("text").alias("text"))
+    found = once.join(known.select("text_hash", F.col("embedding").alias("_known")), "text_hash", "left")
+    if embedder is None:
+        vector = F.coalesce("_known", F.when(F.col("_known").isNull(), hashed_words(F.col("text"))))
+        source = F.when(F.col("_known").isNotNull(), F.lit("cached")).otherwise(F.lit("computed"))
+        return found.select("text_hash", vector.alias("embedding"), source.alias("source"))
+    # A function is called for the open texts only, so they are parted first; written, as both parts read them.
+    found = stored(found, "texts")
+    old = found.filter(F.col("_known").isNotNull()).select("text_hash", F.col("_known").alias("embedding"))
+    new = embed(found.filter(F.col("_known").isNull()), embedder, batch_size)
+    return old.withColumn("source", F.lit("cached")).unionByName(new.withColumn("source", F.lit("computed")))
+
+
+def embedding_times(
+    requests: DataFrame,
+    known: DataFrame,
+    ttl_seconds: int = TTL_SECONDS,
+    text: str = "text",
+    ts: str = "created_at",
+) -> DataFrame:
+    """Each request with the moment ``computed_at`` its text's embedding was made, and where it came from.
+
+    An embedding serves for ``ttl_seconds`` from that moment on; a request that
+    finds none that is still valid makes a new one, which later requests share,
+    those of the same moment too (the first of them in no order counts as the
+    one that made it, so all of them are ``computed``). ``known(text_hash,
+    computed_at)`` holds embeddings made before the requests.
+
+    Requests meet settings by an as-of join on the validity: two settings of a
+    text are at least the validity apart, so a slice of time of that length
+    holds one, and a request looks at its own slice and the one before.
     """
-    wanted = texts.select(prompt_hash(F.col(text)).alias("text_hash")).distinct()
-    old = known.select("text_hash", "embedding").join(wanted, "text_hash", "left_semi")
-    new = embed(pending(texts, known, text), embedder, batch_size)
-    return old.withColumn("source", F.lit("cached")).unionByName(
-        new.withColumn("source", F.lit("computed"))
+    asked = requests.withColumn("text_hash", prompt_hash(F.col(text)))
+    before = known.groupBy("text_hash").agg(F.max("computed_at").alias(ts))
+    moments = asked.select("text_hash", ts).unionByName(
+        before.join(asked.select("text_hash").distinct(), "text_hash", "left_semi").select("text_hash", ts)
+    )
+    ttl_us = ttl_seconds * 1_000_000
+    slice_of = F.floor(F.col("_set") / ttl_us).cast("bigint")
+    made = settings(moments, ttl_seconds, ts, ["text_hash"]).withColumn("_slice", slice_of)
+    made = made.select("text_hash", "_set", F.explode(F.array(F.col("_slice"), F.col("_slice") + 1)).alias("_slice"))
+    us = F.unix_micros(F.col(ts))
+    placed = asked.withColumn("_slice", F.floor(us / ttl_us).cast("bigint"))
+    valid = (F.col("_set") <= us) & (us < F.col("_set") + ttl_us)
+    joined = placed.join(made, ["text_hash", "_slice"]).filter(valid)
+    source = F.when(F.col("_set") == us, F.lit("computed")).otherwise(F.lit("cached"))
+    return joined.select(
+        *requests.columns, "text_hash", F.timestamp_micros("_set").alias("computed_at"), source.alias("source")
+    )
+
+
+def embed_valid(
+    requests: DataFrame,
+    known: DataFrame,
+    ttl_seconds: int = TTL_SECONDS,
+    text: str = "text",
+    ts: str = "created_at",
+    embedder: Embedder | None = None,
+) -> DataFrame:
+    """(text_hash, computed_at, embedding, requests) of every embedding that the requests use.
+
+    One row, and one call, per text and validity. A text asked for very often is
+    pre-aggregated; rows of ``known`` bring their own vectors.
+    """
+    timed = embedding_times(requests, known, ttl_seconds, text, ts)
+    used = timed.groupBy("text_hash", "computed_at").agg(
+        F.count("*").alias("requests"), F.any_value(text).alias("text")
+    )
+    latest = known.groupBy("text_hash", "computed_at").agg(F.any_value("embedding").alias("_known"))
+    used = used.join(latest, ["text_hash", "computed_at"], "left")
+    if embedder is None:
+        fresh = F.when(F.col("_known").isNull(), hashed_words(F.col("text")))
+        return used.select("text_hash", "computed_at", F.coalesce("_known", fresh).alias("embedding"), "requests")
+    used = stored(used, "texts")
+    new = embed(used.filter(F.col("_known").isNull()).dropDuplicates(["text_hash"]), embedder)
+    return used.join(new, "text_hash", "left").select(
+        "text_hash", "computed_at", F.coalesce("_known", "embedding").alias("embedding"), "requests"
     )
 
 

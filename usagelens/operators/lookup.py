@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from usagelens.functions.text import prompt_hash
 from usagelens.functions.vectors import HIT_AT, NEAR_AT, outcome, outcome_label
 from usagelens.operators.nearest import Cells, nearest
+from usagelens.sources.vector_index import probe
 
 KEY = ["team_id", "prompt_hash"]
 
@@ -25,12 +26,15 @@ def two_layer(
     cells: Cells | None = None,
     text: str = "prompt_text",
     vectors: DataFrame | None = None,
+    index: str | None = None,
 ) -> DataFrame:
     """Exact match first, then nearest neighbour for the prompts left over.
 
     Every distinct (team, prompt) is looked up once, however often it was sent.
     A similarity below ``near_at`` is a clear miss and is not reported. Vectors
     come from the queries' ``embedding`` or, keyed by ``text_hash``, from a table.
+    ``index`` is the folder of the cache's stored vector index; without it the
+    cache's vectors are searched as they come.
     """
     asked = queries.withColumn("prompt_hash", prompt_hash(F.col(text)))
     keyed = asked.select(*KEY).distinct().withColumn("query_key", F.concat_ws(":", *KEY))
@@ -43,9 +47,12 @@ def two_layer(
     else:
         known = vectors.select(F.col("text_hash").alias("prompt_hash"), "embedding")
         open_ = open_.join(known, "prompt_hash")
-    second = nearest(open_, cache, "query_key", "id", floor=near_at, cells=cells).select(
-        "query_key", F.col("cache_id").alias("_near_id"), F.col("similarity").alias("_near")
-    )
+    if index is None:
+        second = nearest(open_, cache, "query_key", "id", floor=near_at, cells=cells)
+    else:
+        kind = cache.schema["id"].dataType.simpleString()
+        second = probe(open_, index, None, near_at, "query_key", key_type=kind)
+    second = second.select("query_key", F.col("cache_id").alias("_near_id"), F.col("similarity").alias("_near"))
     is_exact = F.col("cache_id").isNotNull()
     similarity = F.when(is_exact, F.lit(1.0)).otherwise(F.col("_near"))
     found = (
@@ -56,18 +63,15 @@ def two_layer(
         .withColumn("matched_id", F.coalesce(F.col("cache_id"), F.col("_near_id")))
         .select(*KEY, "layer", "outcome", "similarity", "matched_id")
     )
-    served = cache.select(
-        F.col("id").alias("matched_id"),
-        F.col("model_used").alias("cached_model"),
-        F.col("cost_usd").alias("cached_cost"),
-    )
-    found = found.join(served, "matched_id", "left")
+    served = {"model_used": "cached_model", "cost_usd": "cached_cost", "response_json": "cached_response"}
+    served = {c: name for c, name in served.items() if c in cache.columns}
+    answers = cache.select(F.col("id").alias("matched_id"), *(F.col(c).alias(name) for c, name in served.items()))
+    found = found.join(answers, "matched_id", "left")
     is_hit = F.col("outcome") == "hit"
     found = (
         found.withColumn("cache_label", outcome_label(is_hit, F.col("similarity")))
         .withColumn("cache_id", F.when(is_hit, F.col("matched_id")))
-        .withColumn("cached_model", F.when(is_hit, F.col("cached_model")))
-        .withColumn("cached_cost", F.when(is_hit, F.col("cached_cost")))
+        .withColumns({name: F.when(is_hit, F.col(name)) for name in served.values()})
     )
     rows = asked.drop("embedding") if vectors is None else asked
     # One row per prompt on the right; a prompt sent very often makes a heavy

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from usagelens.functions.text import prompt_hash
-from usagelens.session import cut_lineage
+from usagelens.session import stored
 
 KEY = ["team_id", "prompt_hash"]
 # Fixed value: an entry serves for a day after it was set.
 TTL_SECONDS = 24 * 3600
 
 
-def _followers(times: DataFrame, ttl_us: int) -> DataFrame:
+def _followers(times: DataFrame, ttl_us: int, key: list[str]) -> DataFrame:
     """(key, moment, next): the first moment not before this one's expiry, null when there is none.
 
     Moments and expiries are merged inside slices of one TTL, so a prompt sent
@@ -20,45 +20,44 @@ def _followers(times: DataFrame, ttl_us: int) -> DataFrame:
     its slice follows takes the first moment of the next slice that has any.
     """
     slice_of = F.floor(F.col("at") / ttl_us).cast("bigint")
-    marks = times.select(*KEY, F.col("_us").alias("at"), F.col("_us").alias("moment"), F.lit(None).cast("bigint").alias("of"))
+    marks = times.select(*key, F.col("_us").alias("at"), F.col("_us").alias("moment"), F.lit(None).cast("bigint").alias("of"))
     ends = times.select(
-        *KEY, (F.col("_us") + ttl_us).alias("at"), F.lit(None).cast("bigint").alias("moment"), F.col("_us").alias("of")
+        *key, (F.col("_us") + ttl_us).alias("at"), F.lit(None).cast("bigint").alias("moment"), F.col("_us").alias("of")
     )
     both = marks.unionByName(ends).withColumn("slice", slice_of)
-    onward = Window.partitionBy(*KEY, "slice").orderBy("at").rangeBetween(0, Window.unboundedFollowing)
+    onward = Window.partitionBy(*key, "slice").orderBy("at").rangeBetween(0, Window.unboundedFollowing)
     inside = both.withColumn("next", F.min("moment").over(onward)).filter(F.col("of").isNotNull())
     # One row per prompt and slice from here on.
-    firsts = both.groupBy(*KEY, "slice").agg(F.min("moment").alias("first"))
-    later = Window.partitionBy(*KEY).orderBy("slice").rowsBetween(1, Window.unboundedFollowing)
-    carried = firsts.select(*KEY, "slice", F.min("first").over(later).alias("carried"))
-    return inside.join(carried, [*KEY, "slice"]).select(
-        *KEY, F.col("of").alias("_us"), F.coalesce("next", "carried").alias("next")
+    firsts = both.groupBy(*key, "slice").agg(F.min("moment").alias("first"))
+    later = Window.partitionBy(*key).orderBy("slice").rowsBetween(1, Window.unboundedFollowing)
+    carried = firsts.select(*key, "slice", F.min("first").over(later).alias("carried"))
+    return inside.join(carried, [*key, "slice"]).select(
+        *key, F.col("of").alias("_us"), F.coalesce("next", "carried").alias("next")
     )
 
 
-def settings(requests: DataFrame, ttl_seconds: int = TTL_SECONDS, ts: str = "created_at") -> DataFrame:
-    """(team, prompt, moment) of every time an entry was set.
+def settings(
+    requests: DataFrame, ttl_seconds: int = TTL_SECONDS, ts: str = "created_at", key: list[str] = KEY
+) -> DataFrame:
+    """(key, moment) of every time an entry was set.
 
     Every moment points to the next setting, were it one itself. From each
-    prompt's first moment the pointers are followed by doubling: after n rounds
-    all settings up to 2^n - 1 steps away are known, and as two settings are at
-    least one TTL apart, log2(range / TTL) rounds reach them all.
+    key's first moment the pointers are followed by doubling: after n rounds
+    all settings up to 2^n - 1 steps away are known. The rounds end when no
+    pointer is left, after log2(range / TTL) of them, as two settings are at
+    least one TTL apart. Only pointers that lead somewhere are kept and written.
     """
     ttl_us = ttl_seconds * 1_000_000
-    times = requests.select(*KEY, F.unix_micros(F.col(ts)).alias("_us")).filter(F.col("_us").isNotNull()).distinct()
-    jumps = cut_lineage(_followers(times, ttl_us))
-    found = jumps.groupBy(*KEY).agg(F.min("_us").alias("_us"))
-    span = jumps.agg(F.max("_us") - F.min("_us")).first()[0] or 0
-    for _ in range((span // ttl_us + 1).bit_length()):
-        ahead = jumps.filter(F.col("next").isNotNull())
-        found = cut_lineage(
-            found.unionByName(found.join(ahead, [*KEY, "_us"]).select(*KEY, F.col("next").alias("_us"))).distinct()
-        )
-        twice = ahead.select(*KEY, F.col("_us").alias("next"), F.col("next").alias("after"))
-        jumps = cut_lineage(
-            ahead.join(twice, [*KEY, "next"]).select(*KEY, "_us", F.col("after").alias("next"))
-        )
-    return found.select(*KEY, F.col("_us").alias("_set"))
+    times = requests.select(*key, F.unix_micros(F.col(ts)).alias("_us")).filter(F.col("_us").isNotNull()).distinct()
+    found = times.groupBy(*key).agg(F.min("_us").alias("_us"))
+    jumps = stored(_followers(times, ttl_us, key).filter(F.col("next").isNotNull()), "jumps")
+    while not jumps.isEmpty():
+        # From settings known so far, none of which is met again: a round doubles the distance.
+        ahead = found.join(jumps, [*key, "_us"]).select(*key, F.col("next").alias("_us"))
+        found = stored(found.unionByName(ahead), "settings")
+        twice = jumps.select(*key, F.col("_us").alias("next"), F.col("next").alias("after"))
+        jumps = stored(jumps.join(twice, [*key, "next"]).select(*key, "_us", F.col("after").alias("next")), "jumps")
+    return found.select(*key, F.col("_us").alias("_set"))
 
 
 def replay(

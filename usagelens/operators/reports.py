@@ -40,6 +40,22 @@ def top_cached_prompts(cache: DataFrame, team: str, limit: int = 10) -> DataFram
     )
 
 
+def top_prompts_by_team(cache: DataFrame, limit: int = 10) -> DataFrame:
+    """The most used entries of every team with what they saved; each task keeps a team's ``limit`` best only."""
+    order = Window.partitionBy("team_id").orderBy(F.desc("hit_count"), "id")
+    return (
+        cache.withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= limit)
+        .select(
+            "team_id",
+            "rank",
+            F.coalesce(preview(F.col("prompt_text")), F.lit("")).alias("prompt_preview"),
+            "hit_count",
+            (F.col("hit_count") * F.col("cost_usd")).alias("cost_saved_usd"),
+        )
+    )
+
+
 def complexity_distribution(usage: DataFrame) -> DataFrame:
     """Share of each class per team; every class is present."""
     level = F.coalesce(F.col("complexity"), F.lit(DEFAULT_COMPLEXITY))

@@ -8,7 +8,7 @@ from usagelens.functions.pii import DEFAULT_PATTERNS
 from usagelens.functions.pricing import ROUTES, provider_of, routed_model, with_cost
 from usagelens.functions.text import byte_tokens
 from usagelens.operators import lookup, redact, routing
-from usagelens.operators.embedding import Embedder, embed, word_buckets
+from usagelens.operators.embedding import Embedder, embed
 from usagelens.operators.nearest import Cells
 from usagelens.session import cut_lineage
 from usagelens.sources import requests as R
@@ -22,7 +22,7 @@ def prepare(bodies: DataFrame, pats=DEFAULT_PATTERNS) -> DataFrame:
 
 
 def prompt_vectors(
-    prompts: DataFrame, embedder: Embedder = word_buckets, text: str = "prompt_text"
+    prompts: DataFrame, embedder: Embedder | None = None, text: str = "prompt_text"
 ) -> DataFrame:
     """(text_hash, embedding) of every distinct text, each embedded once."""
     once = prompts.groupBy(F.sha2(F.col(text), 256).alias("text_hash")).agg(
@@ -36,7 +36,7 @@ def usage_rows(
     cache: DataFrame,
     responses: DataFrame,
     request: str = "request_id",
-    embedder: Embedder = word_buckets,
+    embedder: Embedder | None = None,
     cells: Cells | None = None,
 ) -> DataFrame:
     """Look up, route and price prepared requests; the result fits the usage log.
