@@ -205,6 +205,16 @@ _add(
     CASE WHEN k = 0 THEN system END AS system, CASE WHEN stream THEN true END AS stream FROM s""",
 )
 
+_add(
+    "provider_files",
+    f"""WITH {_REQUEST}, s AS (SELECT request_id, request_id % 3 AS k, system FROM r WHERE reject_reason IS NULL)
+    SELECT request_id, CASE k WHEN 0 THEN 'anthropic' WHEN 1 THEN 'groq' ELSE 'openai' END AS provider,
+    CASE k WHEN 0 THEN 'claude-3-haiku-20240307' WHEN 1 THEN 'openai/gpt-oss-20b' ELSE 'gpt-4o-mini' END AS model,
+    CASE WHEN k = 0 THEN system END AS system,
+    (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS pos, role, text
+    FROM s JOIN conversations ON conv_id = request_id WHERE k <> 0 OR role <> 'system'""",
+)
+
 # ---- redaction
 
 _LUHN_DIGITS = "regexp_replace({x}, '[^0-9]', '', 'g')"
@@ -350,6 +360,33 @@ _add(
     FROM r LEFT JOIN total ON total.conv_id = r.conv_id""",
     "conv_turns",
 )
+_PLACE = "(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS pos"
+_add(
+    "redact_bodies_open",
+    f""", {_request_passes()} SELECT conv_id AS request_id, {_PLACE}, role, t AS text FROM z7
+    WHERE conv_id % 11 <> 0 AND conv_id % 13 <> 0""",
+    "conv_turns",
+)
+_add(
+    "redact_switched_off",
+    f"""SELECT conv_id AS request_id, {_PLACE}, role, text FROM conv_turns
+    WHERE conv_id % 11 <> 0 AND conv_id % 13 <> 0""",
+    "conv_turns",
+)
+_add(
+    "redact_bodies_closed",
+    """SELECT DISTINCT conv_id AS request_id, conv_id % 11 = 0 AS blocked, conv_id % 11 <> 0 AS sent,
+    CASE WHEN conv_id % 11 = 0 THEN NULL WHEN conv_id % 13 = 0 THEN '{{' ELSE '{"' END AS opening FROM conversations""",
+)
+_add(
+    "redact_checked_pattern",
+    """, r AS (SELECT *, regexp_extract(prompt_text, 'question [0-9]+') AS v,
+      regexp_extract(prompt_text, '([0-9]+)$', 1)::BIGINT % 2 = 1 AS odd FROM request_events)
+    SELECT event_id, CASE WHEN odd THEN replace(prompt_text, v, '[QUESTION_1]') ELSE prompt_text END AS prompt_text,
+    odd::INT AS unique_tokens,
+    CASE WHEN odd THEN to_base64(encode('{"QUESTION_1":"' || v || '"}')) ELSE '' END AS map_header FROM r""",
+    "request_events",
+)
 _add(
     "redaction_errors",
     """SELECT 'body_read' AS cause, count(DISTINCT conv_id) AS errors FROM conversations
@@ -542,6 +579,7 @@ _lookup(
     round(similarity, 6) AS similarity FROM l LEFT JOIN prompt_cache c ON c.id = matched_id""",
 )
 ORACLES["semantic_lookup_all_lists"] = ORACLES["semantic_lookup"]
+ORACLES["semantic_lookup_two_rounds"] = ORACLES["semantic_lookup"]
 _add(
     "semantic_lookup_recall",
     """SELECT count(*) AS queries, true AS recall_reached FROM probes
@@ -549,6 +587,13 @@ _add(
     "prompt_cache",
     "probes",
 )
+_add(
+    "semantic_lookup_reading",
+    """SELECT sum(n)::BIGINT AS all_pairs, true AS within FROM (SELECT count(*) * 16 AS n FROM probes p
+    WHERE team_id IN (SELECT team_id FROM prompt_cache) GROUP BY team_id)""",
+    "prompt_cache",
+    "probes",
+)
 _add("vector_index_lists", "SELECT team_id, count(*) AS vectors, true AS bounded FROM prompt_cache GROUP BY team_id", "prompt_cache")
 _add(
     "cache_scan_team",
@@ -666,6 +711,11 @@ _RATE = f"""SELECT team_id, {_at('(p - k) * 10')} AS window_start, count(*) FILT
     FROM (SELECT *, {_SEC.format(n=10)} AS p, unnest([0, 1, 2]) AS k FROM u) GROUP BY team_id, p - k"""
 _usage("hit_rate_30s", _RATE)
 _usage("stream_hit_rate", _RATE)
+# What is closed a minute before the newest row.
+_usage(
+    "stream_hit_rate_append",
+    f"{_RATE} HAVING ((p - k) * 10 + 30) * 1000000 <= (SELECT max(epoch_us(created_at)) FROM u) - 60000000",
+)
 
 
 def _held(keys: str, hold: int) -> str:
@@ -761,6 +811,23 @@ _add(
     count(*) AS requests FROM usage_log GROUP BY ALL""",
     "usage_log",
 )
+_add(
+    "stream_daily_cost_append",
+    """SELECT team_id, strftime(d, '%Y-%m-%d') AS day, sum(cost_usd)::DOUBLE AS cost_usd, count(*) AS requests
+    FROM (SELECT *, date_trunc('day', created_at) AS d FROM usage_log) GROUP BY team_id, d
+    HAVING d + INTERVAL 1 DAY <= (SELECT max(created_at) FROM usage_log) - INTERVAL 1 HOUR""",
+    "usage_log",
+)
+_add(
+    "stream_late_rows",
+    """, ev AS (SELECT *, least(least((day(created_at) - 1) // 6, 4) + CASE WHEN event_id % 50 = 7 THEN 1 ELSE 0 END, 4)::BIGINT
+      AS batch FROM request_events),
+    m AS (SELECT batch, max(max(created_at)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest
+      FROM ev GROUP BY batch)
+    SELECT team_id, ev.batch, count(*) AS dropped FROM ev JOIN m ON m.batch = ev.batch
+    WHERE created_at < newest - INTERVAL 1 HOUR GROUP BY ALL""",
+    "request_events",
+)
 _add(
     "stream_counters",
     """SELECT team_id, model_used, provider, complexity, cache_hit, count(*) AS requests,

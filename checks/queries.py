@@ -288,6 +288,20 @@ def provider_export(spark, folder):
     )
 
 
+@query
+def provider_files(spark, folder):
+    good = R.accepted(R.decode(W.bodies(spark, folder)))
+    models = F.array(F.lit("anthropic/claude-haiku-3"), F.lit("groq/gpt-oss-20b"), F.lit("openai/gpt-4o-mini"))
+    shaped = R.provider_body(good.withColumn("model", F.element_at(models, (F.col("request_id") % 3 + 1).cast("int"))))
+    path = scratch_path(spark, "provider-files")
+    R.write_provider_files(shaped, path)
+    back = R.read_provider_files(spark, path)
+    return back.select("request_id", "provider", "model", "system", F.posexplode("messages").alias("pos", "m")).select(
+        F.col("request_id").cast("bigint").alias("request_id"), "provider", "model", "system",
+        F.col("pos").cast("bigint").alias("pos"), F.col("m.role").alias("role"), F.col("m.content").alias("text"),
+    )
+
+
 # ---- redaction
 
 
@@ -347,11 +361,9 @@ def redact_conversations(spark, folder):
 
 @query
 def redact_request_rows(spark, folder):
-    rows = R.gather_messages(W.view(spark, folder, "conv_turns")).filter(~F.col("oversize"))
-    out = redact.redact_requests(rows.withColumn("system", F.lit(None).cast("string")))
-    return out.select("conv_id", F.posexplode("messages").alias("pos", "m"), "unique_tokens").select(
-        "conv_id", "pos", F.col("m.role").alias("role"), F.col("m.content").alias("text"), "unique_tokens"
-    )
+    """Every request: those above the limit, some of the sample's, are worked on as rows of turns."""
+    out = redact.redact_messages(W.view(spark, folder, "conv_turns"), max_bytes=SMALL_BODY)
+    return out.select("conv_id", F.col("pos").cast("int").alias("pos"), "role", "text", "unique_tokens")
 
 
 @query
@@ -390,6 +402,48 @@ def redact_bad_input(spark, folder):
     )
 
 
+def _body_messages(df):
+    parsed = F.try_parse_json("body")
+    messages = F.try_variant_get(parsed, "$.messages", "array<struct<role:string,content:string>>")
+    return df.select("request_id", F.posexplode(messages).alias("pos", "m")).select(
+        "request_id", F.col("pos").cast("bigint").alias("pos"), F.col("m.role").alias("role"), F.col("m.content").alias("text")
+    )
+
+
+def _some_unread(spark, folder):
+    bodies = W.bodies(spark, folder, "conv_turns")
+    return bodies.withColumn("body", F.when(F.col("request_id") % 11 != 0, F.col("body")))
+
+
+@query
+def redact_bodies_open(spark, folder):
+    return _body_messages(redact.redact_bodies(_some_unread(spark, folder)))
+
+
+@query
+def redact_bodies_closed(spark, folder):
+    """What may be sent on: a body that could not be read is blocked, one that is no JSON passes as it is."""
+    out = redact.redact_bodies(_some_unread(spark, folder), fail_closed=True)
+    return out.select("request_id", "blocked", F.col("body").isNotNull().alias("sent"), F.substring("body", 1, 2).alias("opening"))
+
+
+@query
+def redact_switched_off(spark, folder):
+    return _body_messages(redact.redact_bodies(_some_unread(spark, folder), enabled=False))
+
+
+def _odd_number(values):
+    """A check in Python: the question's number is odd."""
+    return values.str.extract(r"([0-9]+)$")[0].astype("int64") % 2 == 1
+
+
+@query
+def redact_checked_pattern(spark, folder):
+    ev = W.view(spark, folder, "request_events")
+    out = redact.redact_checked(ev, "prompt_text", "event_id", EXTRA, _odd_number)
+    return out.select("event_id", "prompt_text", "unique_tokens", redact.map_header(F.col("redaction_map")).alias("map_header"))
+
+
 @query
 def pii_counts_by_type_team(spark, folder):
     return redact.pii_counts(_redacted_docs(spark, folder))
@@ -716,6 +770,19 @@ def semantic_lookup_all_lists(spark, folder):
     return found.select("query_id", "cache_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query
+def semantic_lookup_two_rounds(spark, folder):
+    found = vector_index.nearest(_probes(spark, folder), _index(spark, folder))
+    return found.select("query_id", "cache_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def semantic_lookup_reading(spark, folder):
+    """Queries and lists that the two rounds bring together; how many depends on the data, so only the bounds compare."""
+    out = vector_index.looked_at(_probes(spark, folder), _index(spark, folder))
+    return out.select("all_pairs", (F.col("pairs") <= F.col("all_pairs")).alias("within"))
+
+
 @query
 def semantic_lookup_recall(spark, folder):
     probes, index = _probes(spark, folder), _index(spark, folder)
@@ -900,6 +967,52 @@ def stream_hit_rate(spark, folder):
     return out.select("team_id", _when("window_start"), "hits", "lookups", F.round("cache_hit_rate", 9).alias("cache_hit_rate"))
 
 
+PIECES = 5
+
+
+def _in_order(spark, folder, delayed=False):
+    """A folder with the events in five files of six days each, the oldest first; one file is one micro-batch.
+
+    With ``delayed``, every fiftieth event comes a file too late.
+    """
+
+    def make(place):
+        piece = F.least(F.floor((F.dayofmonth("ts") - 1) / 6), F.lit(PIECES - 1))
+        if delayed:
+            piece = F.least(piece + F.when(F.col("event_id") % 50 == 7, 1).otherwise(0), F.lit(PIECES - 1))
+        events = W.table(spark, folder, "events").withColumn("_piece", piece)
+        for k in range(PIECES):
+            events.filter(F.col("_piece") == k).drop("_piece").coalesce(1).write.mode("append").parquet(place)
+
+    return _kept(spark, folder, "events-delayed" if delayed else "events-in-order", make)
+
+
+def _ordered_stream(spark, folder, view, delayed=False):
+    schema = W.table(spark, folder, "events").schema
+    events = run.file_stream(spark, _in_order(spark, folder, delayed), schema, files_per_trigger=1)
+    return W.derive(spark, view, events=events)
+
+
+@_streaming
+def stream_daily_cost_append(spark, folder):
+    """Days that are closed, each emitted once."""
+    out = run.drain(SU.daily_cost(_ordered_stream(spark, folder, "usage_log")))
+    return _money(out.withColumn("day", F.date_format("day", "yyyy-MM-dd")))
+
+
+@_streaming
+def stream_hit_rate_append(spark, folder):
+    out = run.drain(SU.rolling_hit_rate(_ordered_stream(spark, folder, "usage_log")))
+    return out.select("team_id", _when("window_start"), "hits", "lookups", F.round("cache_hit_rate", 9).alias("cache_hit_rate"))
+
+
+@_streaming
+def stream_late_rows(spark, folder):
+    ev = _ordered_stream(spark, folder, "request_events", delayed=True)
+    _, late = SU.part_late(ev, scratch_path(spark, "parted"), scratch_path(spark, "state"))
+    return late.groupBy("team_id", F.col("batch_id").alias("batch")).agg(F.count("*").alias("dropped"))
+
+
 @_streaming
 def stream_counters(spark, folder):
     return _money(run.drain(SU.live_counters(_event_stream(spark, folder, "usage_log")), "complete"))
@@ -931,26 +1044,6 @@ def stream_ttl_cache(spark, folder):
     ).agg(F.count("*").alias("requests"))
 
 
-def _in_order(spark, folder, table="events"):
-    """A folder with the events in five files, each of six days, the oldest first; one file is one micro-batch."""
-
-    def make(place):
-        events = W.table(spark, folder, table).withColumn("_piece", F.least(F.floor((F.dayofmonth("ts") - 1) / 6), F.lit(4)))
-        for k in range(PIECES):
-            events.filter(F.col("_piece") == k).drop("_piece").coalesce(1).write.mode("append").parquet(place)
-
-    return _kept(spark, folder, "events-in-order", make)
-
-
-PIECES = 5
-
-
-def _ordered_stream(spark, folder, view):
-    schema = W.table(spark, folder, "events").schema
-    events = run.file_stream(spark, _in_order(spark, folder), schema, files_per_trigger=1)
-    return W.derive(spark, view, events=events)
-
-
 @_streaming
 def stream_cache_population(spark, folder):
     ev = _ordered_stream(spark, folder, "request_events")
@@ -984,19 +1077,20 @@ def flow_inputs(spark, folder):
     """Requests, a cache of what the opening turns asked, and the replies."""
     prepared = request_flow.prepare(W.bodies(spark, folder, "conv_turns"))
     turns = W.table(spark, folder, "conversations")
-    prompts = W.view(spark, folder, "prompts")
-    table = request_flow.prompt_vectors(prompts).select(
-        F.col("text_hash").alias("id"),
-        F.lit("default").alias("team_id"),
-        F.col("text_hash").alias("prompt_hash"),
-        "embedding",
-        F.lit("groq/gpt-oss-20b").alias("model_used"),
-        F.lit("0.00012500").cast("decimal(10,8)").alias("cost_usd"),
-    )
-    # The cache is a stored table, embedded once.
-    path = scratch_path(spark, "prompt-cache")
-    table.write.parquet(path)
-    cache = spark.read.parquet(path)
+
+    def table(path):
+        request_flow.prompt_vectors(W.view(spark, folder, "prompts")).select(
+            F.col("text_hash").alias("id"),
+            F.lit("default").alias("team_id"),
+            F.col("text_hash").alias("prompt_hash"),
+            "embedding",
+            F.lit("groq/gpt-oss-20b").alias("model_used"),
+            F.lit("0.00012500").cast("decimal(10,8)").alias("cost_usd"),
+        ).write.parquet(path)
+
+    # The cache and its index are stored tables, embedded once.
+    cache = spark.read.parquet(_kept(spark, folder, "flow-cache", table))
+    index = _kept(spark, folder, "flow-index", lambda path: vector_index.create(cache, path))
     replies = (
         turns.filter(F.col("role") == "assistant")
         .groupBy("conv_id")
@@ -1008,15 +1102,13 @@ def flow_inputs(spark, folder):
             (F.lit(200) + F.col("conv_id") % 1000).cast("int").alias("latency_ms"),
         )
     )
-    return prepared, cache, replies
+    return prepared, cache, replies, index
 
 
 @query
 def request_usage_rows(spark, folder):
-    prepared, cache, replies = flow_inputs(spark, folder)
-    vectors = nearest.keyed_vectors(cache, "id")
-    cells = nearest.build_cells(vectors, nearest.choose_pivots(vectors, "id", CELLS))
-    out = request_flow.usage_rows(prepared, cache, replies, cells=cells)
+    prepared, cache, replies, index = flow_inputs(spark, folder)
+    out = request_flow.usage_rows(prepared, cache, replies, index=index)
     return _money(out).withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
 
 

@@ -221,6 +221,23 @@ def test_stored_index_is_exact_over_all_lists(vectors, indexed, floor):
     same(found(vector_index.probe(probes, indexed, None, floor)), want)
 
 
+def test_two_rounds_are_exact_and_read_little_of_clustered_vectors(spark, vectors, indexed):
+    cache, probes, c, p = vectors
+    same(found(vector_index.nearest(probes, indexed)), brute(c, p))
+    # Tight clusters far apart: the closest list bounds the rest away.
+    rnd = np.random.default_rng(9)
+    centres = rnd.normal(size=(24, 32))
+    rows = [(i, "t", [float(x) for x in centres[i % 24] + 0.05 * rnd.normal(size=32)]) for i in range(960)]
+    asked = [(i, "t", [float(x) for x in centres[i % 24] + 0.05 * rnd.normal(size=32)]) for i in range(96)]
+    cache = spark.createDataFrame(rows, "id long, team_id string, embedding array<double>")
+    queries = spark.createDataFrame(asked, "query_id long, team_id string, embedding array<double>")
+    path = scratch_path(spark, "index")
+    vector_index.create(cache, path, lists=24)
+    same(found(vector_index.nearest(queries, path)), brute(rows, asked))
+    (read,) = vector_index.looked_at(queries, path).collect()
+    assert read["pairs"] < read["all_pairs"] / 5
+
+
 def test_stored_index_finds_most_in_few_lists(vectors, indexed):
     cache, probes, c, p = vectors
     want, few = brute(c, p), found(vector_index.probe(probes, indexed, 2))

@@ -151,3 +151,72 @@ def test_system_text_is_numbered_last(spark):
 def test_luhn(spark, digits, ok):
     df = spark.createDataFrame([(digits,)], "d string")
     assert df.select(pii.luhn_valid(F.col("d"))).first()[0] is ok
+
+
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def test_each_pattern_searches_a_text_once(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "a@b.co")], TURNS)
+    plan = redact.turn_values(turns, "conv_id", "turn", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == len(pii.DEFAULT_PATTERNS)
+
+
+def test_large_and_small_requests_agree(spark):
+    """Whatever the limit, every message of every request comes out, and with the same text."""
+    rnd = random.Random(8)
+    texts = [
+        "mail a@b.co, card 4111 1111 1111 1111 and 4111 1111 1111 1112, again a@b.co",
+        "postgres://user:x@h/y c@d.io 123-45-6789 (555) 123-4567 10.0.0.1",
+        "key sk-abc123def456ghi789jkl0 or [EMAIL_1] as it stands",
+        "",
+        None,
+        "nothing here",
+    ]
+    rows = [(c, t, rnd.choice(["user", "assistant"]), rnd.choice(texts)) for c in range(12) for t in range(rnd.randrange(1, 9))]
+    turns = spark.createDataFrame(rows, TURNS).repartition(3)
+    out = {}
+    for limit in (0, 300, 1 << 20):
+        got = redact.redact_messages(turns, max_bytes=limit).collect()
+        assert {r["oversize"] for r in got} == {0: {True}, 300: {True, False}, 1 << 20: {False}}[limit]
+        out[limit] = sorted((r["conv_id"], r["pos"], r["role"], str(r["text"]), r["unique_tokens"]) for r in got)
+    assert len(out[0]) == len(rows) and out[0] == out[300] == out[1 << 20]
+    assert redact.redact_messages(turns.limit(0)).count() == 0
+
+
+def test_a_later_match_takes_in_an_earlier_one(spark):
+    """The value is kept with the stand-in in it; both layers come back by the maps."""
+    around = pii.Pattern("quoted", "QUOTED", r"<<[^>]*>>")
+    pats = pii.patterns(extra=[around])
+    turns = spark.createDataFrame([(1, 0, "user", "z@z.co <<a@b.co>> <<a@b.co>>"), (1, 1, "user", "<<a@b.co>>")], TURNS)
+    found = {(r["tag"], r["value"]) for r in redact.turn_values(turns, "conv_id", "turn", "text", pats).collect()}
+    assert found == {("EMAIL", "z@z.co"), ("EMAIL", "a@b.co"), ("QUOTED", "<<[EMAIL_1]>>")}
+    texts = {r["turn"]: r["text"] for r in redact.redact_turns(turns, pats=pats).collect()}
+    assert texts == {0: "[EMAIL_1] [QUOTED_1] [QUOTED_1]", 1: "[QUOTED_1]"}
+
+
+def test_validators_in_python(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def even(values):
+        calls.add(len(values))
+        return values.str[1:].astype(int) % 2 == 0
+
+    staff = pii.Pattern("staff", "STAFF", r"E[0-9]+")
+    rows = [(i, t) for i, t in enumerate(["E12 E13 E12 a@b.co", "E13", None, "", "E14 a@b.co E12", "E12"])]
+    df = spark.createDataFrame(rows, "i long, t string")
+    got = {r["i"]: r for r in redact.redact_checked(df, "t", "i", staff, even).collect()}
+    assert [got[i]["t"] for i in range(6)] == ["[STAFF_1] E13 [STAFF_1] [EMAIL_1]", "E13", None, "", "[STAFF_1] [EMAIL_1] [STAFF_2]", "[STAFF_1]"]
+    assert got[4]["redaction_map"] == {"EMAIL_1": "a@b.co", "STAFF_1": "E14", "STAFF_2": "E12"}
+    assert got[4]["unique_tokens"] == 3 and got[1]["pii_counts"] == {} and got[0]["pii_counts"] == {"EMAIL": 1, "STAFF": 1}
+    # Once per distinct match, however many rows hold it.
+    assert calls.value == 3
+    with pytest.raises(ValueError):
+        redact.redact_checked(df, "t", "i", pii.Pattern("mail", "EMAIL", "x"), even)
+
+
+def test_switched_off(spark):
+    df = spark.createDataFrame([(json.dumps({"messages": [{"role": "user", "content": "a@b.co"}]}),), (None,)], "body string")
+    rows = redact.redact_bodies(df, enabled=False, fail_closed=True).collect()
+    assert "a@b.co" in rows[0]["body"] and rows[1]["body"] is None
+    assert all(r["redaction_error"] is None and not r["blocked"] and r["unique_tokens"] == 0 for r in rows)

@@ -201,3 +201,20 @@ def test_a_model_priced_twice_doubles_no_row(spark):
     prices = prices.selectExpr("model", "cast(input_per_1m as decimal(12,6)) input_per_1m", "cast(output_per_1m as decimal(12,6)) output_per_1m")
     df = spark.createDataFrame([("a", 10, 10)], "model string, input_tokens int, output_tokens int")
     assert pricing.with_cost(df, prices=prices, model="model").count() == 1
+
+
+def test_provider_files_keep_order_and_text(spark):
+    texts = ['quote " and \\ slash', "line\nfeed", "{}],\"body\":", "é 😀", ""]
+    messages = [("system", "first"), ("user", texts[0]), ("assistant", texts[1]), ("system", "last"), ("user", texts[2]), ("user", texts[3]), ("user", texts[4])]
+    rows = [(f'id "{i}"', m, messages, False, 0, 0.0) for i, m in enumerate(["anthropic/claude-haiku-3", "groq/gpt-oss-20b", "nobody/x"])]
+    schema = "request_id string, model string, messages array<struct<role:string,content:string>>, stream boolean, max_tokens int, temperature double"
+    shaped = R.provider_body(spark.createDataFrame(rows, schema))
+    path = scratch_path(spark, "files")
+    R.write_provider_files(shaped, path)
+    back = {r["request_id"]: r for r in R.read_provider_files(spark, path).collect()}
+    assert set(back) == {'id "0"', 'id "1"'}
+    assert [tuple(m) for m in back['id "1"']["messages"]] == messages and back['id "1"']["system"] is None
+    assert [tuple(m) for m in back['id "0"']["messages"]] == [m for m in messages if m[0] != "system"]
+    assert back['id "0"']["system"] == "last" and back['id "0"']["provider"] == "anthropic"
+    # A reader of one provider reads its folder only.
+    assert spark.read.text(f"{path}/provider=groq").count() == 1

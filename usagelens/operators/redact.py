@@ -9,11 +9,17 @@ many rows of a turns table, and the numbering is the same.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
+from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from usagelens.functions.pii import DEFAULT_PATTERNS, Pattern
+from usagelens.schemas import MAX_BODY_BYTES
+from usagelens.session import stored
+from usagelens.sources.requests import gather_messages, oversize_turns
 
 _STRINGS = "array<string>"
 TURN_BLOCK = 4096
@@ -273,6 +279,47 @@ def redact_column(
     return out.withColumn(text, redacted).drop("_texts")
 
 
+def redact_checked(
+    df: DataFrame,
+    text: str,
+    key: str,
+    extra: Pattern,
+    check: Callable[[pd.Series], pd.Series],
+    pats: Sequence[Pattern] = DEFAULT_PATTERNS,
+) -> DataFrame:
+    """``redact_column`` with an extra pattern whose matches any Python function checks.
+
+    The function gets the distinct matches of all texts in Arrow batches, once
+    each, and says which are valid; the verdicts are joined back to the rows by
+    ``key``, which must be unique. The extra pattern comes after the others and
+    needs a tag of its own.
+    """
+    if extra.tag in _tags(pats):
+        raise ValueError(f"tag {extra.tag} is taken")
+    first = stored(redact_column(df, text, pats), "redacted")
+    held = F.array_distinct(_matches(F.col(text), extra))
+    matches = first.select(key, F.explode(held).alias("_value"))
+
+    @F.pandas_udf("boolean")
+    def verdict(values: pd.Series) -> pd.Series:
+        return check(values)
+
+    fine = matches.select("_value").distinct().withColumn("_ok", verdict("_value")).filter("_ok")
+    # Holds no more than one row's own matches.
+    valid = matches.join(fine.select("_value"), "_value").groupBy(key).agg(F.collect_list("_value").alias("_valid"))
+    rows = first.join(valid, key, "left").withColumnsRenamed(
+        {"redaction_map": "_map", "pii_counts": "_counts", "unique_tokens": "_unique"}
+    )
+    allowed = replace(extra, valid=lambda v: F.coalesce(F.array_contains(F.col("_valid"), v), F.lit(False)))
+    out = redact_column(rows, text, [allowed])
+    return (
+        out.withColumn("redaction_map", F.map_concat("_map", "redaction_map"))
+        .withColumn("pii_counts", F.map_concat("_counts", "pii_counts"))
+        .withColumn("unique_tokens", F.col("_unique") + F.col("unique_tokens"))
+        .drop("_map", "_counts", "_unique", "_valid")
+    )
+
+
 def redact_requests(
     df: DataFrame,
     messages: str = "messages",
@@ -297,6 +344,69 @@ def redact_requests(
     return df.withColumn(messages, shown).withColumn(system, last).drop("_texts")
 
 
+#: Numbers of the stand-ins of one text start here; seven digits, so that no later pattern reads more than a tag in them.
+_FIRST_MARK = 9_000_001
+
+
+def _marked(text: Column, pats: Sequence[Pattern]) -> Column:
+    """Struct {text, found}: the text with every match under a stand-in of its own, and the matches in that order.
+
+    Each pattern searches the text once, on the result of the one before; its
+    k-th match becomes ``[TAG_n]`` with the next free number n. What a match took
+    in of earlier stand-ins is shown as ``[TAG_1]``, whatever its number.
+    """
+    kind, tags = f"struct<text:string,found:{_VALUES}>", [re.escape(t) for t in _tags(pats)]
+
+    def step(state: Column, pats: Sequence[Pattern]) -> Column:
+        p, rest = pats[0], pats[1:]
+
+        def go_on(hits: Column) -> Column:
+            def known(both: Column) -> Column:
+                gaps = F.split(state["text"], p.regex, -1)
+                start = F.size(state["found"]) + _FIRST_MARK
+
+                # Places of the valid matches among the valid ones: all of them, where there is no further check.
+                def place(i: Column) -> Column:
+                    if p.valid is None:
+                        return i
+                    return F.size(F.filter(F.slice(both["ok"], F.lit(1), i + 1), lambda o: o)) - 1
+
+                def piece(gap: Column, i: Column) -> Column:
+                    name = F.concat(F.lit(f"[{p.tag}_"), (start + place(i)).cast("string"), F.lit("]"))
+                    hit = F.get(both["hits"], i)
+                    if p.valid is not None:
+                        name = F.when(F.get(both["ok"], i), name).otherwise(hit)
+                    return F.concat(gap, F.when(i < F.size(both["hits"]), name).otherwise(F.lit("")))
+
+                values = both["hits"] if p.valid is None else F.filter(both["hits"], lambda v, i: F.get(both["ok"], i))
+                taken_in = F.lit(rf"\[({'|'.join(tags)})_9[0-9]{{6}}\]")
+                plain = F.transform(
+                    values,
+                    lambda v: F.struct(
+                        F.lit(p.tag).alias("tag"),
+                        F.regexp_replace(v, taken_in, F.lit("[$1_1]")).alias("value"),
+                    ),
+                )
+                new = F.struct(
+                    F.array_join(F.transform(gaps, piece), "").alias("text"),
+                    F.concat(state["found"], plain).alias("found"),
+                )
+                return F.when(F.size(both["hits"]) > 0, new).otherwise(state)
+
+            ok = F.transform(hits, p.valid) if p.valid is not None else F.expr("cast(array() as array<boolean>)")
+            pair = F.struct(hits.alias("hits"), ok.alias("ok"))
+            done = _let(pair, known, kind)
+            return _let(done, lambda st: step(st, rest), kind) if rest else done
+
+        hits = F.regexp_extract_all(state["text"], F.lit(p.regex), F.lit(0))
+        if p.needs is not None:
+            hits = F.when(p.needs(state["text"]), hits).otherwise(F.array().cast(_STRINGS))
+        return _let(hits, go_on, kind)
+
+    first = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.expr(f"cast(array() as {_VALUES})").alias("found"))
+    return _let(first, lambda st: step(st, pats), kind)
+
+
 def redact_turns(
     turns: DataFrame,
     request: str = "conv_id",
@@ -306,47 +416,81 @@ def redact_turns(
 ) -> DataFrame:
     """Redact a table with one row per message, numbering over each request.
 
-    No request is gathered into one row or task: only the values found are
-    shuffled, they are numbered block by block of turns, and each turn then
-    meets the names of its own values.
+    Every text is searched once, which leaves it with stand-ins and a list of
+    what they stand for; texts that hold something are written to the shared
+    folder in that form. No request is gathered into one row or task: only the
+    values are shuffled, they are numbered block by block of turns, and each
+    turn's stand-ins then get the names of their values. Adds ``has_redactions``.
     """
-    found = turn_values(turns, request, turn, text, pats)
+    return _redact_turns(turns, request, turn, text, pats)[0]
+
+
+def turn_values(turns, request, turn, text, pats=DEFAULT_PATTERNS) -> DataFrame:
+    """One row per match: request, turn, place in the turn, tag, value."""
+    marked = turns.select(request, F.col(turn).alias("_turn"), _marked(F.col(text), pats).alias("_m"))
+    return _values_of(marked.select(request, "_turn", "_m.found"), request)
+
+
+def _values_of(marked: DataFrame, request: str) -> DataFrame:
+    each = F.posexplode("found").alias("_at", "_e")
+    return marked.select(request, "_turn", each).select(request, "_turn", "_at", "_e.tag", "_e.value")
+
+
+def _redact_turns(turns, request, turn, text, pats=DEFAULT_PATTERNS) -> tuple[DataFrame, DataFrame]:
+    """The turns, and the number of unique values of each request that holds any."""
+    marked = turns.select(request, F.col(turn).alias("_turn"), _marked(F.col(text), pats).alias("_m"))
+    marked = stored(
+        marked.filter(F.size("_m.found") > 0).select(request, "_turn", "_m.text", "_m.found"), "marked"
+    ).withColumnRenamed("text", "_text")
+    found = _values_of(marked, request)
     named = number_values(found, request)
     per_turn = (
-        found.select(request, "_turn", "value")
-        .distinct()
-        .join(named.select(request, "value", "name"), [request, "value"])
+        found.join(named.select(request, "value", "name"), [request, "value"])
         .groupBy(request, "_turn")
         # Holds no more than one turn's own matches.
-        .agg(F.map_from_entries(F.collect_list(F.struct("value", "name"))).alias("_names"))
-    )
-    out = turns.withColumn("_turn", F.col(turn)).join(per_turn, [request, "_turn"], "left")
-    # Turns without a name map are left as they are, without a second search.
-    own = F.array(F.when(F.col("_names").isNotNull(), F.col(text)))
-    new = _let(
-        _searchable(own),
-        lambda t: _search(
-            t, pats, lambda found: _replaced(F.array(text), found, F.col("_names"), pats), _STRINGS
-        ),
-        _STRINGS,
+        .agg(F.array_sort(F.collect_list(F.struct("_at", "tag", "name"))).alias("_names"))
     )
-    return (
-        out.withColumn(text, F.get(new, F.lit(0)))
-        .withColumn("has_redactions", F.col("_names").isNotNull())
-        .select(*turns.columns, "has_redactions")
+
+    def put(t: Column, e: Column) -> Column:
+        mark = F.concat(F.lit("["), e["tag"], F.lit("_"), (e["_at"] + _FIRST_MARK).cast("string"), F.lit("]"))
+        return F.replace(t, mark, F.concat(F.lit("["), e["name"], F.lit("]")))
+
+    new = marked.join(per_turn, [request, "_turn"]).select(
+        request, "_turn", F.aggregate("_names", F.col("_text"), put).alias("_new")
     )
+    out = turns.withColumn("_turn", F.col(turn)).join(new, [request, "_turn"], "left")
+    out = out.withColumn("has_redactions", F.col("_new").isNotNull()).withColumn(text, F.coalesce("_new", text))
+    counts = named.groupBy(request).agg(F.count("*").cast("int").alias("unique_tokens"))
+    return out.select(*turns.columns, "has_redactions"), counts
 
 
-def turn_values(turns, request, turn, text, pats=DEFAULT_PATTERNS) -> DataFrame:
-    """One row per match: request, turn, place in the turn, tag, value."""
-    listed = _let(
-        _searchable(F.array(text)),
-        lambda t: _search(t, pats, lambda found: _listed(found, pats), _VALUES),
-        _VALUES,
+def redact_messages(
+    turns: DataFrame,
+    request: str = "conv_id",
+    turn: str = "turn",
+    role: str = "role",
+    text: str = "text",
+    pats: Sequence[Pattern] = DEFAULT_PATTERNS,
+    max_bytes: int = MAX_BODY_BYTES,
+) -> DataFrame:
+    """Every message of every request, redacted: ``request, pos, role, text, unique_tokens, oversize``.
+
+    Requests within the body limit are gathered and redacted as one row each;
+    larger ones are worked on as rows of turns, and there ``pos`` is the turn's
+    number.
+    """
+    rows = gather_messages(turns, request, turn, role, text, max_bytes).filter(~F.col("oversize"))
+    small = redact_requests(rows.withColumn("system", F.lit(None).cast("string")), pats=pats)
+    small = small.select(request, F.posexplode("messages").alias("pos", "m"), "unique_tokens").select(
+        request, F.col("pos").cast("long").alias("pos"), F.col("m.role").alias("role"),
+        F.col("m.content").alias("text"), "unique_tokens", F.lit(False).alias("oversize"),
+    )
+    big, counts = _redact_turns(oversize_turns(turns, request, role, text, max_bytes), request, turn, text, pats)
+    big = big.join(counts, request, "left").select(
+        request, F.col(turn).cast("long").alias("pos"), F.col(role).alias("role"), F.col(text).alias("text"),
+        F.coalesce("unique_tokens", F.lit(0)).alias("unique_tokens"), F.lit(True).alias("oversize"),
     )
-    return turns.select(
-        request, F.col(turn).alias("_turn"), F.posexplode(listed).alias("_at", "_e")
-    ).select(request, "_turn", "_at", "_e.tag", "_e.value")
+    return small.unionByName(big)
 
 
 def number_values(found: DataFrame, request: str, block: int = TURN_BLOCK) -> DataFrame:

@@ -10,7 +10,7 @@ from usagelens.functions.text import byte_tokens
 from usagelens.operators import lookup, redact, routing
 from usagelens.operators.embedding import Embedder, embed
 from usagelens.operators.nearest import Cells
-from usagelens.session import cut_lineage
+from usagelens.session import stored
 from usagelens.sources import requests as R
 
 
@@ -38,6 +38,7 @@ def usage_rows(
     request: str = "request_id",
     embedder: Embedder | None = None,
     cells: Cells | None = None,
+    index: str | None = None,
 ) -> DataFrame:
     """Look up, route and price prepared requests; the result fits the usage log.
 
@@ -47,11 +48,11 @@ def usage_rows(
     """
     # Redacted prompts feed the lookup, the embedder and the result: they are
     # stored once in the shared folder rather than redacted for each.
-    asked = cut_lineage(
-        prepared.select(request, "created_at", "team_id", "feature_tag", "model_override", "prompt_text")
+    asked = stored(
+        prepared.select(request, "created_at", "team_id", "feature_tag", "model_override", "prompt_text"), "asked"
     )
     vectors = prompt_vectors(asked, embedder)
-    seen = lookup.two_layer(asked, cache, cells=cells, vectors=vectors)
+    seen = lookup.two_layer(asked, cache, cells=cells, vectors=vectors, index=index)
     hit = F.col("outcome") == "hit"
     routed = routing.routed(routing.classified(seen))
     answered = routed.join(responses, request, "left").filter(hit | F.col("response_json").isNotNull())

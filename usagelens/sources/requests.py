@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from usagelens.functions.pricing import provider_of, wire_name
 from usagelens.schemas import (
@@ -212,6 +212,33 @@ def provider_body(df: DataFrame, model: str = "model", out: str = "provider_body
     return df.withColumn("provider", provider).withColumn(out, body)
 
 
+def write_provider_files(shaped: DataFrame, path: str, request: str = "request_id", body: str = "provider_body") -> None:
+    """One JSON line per request for offline calls, ``{"custom_id": ..., "body": ...}``, in a folder per provider.
+
+    Requests of unknown providers have no body and are left out.
+    """
+    head = F.to_json(F.struct(F.col(request).cast("string").alias("custom_id")))
+    line = F.concat(head.substr(F.lit(1), F.length(head) - 1), F.lit(',"body":'), F.col(body), F.lit("}"))
+    rows = shaped.filter(F.col(body).isNotNull()).select("provider", line.alias("value"))
+    rows.write.mode("overwrite").partitionBy("provider").text(path)
+
+
+def read_provider_files(spark: SparkSession, path: str, request: str = "request_id") -> DataFrame:
+    """``request_id, provider, model, system, messages`` of every line; messages in their order."""
+    parsed = F.try_parse_json("value")
+    messages = F.try_variant_get(parsed, "$.body.messages", "array<struct<role:string,content:string>>")
+    return (
+        spark.read.schema("value string, provider string").text(path)
+        .select(
+            F.try_variant_get(parsed, "$.custom_id", "string").alias(request),
+            "provider",
+            F.try_variant_get(parsed, "$.body.model", "string").alias("model"),
+            F.try_variant_get(parsed, "$.body.system", "string").alias("system"),
+            messages.alias("messages"),
+        )
+    )
+
+
 def read_request_log(lines: DataFrame, value: str = "value") -> DataFrame:
     """Structured log lines (JSON) with defaults; a missing id is derived."""
     row = F.from_json(value, REQUEST_LOG_LINE)

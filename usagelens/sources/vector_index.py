@@ -2,7 +2,7 @@
 
 ``centres`` holds the centres of the lists. ``blocks`` holds the vectors,
 partitioned by version and list; a row is a block of up to ``BLOCK`` vectors of
-one team, in id order, with the widest angle to the list's centre. Centres are
+one team, in id order, with the narrowest and widest angle to the list's centre. Centres are
 trained once, on a bounded sample; later rows are appended under a version of
 their own without training anew. Writing a version again replaces it, and a
 reader may ask for the versions before one.
@@ -72,7 +72,7 @@ def begin(spark: SparkSession, path: str, key_type: str) -> None:
 
 
 def _blocks(key_type: str) -> str:
-    return f"team_id string, ids array<{key_type}>, vectors binary, width double, list int, version bigint"
+    return f"team_id string, ids array<{key_type}>, vectors binary, inner double, width double, list int, version bigint"
 
 
 def centres_of(spark: SparkSession, path: str) -> np.ndarray:
@@ -132,10 +132,11 @@ def append(vectors: DataFrame, path: str, key: str = "id", embedding: str = "emb
                     pa.array([places[i][1] for i, _ in spans], pa.string()),
                     pa.ListArray.from_arrays(pa.array([*starts, len(places)], pa.int32()), b.column(1)),
                     pa.array([u[i:j].tobytes() for i, j in spans], pa.binary()),
+                    pa.array([float(angle[i:j].min()) for i, j in spans]),
                     pa.array([float(angle[i:j].max()) for i, j in spans]),
                     pa.array([places[i][0] for i, _ in spans], pa.int32()),
                 ],
-                names=["team_id", "ids", "vectors", "width", "list"],
+                names=["team_id", "ids", "vectors", "inner", "width", "list"],
             )
 
     placed = rows.mapInArrow(assign, f"team_id string, id {key_type}, u array<double>, list int, angle double")
@@ -204,27 +205,81 @@ def probe(
     """``query_id, cache_id, similarity``: the best entry of the query's team in the lists that are looked at.
 
     These are the ``probes`` closest ones or, with ``probes=None``, all that can
-    hold an entry as similar as ``floor`` (an entry within ``acos(floor)`` lies
-    at most its list's width from the centre), which loses nothing; without a
-    floor, all lists. Ties go to the lowest id. Only the partitions of lists that
-    some query looks at are read. Blocks of queries meet blocks of entries by
-    team and list, and a task multiplies two blocks at a time.
+    hold an entry as similar as ``floor`` (an entry within ``acos(floor)`` of the
+    query lies at most its list's width from the centre, and at least the list's
+    narrowest angle), which loses nothing; without a floor, all lists. Ties go to
+    the lowest id.
     """
-    spark = queries.sparkSession
+    asked = queries.select(F.col(query_id), "team_id", F.col(embedding).alias("u"), F.lit(floor).cast("double").alias("bound"))
+    found = _searched(_routed(asked, path, probes, False, query_id, key_type, before), path, query_id, key_type, before)
+    return _best(found if floor is None else found.filter(F.col("similarity") >= floor), query_id)
+
+
+def nearest(
+    queries: DataFrame,
+    path: str,
+    query_id: str = "query_id",
+    embedding: str = "embedding",
+    key_type: str = "bigint",
+    before: int | None = None,
+) -> DataFrame:
+    """The most similar entry of the query's team, exactly and without a floor, in two rounds.
+
+    The closest list is searched first. What it gives bounds the search of the
+    others: lists that can't hold a better entry, nor one as good, are left out.
+    """
+    asked = queries.select(F.col(query_id), "team_id", F.col(embedding).alias("u"), F.lit(None).cast("double").alias("bound"))
+    first, second = _two_rounds(asked, path, query_id, key_type, before)
+    return _best(first.unionByName(_searched(second, path, query_id, key_type, before)), query_id)
+
+
+def looked_at(
+    queries: DataFrame, path: str, query_id: str = "query_id", embedding: str = "embedding", key_type: str = "bigint"
+) -> DataFrame:
+    """How much ``nearest`` reads: ``pairs`` of a query and a list of its team, out of ``all_pairs``."""
+    asked = queries.select(F.col(query_id), "team_id", F.col(embedding).alias("u"), F.lit(None).cast("double").alias("bound"))
+    _, second = _two_rounds(asked, path, query_id, key_type, None)
+    lists = blocks_of(queries.sparkSession, path, key_type).select("team_id", "list").distinct()
+    dims = centres_of(queries.sparkSession, path).shape[-1]
+    asked = asked.filter(usable(F.col("u"), dims))
+    later = second.join(lists, ["team_id", "list"]).agg(F.coalesce(F.sum(F.size("asked")), F.lit(0)).alias("n"))
+    teams = lists.groupBy("team_id").agg(F.count("*").alias("lists"))
+    every = asked.join(teams, "team_id").agg(F.count("*").alias("first"), F.coalesce(F.sum("lists"), F.lit(0)).alias("all_pairs"))
+    counts = every.select(F.col("first").alias("pairs"), "all_pairs").unionByName(later.select(F.col("n").alias("pairs"), F.lit(0).alias("all_pairs")))
+    return counts.agg(F.sum("pairs").alias("pairs"), F.sum("all_pairs").cast("bigint").alias("all_pairs"))
+
+
+def _two_rounds(asked, path, query_id, key_type, before) -> tuple[DataFrame, DataFrame]:
+    """What the closest lists give, and the queries as they are sent to the others."""
+    first = stored(_searched(_routed(asked, path, 1, False, query_id, key_type, before), path, query_id, key_type, before), "first")
+    best = _best(first, query_id).select(query_id, F.col("similarity").alias("_best"))
+    bounded = asked.join(best, query_id, "left").withColumn("bound", F.col("_best")).drop("_best")
+    return first, _routed(bounded, path, None, True, query_id, key_type, before)
+
+
+#: A list is left out only if it can't even reach what counts as a tie.
+_SLACK = 10.0 ** (1 - TIE_DIGITS)
+
+
+def _routed(asked, path, probes, others, query_id, key_type, before) -> DataFrame:
+    """``list, team_id, asked, q``: blocks of the queries that look at a list, written to the shared folder.
+
+    ``others`` leaves the closest list out.
+    """
+    spark = asked.sparkSession
     centres = centres_of(spark, path)
-    id_type = queries.schema[query_id].dataType.simpleString()
-    out = f"`{query_id}` {id_type}, similarity double, cache_id {key_type}"
+    id_type = asked.schema[query_id].dataType.simpleString()
+    out = f"list int, team_id string, asked array<{id_type}>, q binary"
     if not len(centres):
-        return spark.createDataFrame([], out).select(query_id, "cache_id", "similarity")
-    dims, entries = centres.shape[1], blocks_of(spark, path, key_type, before)
-    width = np.full(len(centres), -1.0)
-    if probes is None and floor is not None:
+        return spark.createDataFrame([], out)
+    dims = centres.shape[1]
+    width, inner = np.full(len(centres), -1.0), np.zeros(len(centres))
+    if probes is None:
         # Bounded by the number of lists.
-        for r in entries.groupBy("list").agg(F.max("width").alias("width")).collect():
-            width[r.list] = r.width
-    u = F.col(embedding).cast("array<double>")
-    asked = queries.select(F.col(query_id).alias("id"), "team_id", u.alias("u")).filter(usable(F.col("u"), dims))
-    reach = math.acos(max(-1.0, min(1.0, floor if floor is not None else -1.0))) + 1e-9
+        rings = blocks_of(spark, path, key_type, before).groupBy("list").agg(F.min("inner").alias("inner"), F.max("width").alias("width"))
+        for r in rings.collect():
+            width[r.list], inner[r.list] = r.width, r.inner
+    rows = asked.select(F.col(query_id).alias("id"), "team_id", F.col("u").cast("array<double>").alias("u"), "bound")
 
     def route(batches):
         for b in batches:
@@ -236,10 +291,14 @@ def probe(
                 n = min(probes, len(centres))
                 at = np.argpartition(-sims, n - 1, axis=1)[:, :n].ravel()
                 row = np.repeat(np.arange(len(q)), n)
-            elif floor is not None:
-                row, at = np.nonzero((np.arccos(np.clip(sims, -1.0, 1.0)) - width <= reach) & (width >= 0))
             else:
-                row, at = np.repeat(np.arange(len(q)), len(centres)), np.tile(np.arange(len(centres)), len(q))
+                angle = np.arccos(np.clip(sims, -1.0, 1.0))
+                bound = np.nan_to_num(b.column(3).to_numpy(zero_copy_only=False).astype(float), nan=-1.0)
+                reach = np.arccos(np.clip(bound - _SLACK, -1.0, 1.0))[:, None] + 1e-9
+                near = (angle - width <= reach) & (inner - angle <= reach) & (width >= 0)
+                if others:
+                    near[np.arange(len(q)), sims.argmax(axis=1)] = False
+                row, at = np.nonzero(near)
             teams = b.column(1).to_pylist()
             order = sorted(range(len(row)), key=lambda k: (at[k], teams[row[k]] or ""))
             row, at = row[order], at[order]
@@ -258,16 +317,27 @@ def probe(
                 names=["list", "team_id", "asked", "q"],
             )
 
-    routed = stored(asked.mapInArrow(route, f"list int, team_id string, asked array<{id_type}>, q binary"), "routed")
+    return stored(rows.filter(usable(F.col("u"), dims)).mapInArrow(route, out), "routed")
+
+
+def _searched(routed, path, query_id, key_type, before) -> DataFrame:
+    """``query_id, similarity, cache_id``: the best entry of each block that a query meets.
+
+    Only the partitions of lists that some query looks at are read. Blocks of
+    queries meet blocks of entries by team and list, and a task multiplies two
+    blocks at a time.
+    """
+    id_type = routed.schema["asked"].dataType.elementType.simpleString()
     # At most one row per list, so small enough for every task; it prunes partitions while the query runs.
     wanted = F.broadcast(routed.select("list").filter("list >= 0").distinct())
+    entries = blocks_of(routed.sparkSession, path, key_type, before)
     pairs = routed.join(entries.join(wanted, "list", "left_semi"), ["list", "team_id"])
 
     def best(batches):
         for b in batches:
             for asked_ids, q, ids, vectors in zip(b.column(0), b.column(1), b.column(2), b.column(3)):
-                left = np.frombuffer(q.as_py()).reshape(-1, dims)
-                sims = left @ _unit(np.frombuffer(vectors.as_py()).reshape(-1, dims)).T
+                left = np.frombuffer(q.as_py()).reshape(len(asked_ids.values), -1)
+                sims = left @ _unit(np.frombuffer(vectors.as_py()).reshape(-1, left.shape[1])).T
                 # Rounded to find ties only; ids are in order, so the first of equals is the lowest.
                 at = np.round(sims, TIE_DIGITS).argmax(axis=1)
                 yield pa.RecordBatch.from_arrays(
@@ -275,9 +345,11 @@ def probe(
                     names=[query_id, "similarity", "cache_id"],
                 )
 
-    found = pairs.select("asked", "q", "ids", "vectors").mapInArrow(best, out)
-    if floor is not None:
-        found = found.filter(F.col("similarity") >= floor)
+    out = f"`{query_id}` {id_type}, similarity double, cache_id {key_type}"
+    return pairs.select("asked", "q", "ids", "vectors").mapInArrow(best, out)
+
+
+def _best(found: DataFrame, query_id: str) -> DataFrame:
     place = F.struct(F.round(-F.col("similarity"), TIE_DIGITS).alias("d"), F.col("cache_id"), F.col("similarity"))
     return found.groupBy(query_id).agg(F.min(place).alias("_b")).select(
         query_id, F.col("_b.cache_id").alias("cache_id"), F.col("_b.similarity").alias("similarity")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import LongType, StructField, StructType
 
 from usagelens.sources.usage_log import accepted, with_layout
+from usagelens.streaming.run import each_batch
 
 
 def append_usage(
@@ -84,6 +86,35 @@ def first_sightings(
     )
 
 
+def part_late(
+    events: DataFrame, out: str, checkpoint: str, late: str = "1 hour", ts: str = "created_at"
+) -> tuple[DataFrame, DataFrame]:
+    """Rows in time and rows too late, as two tables with the batch they came in.
+
+    A row is too late if it is older than the newest row of all earlier batches
+    by more than ``late``. Each batch leaves its newest time behind, so nothing
+    is kept in the driver, and a batch that is tried again decides as before.
+    """
+    spark = events.sparkSession
+    marks = "newest timestamp"
+    spark.createDataFrame([], marks).write.mode("overwrite").parquet(f"{out}/marks/batch_id=-1")
+    for name in ("rows", "late"):
+        spark.createDataFrame([], events.schema).write.mode("overwrite").parquet(f"{out}/{name}/batch_id=-1")
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        seen = spark.read.schema(f"{marks}, batch_id bigint").parquet(f"{out}/marks").filter(F.col("batch_id") < batch_id)
+        # One row per earlier batch.
+        bound = seen.agg((F.max("newest") - F.expr(f"INTERVAL {late}")).alias("bound")).first()["bound"]
+        is_late = F.lit(False) if bound is None else F.coalesce(F.col(ts) < F.lit(bound), F.lit(False))
+        batch.filter(is_late).write.mode("overwrite").parquet(f"{out}/late/batch_id={batch_id}")
+        batch.filter(~is_late).write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
+        batch.agg(F.max(ts).cast("timestamp").alias("newest")).write.mode("overwrite").parquet(f"{out}/marks/batch_id={batch_id}")
+
+    each_batch(events, work, checkpoint)
+    schema = StructType([*events.schema.fields, StructField("batch_id", LongType())])
+    return tuple(spark.read.schema(schema).parquet(f"{out}/{name}") for name in ("rows", "late"))
+
+
 class LateRows(StreamingQueryListener):
     """Counts the rows that watermarks refuse, batch by batch, for as long as it listens.
 
