@@ -8,6 +8,7 @@ from usagelens.functions import pricing, text as T
 from usagelens.functions.timerange import range_days, range_hours, since_days
 from usagelens.functions.vectors import cosine, outcome, outcome_label
 from usagelens.operators import routing
+from usagelens.session import scratch_path
 from usagelens.sources import requests
 
 
@@ -208,10 +209,10 @@ def test_provider_files_keep_order_and_text(spark):
     messages = [("system", "first"), ("user", texts[0]), ("assistant", texts[1]), ("system", "last"), ("user", texts[2]), ("user", texts[3]), ("user", texts[4])]
     rows = [(f'id "{i}"', m, messages, False, 0, 0.0) for i, m in enumerate(["anthropic/claude-haiku-3", "groq/gpt-oss-20b", "nobody/x"])]
     schema = "request_id string, model string, messages array<struct<role:string,content:string>>, stream boolean, max_tokens int, temperature double"
-    shaped = R.provider_body(spark.createDataFrame(rows, schema))
+    shaped = requests.provider_body(spark.createDataFrame(rows, schema))
     path = scratch_path(spark, "files")
-    R.write_provider_files(shaped, path)
-    back = {r["request_id"]: r for r in R.read_provider_files(spark, path).collect()}
+    requests.write_provider_files(shaped, path)
+    back = {r["request_id"]: r for r in requests.read_provider_files(spark, path).collect()}
     assert set(back) == {'id "0"', 'id "1"'}
     assert [tuple(m) for m in back['id "1"']["messages"]] == messages and back['id "1"']["system"] is None
     assert [tuple(m) for m in back['id "0"']["messages"]] == [m for m in messages if m[0] != "system"]

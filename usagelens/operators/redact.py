@@ -304,7 +304,8 @@ def redact_checked(
     def verdict(values: pd.Series) -> pd.Series:
         return check(values)
 
-    fine = matches.select("_value").distinct().withColumn("_ok", verdict("_value")).filter("_ok")
+    # Written, so that the function sees each match once.
+    fine = stored(matches.select("_value").distinct().withColumn("_ok", verdict("_value")), "verdicts").filter("_ok")
     # Holds no more than one row's own matches.
     valid = matches.join(fine.select("_value"), "_value").groupBy(key).agg(F.collect_list("_value").alias("_valid"))
     rows = first.join(valid, key, "left").withColumnsRenamed(
@@ -427,8 +428,12 @@ def redact_turns(
 
 def turn_values(turns, request, turn, text, pats=DEFAULT_PATTERNS) -> DataFrame:
     """One row per match: request, turn, place in the turn, tag, value."""
-    marked = turns.select(request, F.col(turn).alias("_turn"), _marked(F.col(text), pats).alias("_m"))
-    return _values_of(marked.select(request, "_turn", "_m.found"), request)
+    return _values_of(_searched(turns, request, turn, text, pats).select(request, "_turn", "_m.found"), request)
+
+
+def _searched(turns, request, turn, text, pats) -> DataFrame:
+    """The turns with what a search leaves; as a generated row, which no filter above makes Spark work out again."""
+    return turns.select(request, F.col(turn).alias("_turn"), F.explode(F.array(_marked(F.col(text), pats))).alias("_m"))
 
 
 def _values_of(marked: DataFrame, request: str) -> DataFrame:
@@ -438,7 +443,7 @@ def _values_of(marked: DataFrame, request: str) -> DataFrame:
 
 def _redact_turns(turns, request, turn, text, pats=DEFAULT_PATTERNS) -> tuple[DataFrame, DataFrame]:
     """The turns, and the number of unique values of each request that holds any."""
-    marked = turns.select(request, F.col(turn).alias("_turn"), _marked(F.col(text), pats).alias("_m"))
+    marked = _searched(turns, request, turn, text, pats)
     marked = stored(
         marked.filter(F.size("_m.found") > 0).select(request, "_turn", "_m.text", "_m.found"), "marked"
     ).withColumnRenamed("text", "_text")
