@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import free_name, row_key, written
+from usagelens.llm.common import free_name, written
 from usagelens.llm.components import components
 from usagelens.llm.shingles import shingle_hashes
-from usagelens.llm.similar import SIMILARITY, drop_similar
+from usagelens.llm.similar import SIMILARITY, bands_of, likely, links_of, shingle_set
 
 BITS, HALF = 64, 32
 #: Buckets above this many fingerprints are cut again by the other half's variants.
@@ -21,8 +21,7 @@ BUCKET = 4096
 _BLOCK = 1 << 14
 
 
-def _fingerprint(text: str | None, words: int) -> int:
-    values = shingle_hashes(text, words)
+def _fingerprint(values: np.ndarray) -> int:
     if not len(values):
         return 0
     ones = np.zeros(BITS, dtype=np.int64)
@@ -37,7 +36,7 @@ def fingerprint(text, words: int = 3):
 
     @F.pandas_udf("long")
     def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([_fingerprint(t, words) for t in texts], dtype="int64")
+        return pd.Series([_fingerprint(shingle_hashes(t, words)) for t in texts], dtype="int64")
 
     return hashed(text)
 
@@ -222,25 +221,67 @@ def near_duplicates(
     )
 
 
+def sketch(text, words: int):
+    """`fp`, `n` (distinct shingles) and `bands` of each whole text, from one hashing of its shingles."""
+
+    @F.pandas_udf("fp long, n long, bands array<long>")
+    def sketched(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            values = shingle_hashes(t, words)
+            fp = _fingerprint(values)
+            values = np.unique(values)
+            rows.append((fp, len(values), bands_of(values)))
+        return pd.DataFrame(rows, columns=["fp", "n", "bands"])
+
+    return sketched(text)
+
+
 def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = SIMILARITY
 ) -> DataFrame:
     """One document of each group of near duplicates, with the columns of the input.
 
-    Five words make a shingle here. Fingerprints within three bits are classes; the row with the smallest id stays of
-    each; of rows with this id and the same text one, of rows with this id and different texts the one whose text hash
-    is smallest. Rows without id stay only where their component has no other. The classes' remaining rows are then
-    compared by their sets of shingles, and one of those linked by a similarity of `least` or more stays, the smallest
-    id again. Null and empty texts have fingerprint zero and are one class.
+    Five words make a shingle here. Every distinct text is a node. Nodes whose fingerprints are within three bits, and
+    nodes that share a band of minima, are compared by their sets of shingles; a similarity of `least` or more is a
+    link, and texts without words (null, empty, white space) are linked. All links together make the groups. Of each
+    group the row with the smallest id stays; rows without id stay only where their group has no other; of rows with
+    this id and the same text one, of rows with this id and different texts the one whose text hash is smallest. An
+    empty table gives an empty one.
     """
-    key = free_name(docs, "row_key")
-    number = free_name(docs, "number")
-    marked = docs.withColumn(key, row_key(docs[id_col], docs[text_col]))
-    kept = near_duplicates(marked, (id_col, key), text_col, words).where("stays").select(key).distinct()
-    alone = (
-        marked.join(kept, key, "left_semi")
-        .withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1))))
+    node, number, wanted_id = (free_name(docs, c) for c in ("node", "number", "kept_id"))
+    body = F.coalesce(docs[text_col], F.lit(""))
+    marked = docs.withColumn(node, F.xxhash64(body))
+    rows = marked.select(marked[node].alias("node"), marked[id_col].alias("id"), body.alias("text"))
+    sketches = written(rows.select("node", "id", sketch(F.col("text"), words).alias("s")).select("node", "id", "s.*"), "sketches")
+    place = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("place")
+    nodes = sketches.groupBy("node").agg(place, *(F.any_value(c).alias(c) for c in ("fp", "n", "bands")))
+    nodes = written(nodes, "nodes")
+    prints = written(nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    first, second = (prints.toDF(fp, end) for fp, end in (("a", "x"), ("b", "y")))
+    close = near_fingerprints(prints.select("fp")).join(first, "a").join(second, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = nodes.where("n > 0").join(prints, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        # One row of each wanted text; copies and repeated rows are not worked on.
+        chosen = nodes.join(wanted, "node").select("node", F.col("place.id").alias("at"))
+        texts = likely(rows, wanted).join(chosen, "node").where(F.col("id").eqNullSafe(F.col("at")))
+        texts = texts.withColumn("turn", F.row_number().over(Window.partitionBy("node").orderBy(F.lit(1)))).where("turn = 1")
+        return texts.select("node", shingle_set(F.col("text"), words).alias("set"))
+
+    blank = nodes.where("n = 0").select(F.col("node").alias("a"))
+    blank = blank.withColumn("b", F.lit(blank.agg(F.min("a")).first()[0]).cast("long"))
+    links = links_of(nodes.select("node", "n", "bands"), sets_of, least, more=close.unionByName(same))
+    roots = components(links.unionByName(blank))
+    placed = nodes.select("node", "place").join(roots, "node", "left").select(
+        F.coalesce("root", "node").alias("root"), F.struct("place", "node").alias("place")
+    )
+    stays = placed.groupBy("root").agg(F.min("place").alias("p"))
+    stays = stays.select(F.col("p.node").alias(node), F.col("p.place.id").alias(wanted_id))
+    return (
+        marked.join(stays, node)
+        .where(marked[id_col].eqNullSafe(F.col(wanted_id)))
+        .withColumn(number, F.row_number().over(Window.partitionBy(node).orderBy(F.lit(1))))
         .where(F.col(number) == 1)
         .select(*docs.columns)
     )
-    return drop_similar(written(alone, "classes"), id_col, text_col, words, least)
