@@ -15,7 +15,7 @@ from xxhash import xxh64_intdigest
 from usagelens.llm.common import written
 
 #: Terms kept from one token to the next occurrence, per worker.
-CACHE = 200_000
+CACHE = 60_000
 #: Lengths of the word beginnings that are terms: inflected and compound forms share them.
 HEADS = range(3, 9)
 #: Seeds of the kinds of terms: the same string is another term in another kind.
