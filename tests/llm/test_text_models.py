@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -128,13 +129,66 @@ def test_every_occurrence_is_drawn_for_itself(spark):
     same = [w == name for x in split.values() for w in x]
     drawn = pieces.encode_chunks(word_alone * 8000, list(range(8000)), own, pieces.DROPOUT, 5)
     assert abs(sum(same) / len(same) - sum(x == plain for x in drawn) / len(drawn)) < 0.04
-    # What is taken from the cache is what encoding the occurrence by itself gives.
+    # What is taken from kept paths is what encoding the occurrence by itself gives, however often it came before.
     texts, limit = [f"a {word}  naïve x\n{'ab' * 60} {word}"] * 3, pieces._limit(0.3)
     coder, seen = pieces.Encoder(open(pieces.MODEL, "rb").read(), 0.3, 5), []
-    kept, pieces.Encoder._dropped = pieces.Encoder._dropped, lambda self, which, keys: seen.append(keys) or pieces.np.arange(len(which))
+
+    def by_itself(self, flat, keys):
+        seen.append(keys)
+        return pieces.np.zeros(len(flat), int), pieces.np.arange(len(flat))
+
+    kept, pieces.Encoder._paths = pieces.Encoder._paths, by_itself
     try:
-        alone = coder(texts, [1, 2, -3])
+        alone = [coder(texts, marks) for marks in ([1, 2, -3], [4, 5, 6])]
     finally:
-        pieces.Encoder._dropped = kept
+        pieces.Encoder._paths = kept
     assert len(seen[0]) == 3 * len(pieces.split(texts[0])) and limit == coder.limit
-    assert coder(texts, [1, 2, -3]) == alone
+    for _ in range(3):
+        assert [coder(texts, marks) for marks in ([1, 2, -3], [4, 5, 6])] == alone
+
+
+def plain_agenda(chunk, key, own, limit):
+    """One chunk, one candidate after the other, in a list."""
+    parts = [(at, p if (p := int(own.of_point[ord(c)])) >= 0 else -1 - ord(c)) for at, c in enumerate(chunk)]
+    skipped = set()
+    while True:
+        found = []
+        for k in range(len(parts) - 1):
+            (at, a), (_, b) = parts[k], parts[k + 1]
+            made = own.merge.get((a, b))
+            if made is not None and (at, a, b) not in skipped:
+                found.append((int(own.rank[made]), at, k, a, b, made))
+        if not found:
+            return [p for _, p in parts]
+        _, at, k, a, b, made = min(found)
+        code = pieces.np.array([key ^ (a << 40) ^ (b << 20) ^ at], pieces.np.uint64)
+        if int(pieces._mixed(code)[0]) < limit:
+            skipped.add((at, a, b))
+        else:
+            parts[k : k + 2] = [(at, made)]
+
+
+def test_pieces_against_a_plain_agenda():
+    with open(pieces.MODEL, "rb") as f:
+        model = f.read()
+    own, limit = pieces.Pieces(model), pieces._limit(0.3)
+    pick = random.Random(4)
+    words = [" theothertion", " naïve", "  the", " " + "ab" * 20, " international", "x", " the"]
+    chunks = [pick.choice(words) for _ in range(600)]
+    keys = pieces.np.array([pick.getrandbits(64) for _ in chunks], pieces.np.uint64)
+    want = [plain_agenda(c, int(k), own, limit) for c, k in zip(chunks, keys)]
+    got = pieces.encode_keyed(chunks, keys, own, limit)
+    assert [pieces.np.frombuffer(g, pieces.np.int32).tolist() for g in got] == want
+    coder, left = pieces.Encoder(model, 0.3, 5), []
+    for _ in range(16):
+        path, alone = coder._paths(chunks, keys)
+        held = [pieces.np.frombuffer(coder.plain[p], pieces.np.int32).tolist() for p in path]
+        rest = set(alone.tolist())
+        assert all(h == w for k, (h, w) in enumerate(zip(held, want)) if k not in rest)
+        left.append(len(rest))
+    assert left[-1] < left[0] / 5
+    # Whole by chunks is whole by decoding the text.
+    texts = ["a b  c\n", "▁ x ▁", "", " ", "naïve 😀 \u0000"]
+    ids, whole = coder(texts, [1, 2, 3, 4, 5])
+    assert whole == [pieces.decode_ids(pieces.np.frombuffer(i, pieces.np.int32), own) == t for i, t in zip(ids, texts)]
+    assert pieces._decode_to([ids[0]], ["another"], own).tolist() == [False]
