@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -160,6 +162,26 @@ def test_every_placement_of_two_substitutions_is_found(spark):
     assert len(want) == len(rows) and got == want
 
 
+def test_short_items_with_substitutions(spark):
+    """Every choice of as many substitutions as the rule allows is found, and none of one more."""
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(1, 12)]
+    rows, want = [], set()
+    for n, text in items:
+        allowed = n - math.ceil(0.8 * n)
+        for some in range(allowed + 2):
+            for places in combinations(range(n), some):
+                words = text.split()
+                for p in places:
+                    words[p] = f"other{p}"
+                if some <= allowed:
+                    want.add((len(rows), n))
+                rows.append((len(rows), " ".join(["before"] * 3 + words + ["after"] * 3)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(frame(spark, rows), bench).collect()}
+    assert set(found) == want
+    assert all(r.doc_start == 3 and r.item_start == 0 and r.tokens == n for (_, n), r in found.items())
+
+
 def random_lines(seed):
     pick, lines = random.Random(seed), []
     for _ in range(120):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,15 @@ MASKS = (
     (0, 1, 2, 3, 4, 10, 11),
 )
 SEEDS = len(MASKS)
+#: More than the ways to leave out two places of fewer than SPAN.
+_WAYS = 64
 #: An overlap: so many tokens side by side (or a whole shorter item) of which this share is equal.
 OVERLAP, SHARE = 13, 0.8
 #: Tokens kept on either side of a hit for verification.
 MARGIN = 24
 #: Bits of the filter that documents' hashes pass before the join: its size is fixed, whatever the benchmark's.
 FILTER_BITS = 1 << 25
-_CHARS, _CACHE = 1 << 21, 300_000
+_CHARS, _CACHE = 1 << 21, 100_000
 _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¿¡"
 
 
@@ -62,8 +66,25 @@ class Tokens:
         return np.array(out, dtype=np.uint64)
 
 
+def _needed(length: int) -> int:
+    """Equal places that an overlap of so many tokens needs."""
+    return math.ceil(length * SHARE)
+
+
+def _left_out(length: int) -> list[tuple[int, ...]]:
+    """All ways to leave out as many places of a whole short item as may be substituted."""
+    return list(combinations(range(length), length - _needed(length)))
+
+
+def _length_of(number: int) -> int:
+    """Tokens that a seed spans."""
+    return MASKS[number][-1] + 1 if number < SEEDS else (number - SEEDS) // _WAYS
+
+
 def _seed_hashes(tokens: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """(seed number, hash at every start) of each mask; then of whole runs of the lengths given."""
+    """(seed number, hash at every start) of each mask; then of whole runs of the lengths given, once for each way to
+    leave out the places that may differ.
+    """
     factors = _factors()
     for number, mask in enumerate(MASKS):
         n = len(tokens) - mask[-1]
@@ -78,7 +99,12 @@ def _seed_hashes(tokens: np.ndarray, lengths: list[int]) -> Iterator[tuple[int,
             total = np.zeros(n, dtype=np.uint64)
             for j in range(length):
                 total += tokens[j : j + n] * factors[j]
-            yield SEEDS + length, _mixed(total + np.uint64(SEEDS + length))
+            for way, places in enumerate(_left_out(length)):
+                kept = total.copy()
+                for j in places:
+                    kept -= tokens[j : j + n] * factors[j]
+                number = SEEDS + length * _WAYS + way
+                yield number, _mixed(kept + np.uint64(number))
 
 
 def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +113,7 @@ def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`item_id, tokens, seeds(number, hash, at)`: an item of fewer than SPAN tokens has one seed, the whole of it."""
+    """`item_id, tokens, seeds(number, hash, at)`: an item of fewer than SPAN tokens has the seeds of its whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Tokens()
@@ -154,7 +180,7 @@ def _regions(docs: DataFrame, id_cols: list[str], bits, short: list[int]) -> Dat
                     at = np.flatnonzero(there)
                     b = b[at]
                     at = at[((words[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)]
-                    span = MASKS[number][-1] + 1 if number < SEEDS else number - SEEDS
+                    span = _length_of(number)
                     at = at[at + span <= ends[at]]
                     rows.append(np.stack([at, np.full(len(at), number), hashes[at].view(np.int64)], axis=1))
                 hits = np.concatenate(rows) if rows else np.empty((0, 3), np.int64)
@@ -207,10 +233,12 @@ def leaks(
     with up to two substitutions, the most that the rule allows. Documents' seed hashes first pass a
     bit filter of fixed size, then join the benchmark's by equality; the two token rows are laid side by side along
     the hit's diagonal, and an overlap counts when OVERLAP neighbouring tokens (a whole item where that is shorter)
-    agree in SHARE of their places. Places count tokens that have a letter or digit.
+    agree in SHARE of their places. Places count tokens that have a letter or digit. Items of fewer than SPAN tokens
+    are looked for as a whole, by seeds that leave out every choice of places that may be substituted.
 
-    A null or empty text holds nothing; an empty item is in no document. Items of fewer than SPAN tokens are looked for as
-    a whole, word for word. Null ids stay null; repeated rows share one result; repeated items are listed each; an
+    Of overlaps with equally many matches the first in the document counts, then the first in the item. A null or empty
+    text holds nothing; an empty item is in no document; very long texts are read in slices, and only the stretches
+    around hits are kept. Null ids stay null; repeated rows share one result; repeated items are listed each; an
     empty table on either side gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -218,8 +246,9 @@ def leaks(
     seeds = items.select("item_id", F.explode("seeds").alias("s")).select(
         "item_id", "s.number", "s.hash", F.col("s.at").alias("item_at")
     )
-    lengths = seeds.where(F.col("number") >= SEEDS).select("number").distinct().collect()  # fewer than SPAN rows
-    short = sorted(r["number"] - SEEDS for r in lengths)
+    length = F.floor((F.col("number") - SEEDS) / _WAYS).cast("int").alias("length")
+    lengths = seeds.where(F.col("number") >= SEEDS).select(length).distinct().collect()  # fewer than SPAN rows
+    short = sorted(r["length"] for r in lengths)
     bits = spark.sparkContext.broadcast(_filter(seeds))
     ids = [f"id{i}" for i in range(len(id_cols))]
     plain = docs.select(*(docs[c].alias(i) for c, i in zip(id_cols, ids)), docs[text_col].alias("text"))
