@@ -52,6 +52,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             ),
         )
     )
+    # Written, so that the join reads its own exchange of the rows: adaptive execution can split a large group.
+    groups = written(groups.drop("texts"), "groups")
     return (
         rows.drop("body")
         .join(groups, ["md5", "sha"])
