@@ -49,15 +49,20 @@ def settings(
     """
     ttl_us = ttl_seconds * 1_000_000
     times = requests.select(*key, F.unix_micros(F.col(ts)).alias("_us")).filter(F.col("_us").isNotNull()).distinct()
+    times = stored(times, "moments")
     found = times.groupBy(*key).agg(F.min("_us").alias("_us"))
-    jumps = stored(_followers(times, ttl_us, key).filter(F.col("next").isNotNull()), "jumps")
-    while not jumps.isEmpty():
-        # From settings known so far, none of which is met again: a round doubles the distance.
+    jumps = _followers(times, ttl_us, key).filter(F.col("next").isNotNull())
+    while True:
+        # Settings and pointers of a round are written by one job.
+        both = stored(found.withColumn("next", F.lit(None).cast("bigint")).unionByName(jumps), "settings")
+        found, jumps = both.filter("next IS NULL").drop("next"), both.filter("next IS NOT NULL")
+        if jumps.isEmpty():
+            return found.select(*key, F.col("_us").alias("_set"))
+        # From the settings known so far none is met again: a round doubles the distance.
         ahead = found.join(jumps, [*key, "_us"]).select(*key, F.col("next").alias("_us"))
-        found = stored(found.unionByName(ahead), "settings")
+        found = found.unionByName(ahead)
         twice = jumps.select(*key, F.col("_us").alias("next"), F.col("next").alias("after"))
-        jumps = stored(jumps.join(twice, [*key, "next"]).select(*key, "_us", F.col("after").alias("next")), "jumps")
-    return found.select(*key, F.col("_us").alias("_set"))
+        jumps = jumps.join(twice, [*key, "next"]).select(*key, "_us", F.col("after").alias("next"))
 
 
 def replay(
