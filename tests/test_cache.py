@@ -352,3 +352,22 @@ def test_embeddings_are_made_again_after_a_day(spark):
     native = embedding.embed_valid(asked, before).collect()
     assert sorted(map(str, used)) == sorted(map(str, native)) and all(r["embedding"] for r in native)
     assert calls.value >= len({t for t, _, m in want if m >= 0}) - 2
+
+
+def test_only_prompts_left_over_are_embedded(spark):
+    """With an embedder at hand, texts that the first layer serves are never embedded, and others once."""
+    texts = ["a b c", "d e f", "known", "c b a", "d e f"]
+    cache = embedding.embed(spark.createDataFrame([("a b c",), ("known",)], "text string").withColumn("text_hash", F.sha2("text", 256)))
+    cache = cache.select(F.col("text_hash").alias("id"), F.lit("t").alias("team_id"), F.col("text_hash").alias("prompt_hash"), "embedding", F.lit("m").alias("model_used"))
+    path = scratch_path(spark, "index")
+    vector_index.create(cache, path)
+    asked = spark.createDataFrame([(i, "t", x) for i, x in enumerate(texts)], "query_id long, team_id string, prompt_text string")
+    seen = []
+
+    def embed(rows):
+        seen.extend(r["text"] for r in rows.collect())
+        return embedding.embed(rows)
+
+    got = {r["query_id"]: (r["layer"], r["outcome"]) for r in lookup.two_layer(asked, cache, index=path, embed=embed).collect()}
+    assert got == {0: ("exact_hash", "hit"), 1: (None, "miss"), 2: ("exact_hash", "hit"), 3: ("semantic", "hit"), 4: (None, "miss")}
+    assert sorted(seen) == ["c b a", "d e f"]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from usagelens.functions.text import prompt_hash
 from usagelens.functions.vectors import HIT_AT, NEAR_AT, outcome, outcome_label
 from usagelens.operators.nearest import Cells, nearest
+from usagelens.session import stored
 from usagelens.sources.vector_index import probe
 
 KEY = ["team_id", "prompt_hash"]
@@ -27,20 +30,33 @@ def two_layer(
     text: str = "prompt_text",
     vectors: DataFrame | None = None,
     index: str | None = None,
+    embed: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Exact match first, then nearest neighbour for the prompts left over.
 
     Every distinct (team, prompt) is looked up once, however often it was sent.
     A similarity below ``near_at`` is a clear miss and is not reported. Vectors
-    come from the queries' ``embedding`` or, keyed by ``text_hash``, from a table.
+    come from the queries' ``embedding`` or, keyed by ``text_hash``, from a table,
+    or ``embed`` makes them from (text_hash, text) of the distinct texts that are
+    left over, as no other text needs one.
     ``index`` is the folder of the cache's stored vector index; without it the
     cache's vectors are searched as they come.
     """
     asked = queries.withColumn("prompt_hash", prompt_hash(F.col(text)))
-    keyed = asked.select(*KEY).distinct().withColumn("query_key", F.concat_ws(":", *KEY))
+    if embed is None:
+        keyed = asked.select(*KEY).distinct()
+    else:
+        keyed = asked.groupBy(*KEY).agg(F.any_value(text).alias("_text"))
+    keyed = keyed.withColumn("query_key", F.concat_ws(":", *KEY))
     first = exact(keyed, cache)
+    if embed is not None:
+        # Written, as the search, the embedder and the result read it.
+        first = stored(first, "first-layer")
     open_ = first.filter(F.col("cache_id").isNull()).drop("cache_id")
-    if vectors is None:
+    if embed is not None:
+        once = open_.groupBy(F.col("prompt_hash").alias("text_hash")).agg(F.any_value("_text").alias("text"))
+        open_ = open_.join(embed(once).withColumnRenamed("text_hash", "prompt_hash"), "prompt_hash")
+    elif vectors is None:
         # Same text, same vector: one per prompt is enough.
         own = asked.groupBy(*KEY).agg(F.any_value("embedding").alias("embedding"))
         open_ = open_.join(own, KEY)

@@ -51,8 +51,7 @@ def usage_rows(
     asked = stored(
         prepared.select(request, "created_at", "team_id", "feature_tag", "model_override", "prompt_text"), "asked"
     )
-    vectors = prompt_vectors(asked, embedder)
-    seen = lookup.two_layer(asked, cache, cells=cells, vectors=vectors, index=index)
+    seen = lookup.two_layer(asked, cache, cells=cells, index=index, embed=lambda texts: embed(texts, embedder))
     hit = F.col("outcome") == "hit"
     routed = routing.routed(routing.classified(seen))
     answered = routed.join(responses, request, "left").filter(hit | F.col("response_json").isNotNull())
