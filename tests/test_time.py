@@ -101,6 +101,18 @@ def test_replay_equals_a_fold(spark):
     assert got == replay_by_hand(rows, 3600)
 
 
+def test_replay_of_a_dense_prompt_takes_one_pass(spark):
+    # One prompt with 60,000 moments in each slice; a frame that shrinks would compare each with all that follow.
+    moments = spark.range(180_000).select(
+        F.lit("t").alias("team_id"), F.lit("hot").alias("prompt_hash"), F.timestamp_millis(F.col("id") * 60).alias("created_at")
+    )
+    times = moments.select("team_id", "prompt_hash", F.unix_micros("created_at").alias("_us"))
+    followers = replay._followers(times, 3_600_000_000, replay.KEY)
+    assert "unboundedfollowing" not in followers._jdf.queryExecution().executedPlan().toString().lower()
+    assert followers.filter("next = _us + 3600000000").count() == 120_000
+    assert sorted(r["_set"] for r in replay.settings(moments, 3600).collect()) == [0, 3_600_000_000, 7_200_000_000]
+
+
 def log(spark, rows):
     """rows: (seconds, team, model, latency, hit)."""
     full = [

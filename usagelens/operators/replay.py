@@ -25,11 +25,12 @@ def _followers(times: DataFrame, ttl_us: int, key: list[str]) -> DataFrame:
         *key, (F.col("_us") + ttl_us).alias("at"), F.lit(None).cast("bigint").alias("moment"), F.col("_us").alias("of")
     )
     both = marks.unionByName(ends).withColumn("slice", slice_of)
-    onward = Window.partitionBy(*key, "slice").orderBy("at").rangeBetween(0, Window.unboundedFollowing)
+    # From the last to the first, as frames that grow are worked out row by row; shrinking ones begin anew at each row.
+    onward = Window.partitionBy(*key, "slice").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
     inside = both.withColumn("next", F.min("moment").over(onward)).filter(F.col("of").isNotNull())
     # One row per prompt and slice from here on.
     firsts = both.groupBy(*key, "slice").agg(F.min("moment").alias("first"))
-    later = Window.partitionBy(*key).orderBy("slice").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*key).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
     carried = firsts.select(*key, "slice", F.min("first").over(later).alias("carried"))
     return inside.join(carried, [*key, "slice"]).select(
         *key, F.col("of").alias("_us"), F.coalesce("next", "carried").alias("next")
@@ -41,28 +42,39 @@ def settings(
 ) -> DataFrame:
     """(key, moment) of every time an entry was set.
 
-    Every moment points to the next setting, were it one itself. From each
-    key's first moment the pointers are followed by doubling: after n rounds
-    all settings up to 2^n - 1 steps away are known. The rounds end when no
-    pointer is left, after log2(range / TTL) of them, as two settings are at
-    least one TTL apart. Only pointers that lead somewhere are kept and written.
+    A key whose moments lie within one TTL is set once. For the others, which get
+    a number of their own, every moment points to the next setting, were it one
+    itself. From each key's first moment the pointers are followed by doubling:
+    after n rounds all settings up to 2^n - 1 steps away are known. The rounds
+    end when no pointer is left, after log2(range / TTL) of them, as two settings
+    are at least one TTL apart. Only pointers that lead somewhere are kept and
+    written.
     """
     ttl_us = ttl_seconds * 1_000_000
     times = requests.select(*key, F.unix_micros(F.col(ts)).alias("_us")).filter(F.col("_us").isNotNull()).distinct()
     times = stored(times, "moments")
-    found = times.groupBy(*key).agg(F.min("_us").alias("_us"))
-    jumps = _followers(times, ttl_us, key).filter(F.col("next").isNotNull())
+    spans = times.groupBy(*key).agg(F.min("_us").alias("_set"), F.max("_us").alias("_last"))
+    spans = stored(spans.withColumn("_key", F.monotonically_increasing_id()), "spans")
+    renewed = F.col("_last") - F.col("_set") >= ttl_us
+    long_ = spans.filter(renewed)
+    found = long_.select("_key", F.col("_set").alias("_us"))
+    # Null keys are keys like others.
+    same = [times[k].eqNullSafe(long_[k]) for k in key]
+    moments = stored(times.join(long_, same).select("_key", "_us"), "numbered")
+    jumps = _followers(moments, ttl_us, ["_key"]).filter(F.col("next").isNotNull())
     while True:
         # Settings and pointers of a round are written by one job.
         both = stored(found.withColumn("next", F.lit(None).cast("bigint")).unionByName(jumps), "settings")
         found, jumps = both.filter("next IS NULL").drop("next"), both.filter("next IS NOT NULL")
         if jumps.isEmpty():
-            return found.select(*key, F.col("_us").alias("_set"))
+            break
         # From the settings known so far none is met again: a round doubles the distance.
-        ahead = found.join(jumps, [*key, "_us"]).select(*key, F.col("next").alias("_us"))
+        ahead = found.join(jumps, ["_key", "_us"]).select("_key", F.col("next").alias("_us"))
         found = found.unionByName(ahead)
-        twice = jumps.select(*key, F.col("_us").alias("next"), F.col("next").alias("after"))
-        jumps = jumps.join(twice, [*key, "next"]).select(*key, "_us", F.col("after").alias("next"))
+        twice = jumps.select("_key", F.col("_us").alias("next"), F.col("next").alias("after"))
+        jumps = jumps.join(twice, ["_key", "next"]).select("_key", "_us", F.col("after").alias("next"))
+    once = spans.filter(~renewed).select(*key, "_set")
+    return once.unionByName(found.join(long_.select("_key", *key), "_key").select(*key, F.col("_us").alias("_set")))
 
 
 def replay(
