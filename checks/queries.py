@@ -930,7 +930,7 @@ def _partitions(spark):
 
 def _event_stream(spark, folder, view):
     schema = W.table(spark, folder, "events").schema
-    events = run.file_stream(spark, folder, schema, "events.parquet")
+    events = run.table_stream(spark, f"{folder}/events.parquet", schema)
     return W.derive(spark, view, events=events)
 
 
@@ -1021,7 +1021,7 @@ def stream_counters(spark, folder):
 @_streaming
 def stream_redact(spark, folder):
     schema = W.table(spark, folder, "documents").schema
-    docs = W.derive(spark, "docs_pii", documents=run.file_stream(spark, folder, schema, "documents.parquet"))
+    docs = W.derive(spark, "docs_pii", documents=run.table_stream(spark, f"{folder}/documents.parquet", schema))
     return run.drain(redact.redact_column(docs, "text").select("doc_id", "text", "unique_tokens"))
 
 

@@ -86,3 +86,24 @@ def test_a_late_batch_tried_again_decides_as_before(spark, tmp_path):
         SU.each_batch = kept
     assert [r["id"] for r in late.collect()] == [2] and sorted(r["id"] for r in rows.collect()) == [1, 3]
     assert late.agg(F.max("batch_id")).first()[0] == 1
+
+
+def test_a_table_stream_reads_a_file_and_a_folder(spark, tmp_path):
+    import shutil
+
+    usage(spark, [(i, "t", i, True) for i in range(6)]).repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    usage(spark, [(7, "t", 1, True)]).coalesce(1).write.parquet(str(tmp_path / "one"))
+    shutil.copy(next((tmp_path / "one").glob("part-*")), tmp_path / "single.parquet")
+    for name, rows in (("many", 6), ("single", 1)):
+        stream = run.table_stream(spark, str(tmp_path / f"{name}.parquet"), usage(spark, []).schema)
+        assert run.drain(stream).count() == rows
+
+
+def test_stream_queries_read_tables_of_many_files(spark, tmp_path):
+    from checks.queries import QUERIES
+
+    source = "/root/testdata/sf0.001"
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{source}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name in ("stream_redact", "stream_usage_append"):
+        assert QUERIES[name](spark, str(tmp_path)).count() == QUERIES[name](spark, source).count() > 0

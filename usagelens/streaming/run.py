@@ -23,6 +23,14 @@ def file_stream(
     return reader.parquet(folder)
 
 
+def table_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of a table, be it one file or a folder of files.
+
+    A stream's path must be a folder, unless it is a pattern; so it is made one that only this name fits.
+    """
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def drain(
     stream: DataFrame,
     mode: str = "append",
