@@ -80,7 +80,7 @@ class CacheStore:
         written = self.spark.read.schema(ENTRY).parquet(place)
         index = self._index(self._base()[0])
         if len(vector_index.train(written, index, "id", self.lists, version=version)):
-            vector_index.append(written, index, version=version)
+            vector_index.append(written, index, version=version, places=1)
 
     def add_hits(self, hits: DataFrame, version: int) -> None:
         hits.select("id", "layer", "new_hits").write.mode("overwrite").parquet(f"{self.path}/hits/version={version}")
@@ -102,10 +102,10 @@ class CacheStore:
         summed = self.hits(below).groupBy("id", "layer").agg(F.sum("new_hits").alias("new_hits"))
         summed.write.mode("overwrite").parquet(f"{self.path}/hits-{base + 1}")
         new = self._index(base + 1)
-        vector_index.compact(self.spark, self._index(base), "string", below, new)
+        vector_index.compact(self.spark, self._index(base), "string", below, new, places=1)
         for version in self._versions(below):
             part = self.spark.read.schema(ENTRY).parquet(f"{self.path}/entries/version={version}")
-            vector_index.append(part, new, version=version)
+            vector_index.append(part, new, version=version, places=1)
         row = self.spark.createDataFrame([(base + 1, below)], _BASES)
         row.write.mode("overwrite").parquet(f"{self.path}/bases/{base + 1}")
 

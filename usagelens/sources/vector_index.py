@@ -5,7 +5,9 @@ partitioned by version and list; a row is a block of up to ``BLOCK`` vectors of
 one team, in id order, with the narrowest and widest angle to the list's centre. Centres are
 trained once, on a bounded sample; later rows are appended under a version of
 their own without training anew. Writing a version again replaces it, and a
-reader may ask for the versions before one.
+reader may ask for the versions before one. ``spill`` holds the vectors once more
+in the lists that are next closest (``placements``), for searches of a few lists;
+exact searches don't read it.
 """
 
 from __future__ import annotations
@@ -31,6 +33,11 @@ def lists_for(count: int) -> int:
     return max(16, math.isqrt(max(count, 0)) // 16)
 
 
+def placements(lists: int) -> int:
+    """Number of lists that a vector is put in: one below nine lists, two of 16, one more each time lists double."""
+    return 1 + max(0, math.ceil(math.log2(max(lists, 1) / 8)))
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(length == 0, 1.0, length)
@@ -68,7 +75,8 @@ def begin(spark: SparkSession, path: str, key_type: str) -> None:
     """An index without centres and vectors, so it can be read before anything was written."""
     spark.createDataFrame([], _CENTRES).write.mode("overwrite").parquet(f"{path}/centres/version={NOTHING}")
     empty = spark.createDataFrame([], _blocks(key_type).replace("list int, ", ""))
-    empty.write.mode("overwrite").parquet(f"{path}/blocks/version={NOTHING}/list=0")
+    for part in ("blocks", "spill"):
+        empty.write.mode("overwrite").parquet(f"{path}/{part}/version={NOTHING}/list=0")
 
 
 def _blocks(key_type: str) -> str:
@@ -94,8 +102,12 @@ def train(vectors: DataFrame, path: str, key: str, lists: int, embedding: str =
     return centres
 
 
-def append(vectors: DataFrame, path: str, key: str = "id", embedding: str = "embedding", version: int = 0) -> None:
-    """Write the vectors as one version, each to the list of the closest centre.
+def append(
+    vectors: DataFrame, path: str, key: str = "id", embedding: str = "embedding", version: int = 0, places: int | None = None
+) -> None:
+    """Write the vectors as one version, each to the list of the closest centre and, as spill, to the next ones.
+
+    ``places`` is the number of lists; one if the index is searched exactly only.
 
     Rows are dealt by list, team and hash of their key, so a list that holds most
     of all vectors is cut over many tasks. Null and zero vectors and those of
@@ -108,15 +120,23 @@ def append(vectors: DataFrame, path: str, key: str = "id", embedding: str = "emb
     rows = vectors.select("team_id", F.col(key).alias("id"), F.col(embedding).cast("array<double>").alias("u"))
     rows = rows.filter(usable(F.col("u"), dims))
 
-    def assign(batches):
-        for b in batches:
-            if b.num_rows:
+    def assign(ranks):
+        def run(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
                 sims = _unit(_rows(b.column(2), dims)) @ centres.T
-                at = sims.argmax(axis=1)
-                angle = np.arccos(np.clip(sims[np.arange(len(at)), at], -1.0, 1.0))
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns, pa.array(at.astype("int32")), pa.array(angle)], names=["team_id", "id", "u", "list", "angle"]
-                )
+                for rank in ranks:
+                    at = sims.argmax(axis=1)
+                    best = sims[np.arange(len(at)), at].copy()
+                    sims[np.arange(len(at)), at] = -np.inf
+                    if rank:
+                        yield pa.RecordBatch.from_arrays(
+                            [*b.columns, pa.array(at.astype("int32")), pa.array(np.arccos(np.clip(best, -1.0, 1.0)))],
+                            names=["team_id", "id", "u", "list", "angle"],
+                        )
+
+        return run
 
     def cut(batches):
         for b in batches:
@@ -139,10 +159,15 @@ def append(vectors: DataFrame, path: str, key: str = "id", embedding: str = "emb
                 names=["team_id", "ids", "vectors", "inner", "width", "list"],
             )
 
-    placed = rows.mapInArrow(assign, f"team_id string, id {key_type}, u array<double>, list int, angle double")
-    placed = placed.repartitionByRange("list", "team_id", F.xxhash64("id")).sortWithinPartitions("list", "team_id", "id")
-    blocks = placed.mapInArrow(cut, _blocks(key_type).replace(", version bigint", ""))
-    blocks.write.mode("overwrite").partitionBy("list").parquet(f"{path}/blocks/version={version}")
+    more = min(places or placements(len(centres)), len(centres)) - 1
+    # Per written part, which of the closest lists it takes.
+    for part, ranks in (("blocks", [True]), ("spill", [False] + [True] * more)):
+        if not any(ranks):
+            continue
+        placed = rows.mapInArrow(assign(ranks), f"team_id string, id {key_type}, u array<double>, list int, angle double")
+        placed = placed.repartitionByRange("list", "team_id", F.xxhash64("id")).sortWithinPartitions("list", "team_id", "id")
+        blocks = placed.mapInArrow(cut, _blocks(key_type).replace(", version bigint", ""))
+        blocks.write.mode("overwrite").partitionBy("list").parquet(f"{path}/{part}/version={version}")
 
 
 def usable(vector, dims: int):
@@ -164,12 +189,12 @@ def create(vectors: DataFrame, path: str, key: str = "id", embedding: str = "emb
         append(vectors, path, key, embedding)
 
 
-def blocks_of(spark: SparkSession, path: str, key_type: str, before: int | None = None) -> DataFrame:
-    rows = spark.read.schema(_blocks(key_type)).parquet(f"{path}/blocks")
+def blocks_of(spark: SparkSession, path: str, key_type: str, before: int | None = None, part: str = "blocks") -> DataFrame:
+    rows = spark.read.schema(_blocks(key_type)).parquet(f"{path}/{part}")
     return rows if before is None else rows.filter(F.col("version") < before)
 
 
-def compact(spark: SparkSession, path: str, key_type: str, before: int, into: str) -> None:
+def compact(spark: SparkSession, path: str, key_type: str, before: int, into: str, places: int | None = None) -> None:
     """An index at ``into`` with all versions before ``before`` in one, their small blocks joined."""
     begin(spark, into, key_type)
     centres = centres_of(spark, path)
@@ -189,7 +214,7 @@ def compact(spark: SparkSession, path: str, key_type: str, before: int, into: st
                 )
 
     old = blocks_of(spark, path, key_type, before).select("team_id", "ids", "vectors")
-    append(old.mapInArrow(opened, f"team_id string, id {key_type}, embedding array<double>"), into)
+    append(old.mapInArrow(opened, f"team_id string, id {key_type}, embedding array<double>"), into, places=places)
 
 
 def probe(
@@ -211,7 +236,8 @@ def probe(
     the lowest id.
     """
     asked = queries.select(F.col(query_id), "team_id", F.col(embedding).alias("u"), F.lit(floor).cast("double").alias("bound"))
-    found = _searched(_routed(asked, path, probes, False, query_id, key_type, before), path, query_id, key_type, before)
+    routed = _routed(asked, path, probes, False, query_id, key_type, before)
+    found = _searched(routed, path, query_id, key_type, before, spill=probes is not None)
     return _best(found if floor is None else found.filter(F.col("similarity") >= floor), query_id)
 
 
@@ -261,6 +287,28 @@ def _two_rounds(asked, path, query_id, key_type, before) -> tuple[DataFrame, Dat
 _SLACK = 10.0 ** (1 - TIE_DIGITS)
 
 
+def _by_list(ids: pa.Array, teams: list, q: np.ndarray, near: np.ndarray):
+    """Blocks of the queries by list and team; a batch holds those of one list, so it is never larger than what came in."""
+    by_team = np.array(sorted(range(len(teams)), key=lambda i: teams[i] or ""), dtype=int)
+    for at in range(near.shape[1]):
+        row = by_team[near[by_team, at]]
+        if not len(row):
+            continue
+        places = [teams[r] for r in row]
+        starts = [i for i in range(len(places)) if i == 0 or places[i] != places[i - 1]]
+        starts = [k for i, j in zip(starts, [*starts[1:], len(places)]) for k in range(i, j, BLOCK)]
+        spans = list(zip(starts, [*starts[1:], len(places)]))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([at] * len(spans), pa.int32()),
+                pa.array([places[i] for i, _ in spans], pa.string()),
+                pa.ListArray.from_arrays(pa.array([*starts, len(places)], pa.int32()), ids.take(pa.array(row))),
+                pa.array([q[row[i:j]].tobytes() for i, j in spans], pa.binary()),
+            ],
+            names=["list", "team_id", "asked", "q"],
+        )
+
+
 def _routed(asked, path, probes, others, query_id, key_type, before) -> DataFrame:
     """``list, team_id, asked, q``: blocks of the queries that look at a list, written to the shared folder.
 
@@ -289,8 +337,8 @@ def _routed(asked, path, probes, others, query_id, key_type, before) -> DataFram
             sims = q @ centres.T
             if probes is not None:
                 n = min(probes, len(centres))
-                at = np.argpartition(-sims, n - 1, axis=1)[:, :n].ravel()
-                row = np.repeat(np.arange(len(q)), n)
+                near = np.zeros(sims.shape, bool)
+                np.put_along_axis(near, np.argpartition(-sims, n - 1, axis=1)[:, :n], True, axis=1)
             else:
                 angle = np.arccos(np.clip(sims, -1.0, 1.0))
                 bound = np.nan_to_num(b.column(3).to_numpy(zero_copy_only=False).astype(float), nan=-1.0)
@@ -298,29 +346,12 @@ def _routed(asked, path, probes, others, query_id, key_type, before) -> DataFram
                 near = (angle - width <= reach) & (inner - angle <= reach) & (width >= 0)
                 if others:
                     near[np.arange(len(q)), sims.argmax(axis=1)] = False
-                row, at = np.nonzero(near)
-            teams = b.column(1).to_pylist()
-            order = sorted(range(len(row)), key=lambda k: (at[k], teams[row[k]] or ""))
-            row, at = row[order], at[order]
-            places = list(zip(at.tolist(), (teams[r] for r in row)))
-            starts = [i for i in range(len(places)) if i == 0 or places[i] != places[i - 1]]
-            starts = [k for i, j in zip(starts, [*starts[1:], len(places)]) for k in range(i, j, BLOCK)]
-            spans = list(zip(starts, [*starts[1:], len(places)]))
-            ids = b.column(0).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([places[i][0] for i, _ in spans], pa.int32()),
-                    pa.array([places[i][1] for i, _ in spans], pa.string()),
-                    pa.ListArray.from_arrays(pa.array([*starts, len(places)], pa.int32()), ids),
-                    pa.array([q[row[i:j]].tobytes() for i, j in spans], pa.binary()),
-                ],
-                names=["list", "team_id", "asked", "q"],
-            )
+            yield from _by_list(b.column(0), b.column(1).to_pylist(), q, near)
 
     return stored(rows.filter(usable(F.col("u"), dims)).mapInArrow(route, out), "routed")
 
 
-def _searched(routed, path, query_id, key_type, before) -> DataFrame:
+def _searched(routed, path, query_id, key_type, before, spill=False) -> DataFrame:
     """``query_id, similarity, cache_id``: the best entry of each block that a query meets.
 
     Only the partitions of lists that some query looks at are read. Blocks of
@@ -330,8 +361,11 @@ def _searched(routed, path, query_id, key_type, before) -> DataFrame:
     id_type = routed.schema["asked"].dataType.elementType.simpleString()
     # At most one row per list, so small enough for every task; it prunes partitions while the query runs.
     wanted = F.broadcast(routed.select("list").filter("list >= 0").distinct())
-    entries = blocks_of(routed.sparkSession, path, key_type, before)
-    pairs = routed.join(entries.join(wanted, "list", "left_semi"), ["list", "team_id"])
+    entries = blocks_of(routed.sparkSession, path, key_type, before).join(wanted, "list", "left_semi")
+    if spill:
+        again = blocks_of(routed.sparkSession, path, key_type, before, "spill").join(wanted, "list", "left_semi")
+        entries = entries.unionByName(again)
+    pairs = routed.join(entries, ["list", "team_id"])
 
     def best(batches):
         for b in batches:
