@@ -1039,9 +1039,8 @@ def stream_rate_limit(spark, folder):
 
 @_streaming
 def stream_ttl_cache(spark, folder):
-    return run.drain(stateful.expiring_cache(_event_stream(spark, folder, "request_events"))).groupBy(
-        "team_id", "kind"
-    ).agg(F.count("*").alias("requests"))
+    kinds = stateful.expired_by_batch(_event_stream(spark, folder, "request_events"))
+    return kinds.groupBy("team_id", "kind").agg(F.count("*").alias("requests"))
 
 
 @_streaming

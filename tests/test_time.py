@@ -262,3 +262,27 @@ def test_expiring_cache_stream(spark, tmp_path):
     stream = run.file_stream(spark, str(tmp_path), df.schema)
     got = {r["event_id"]: r["kind"] for r in run.drain(stateful.expiring_cache(stream, 3600)).collect()}
     assert got == {0: "set", 1: "hit", 2: "renewed", 3: "hit", 4: "renewed"}
+
+
+def test_expiry_by_batch_equals_the_keyed_state(spark, tmp_path):
+    # Rows of later batches may be older than their entry; some moments and a key are shared, some keys are null.
+    rnd, rows = random.Random(8), []
+    for i in range(90):
+        at = START + timedelta(seconds=(i // 30) * 9000 + rnd.randrange(0, 14000, 200))
+        rows.append((i, rnd.choice(["a", "b", None]), rnd.choice(["hot", "hot", "x", None]), at))
+    kinds = "event_id long, team_id string, prompt_text string, created_at timestamp"
+    for b in range(3):
+        spark.createDataFrame(rows[b * 30 : b * 30 + 30], kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = stateful.expired_by_batch(
+        run.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], kinds).schema, files_per_trigger=1), ttl_seconds=3600
+    )
+    last, want = {}, {}
+    for b in range(3):
+        for i, team, prompt, at in sorted(rows[b * 30 : b * 30 + 30], key=lambda r: (r[3], r[0])):
+            k = team, prompt
+            if k not in last or at >= last[k] + timedelta(seconds=3600):
+                want[i] = "renewed" if k in last else "set"
+                last[k] = at
+            else:
+                want[i] = "hit"
+    assert {r["event_id"]: r["kind"] for r in got.collect()} == want
