@@ -61,8 +61,11 @@ def fill(
             StorageLevel.MEMORY_AND_DISK
         )
         try:
-            near = store.similar(open_, near_at, "key", batch_id).select("key", "cache_id", "similarity")
-            looked = open_.drop("id").join(near, "key", "left").persist(StorageLevel.MEMORY_AND_DISK)
+            # Prompts of one vector have the same neighbour, so it is searched once.
+            alike = open_.groupBy("team_id", "embedding").agg(F.min("key").alias("_asked")).persist(StorageLevel.MEMORY_AND_DISK)
+            near = store.similar(alike, near_at, "_asked", batch_id).select("_asked", "cache_id", "similarity")
+            near = alike.join(near, "_asked").select("team_id", "embedding", "cache_id", "similarity")
+            looked = open_.drop("id").join(near, ["team_id", "embedding"], "left").persist(StorageLevel.MEMORY_AND_DISK)
             is_hit = F.coalesce(F.col("similarity") >= hit_at, F.lit(False))
             exact = asked.filter(F.col("id").isNotNull()).select("id", F.lit("exact_hash").alias("layer"), "new_hits")
             semantic = looked.filter(is_hit).groupBy(F.col("cache_id").alias("id"), F.lit("semantic").alias("layer"))
@@ -70,6 +73,7 @@ def fill(
             fresh = looked.filter(~is_hit & F.col("_first").isNotNull())
             store.add(fresh.select(F.col("key").alias("id"), *KEY, "embedding", "_first.*"), batch_id)
             looked.unpersist()
+            alike.unpersist()
         finally:
             open_.unpersist()
             asked.unpersist()
