@@ -414,3 +414,18 @@ def test_routing_holds_one_list_at_a_time():
         assert max(map(len, b.column(2).to_pylist())) <= vector_index.BLOCK
         for ids, blob in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
             assert np.array_equal(np.frombuffer(blob).reshape(-1, dims), q[ids])
+
+
+def test_a_batch_searches_each_vector_once(spark, tmp_path):
+    asked = []
+
+    class Watched(CacheStore):
+        def similar(self, queries, *rest):
+            asked.append(queries.count())
+            return super().similar(queries, *rest)
+
+    same_words = [("t", "c b a", 200), ("t", "a b c", 200), ("t", "b c a", 200)]
+    files = _batches(spark, str(tmp_path / "in"), [same_words[:1], [*same_words[1:], ("t", "d", 200)]])
+    store = cache_fill.fill(files, Watched(spark, scratch_path(spark, "cache")), scratch_path(spark, "state"))
+    assert asked == [1, 2]
+    assert {k: v[3] for k, v in _filled(store).items()} == {("t", "c b a"): 2, ("t", "d"): 0}
