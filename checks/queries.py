@@ -1087,9 +1087,9 @@ def flow_inputs(spark, folder):
             F.lit("0.00012500").cast("decimal(10,8)").alias("cost_usd"),
         ).write.parquet(path)
 
-    # The cache and its index are stored tables, embedded once.
+    # The cache and its index are stored tables, embedded once; the lookup searches exactly, so no vector is stored twice.
     cache = spark.read.parquet(_kept(spark, folder, "flow-cache", table))
-    index = _kept(spark, folder, "flow-index", lambda path: vector_index.create(cache, path))
+    index = _kept(spark, folder, "flow-index", lambda path: vector_index.create(cache, path, places=1))
     replies = (
         turns.filter(F.col("role") == "assistant")
         .groupBy("conv_id")

@@ -429,3 +429,36 @@ def test_a_batch_searches_each_vector_once(spark, tmp_path):
     store = cache_fill.fill(files, Watched(spark, scratch_path(spark, "cache")), scratch_path(spark, "state"))
     assert asked == [1, 2]
     assert {k: v[3] for k, v in _filled(store).items()} == {("t", "c b a"): 2, ("t", "d"): 0}
+
+
+def test_prompts_of_teams_without_entries_are_not_embedded(spark):
+    cache = embedding.embed(spark.createDataFrame([("a b c",)], "text string").withColumn("text_hash", F.sha2("text", 256)))
+    cache = cache.select(F.col("text_hash").alias("id"), F.lit("t").alias("team_id"), F.col("text_hash").alias("prompt_hash"), "embedding", F.lit("m").alias("model_used"))
+    path = scratch_path(spark, "index")
+    vector_index.create(cache, path, places=1)
+    # Searched exactly only: nothing is stored for searches of a few lists.
+    assert vector_index.blocks_of(spark, path, "string", part="spill").count() == 0
+    asked = [(0, "t", "c b a"), (1, "t", "x"), (2, "u", "c b a"), (3, "u", "y"), (4, "t", "a b c")]
+    asked = spark.createDataFrame(asked, "query_id long, team_id string, prompt_text string")
+    seen = []
+
+    def embed(rows):
+        seen.extend(r["text"] for r in rows.collect())
+        return embedding.embed(rows)
+
+    for index in (path, None):
+        seen.clear()
+        got = {r["query_id"]: (r["layer"], r["outcome"]) for r in lookup.two_layer(asked, cache, index=index, embed=embed).collect()}
+        miss = (None, "miss")
+        assert got == {0: ("semantic", "hit"), 1: miss, 2: miss, 3: miss, 4: ("exact_hash", "hit")}
+        assert sorted(seen) == ["c b a", "x"]
+
+
+def test_hashed_words_take_no_step_per_word_but_the_hash(spark):
+    """No comparison by a lambda and no list that grows word by word; a missing text gives places without numbers."""
+    rows = spark.createDataFrame([("a b " * 20_000 + "c",), (None,)], "text string").select("text", embedding.hashed_words(F.col("text")).alias("v"))
+    assert "array_sort" not in _plan(rows) and _plan(rows).count("aggregate(") == 1
+    got = {r["text"]: r["v"] for r in rows.collect()}
+    assert got.pop(None) == [None] * 64
+    (text, vector), = got.items()
+    assert np.array_equal(np.array(vector, "float32"), embedding.word_buckets([text]).astype("float32")[0])

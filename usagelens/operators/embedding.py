@@ -30,38 +30,24 @@ def word_buckets(texts: list[str], dims: int = 64) -> np.ndarray:
 def hashed_words(text: Column, dims: int = 64) -> Column:
     """The same vectors as an expression: no Python, and no shuffle.
 
-    Bucket numbers are sorted and counted run by run, so a long text takes one
-    step per word.
+    Every bucket is put once among the sorted bucket numbers of the words; the
+    places of two that follow each other tell how many words lie between.
     """
     bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dims
-    buckets = F.array_sort(F.transform(F.split(text, " ", -1), bucket))
-    start = F.expr("named_struct('runs', cast(array() as array<struct<b:int,n:double>>), 'b', -1, 'n', 0D)")
-
-    def step(run: Column, b: Column) -> Column:
-        closed = F.concat(run["runs"], F.array(F.struct(run["b"].alias("b"), run["n"].alias("n"))))
-        same = b == run["b"]
-        return F.struct(
-            F.when(same, run["runs"]).otherwise(closed).alias("runs"),
-            b.alias("b"),
-            F.when(same, run["n"] + 1.0).otherwise(F.lit(1.0)).alias("n"),
-        )
-
-    # The first run is an empty one, of no bucket; the last is closed here.
-    runs = F.aggregate(
-        buckets, start, step, lambda r: F.concat(r["runs"], F.array(F.struct(r["b"].alias("b"), r["n"].alias("n"))))
-    )
+    # One bucket more than there are, which closes the last.
+    buckets = F.sort_array(F.concat(F.transform(F.split(text, " ", -1), bucket), F.sequence(F.lit(0), F.lit(dims))))
+    places = lambda s: F.transform(F.sequence(F.lit(0), F.lit(dims)), lambda b: F.array_position(s, b))
+
+    def counts(at: Column) -> Column:
+        between = lambda b: (F.get(at, b + 1) - F.get(at, b) - 1).cast("double")
+        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), between)
+
+    def unit(n: Column) -> Column:
+        length = F.sqrt(F.aggregate(n, F.lit(0.0), lambda s, x: s + x * x))
+        # Divided by a value that is worked out once for the text.
+        return _let(length, lambda l: F.transform(n, lambda x: (x / l).cast("float")))
 
-    def spread(counted: Column) -> Column:
-        length = F.sqrt(F.aggregate(counted, F.lit(0.0), lambda s, r: s + r["n"] * r["n"]))
-        places = F.sequence(F.lit(0), F.lit(dims - 1))
-        return _let(
-            F.struct(F.map_from_entries(counted).alias("n"), length.alias("length")),
-            lambda v: F.transform(
-                places, lambda b: (F.coalesce(F.try_element_at(v["n"], b), F.lit(0.0)) / v["length"]).cast("float")
-            ),
-        )
-
-    return _let(runs, spread)
+    return _let(_let(_let(buckets, places), counts), unit)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:

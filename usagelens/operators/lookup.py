@@ -52,7 +52,10 @@ def two_layer(
     if embed is not None:
         # Written, as the search, the embedder and the result read it.
         first = stored(first, "first-layer")
-    open_ = first.filter(F.col("cache_id").isNull()).drop("cache_id")
+    # A team without entries has none to find, so its prompts need no vectors.
+    open_ = first.filter(F.col("cache_id").isNull()).drop("cache_id").join(
+        cache.select("team_id").distinct(), "team_id", "left_semi"
+    )
     if embed is not None:
         once = open_.groupBy(F.col("prompt_hash").alias("text_hash")).agg(F.any_value("_text").alias("text"))
         open_ = open_.join(embed(once).withColumnRenamed("text_hash", "prompt_hash"), "prompt_hash")

@@ -181,12 +181,14 @@ def unusable(vectors: DataFrame, path: str, embedding: str = "embedding") -> Dat
     return vectors.filter(~F.coalesce(fine, F.lit(False)))
 
 
-def create(vectors: DataFrame, path: str, key: str = "id", embedding: str = "embedding", lists: int | None = None) -> None:
-    """Train and fill an index with one version."""
+def create(
+    vectors: DataFrame, path: str, key: str = "id", embedding: str = "embedding", lists: int | None = None, places: int | None = None
+) -> None:
+    """Train and fill an index with one version; ``places`` as in ``append``."""
     begin(vectors.sparkSession, path, vectors.schema[key].dataType.simpleString())
     lists = lists or lists_for(vectors.count())
     if len(train(vectors, path, key, lists, embedding)):
-        append(vectors, path, key, embedding)
+        append(vectors, path, key, embedding, places=places)
 
 
 def blocks_of(spark: SparkSession, path: str, key_type: str, before: int | None = None, part: str = "blocks") -> DataFrame:
