@@ -24,7 +24,7 @@ from usagelens.operators import (
     routing,
 )
 from usagelens.plans import request_flow, workload as W
-from usagelens.session import ROCKSDB, conf, scratch_path
+from usagelens.session import ROCKSDB, conf, scratch_path, stored
 from usagelens.sources import cache_store, prompt_cache as PC, requests as R, usage_log as U, vector_index
 from usagelens.streaming import cache_fill, run, stateful, usage as SU
 
@@ -369,7 +369,8 @@ def redact_request_rows(spark, folder):
 @query
 def redact_restore(spark, folder):
     docs = W.view(spark, folder, "docs_pii")
-    clean = redact.redact_column(docs, "text")
+    # Kept until the replies are there, as both sides of the restoring join read it.
+    clean = stored(redact.redact_column(docs, "text").select("doc_id", "text", "redaction_map"), "redacted")
     replies = clean.select("doc_id", F.col("text").alias("response"))
     return redact.restore_responses(replies, clean, "doc_id")
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from checks.queries import QUERIES
 from usagelens.functions import pii
 from usagelens.operators import redact
 from usagelens.sources.requests import gather_messages
@@ -220,3 +221,9 @@ def test_switched_off(spark):
     rows = redact.redact_bodies(df, enabled=False, fail_closed=True).collect()
     assert "a@b.co" in rows[0]["body"] and rows[1]["body"] is None
     assert all(r["redaction_error"] is None and not r["blocked"] and r["unique_tokens"] == 0 for r in rows)
+
+
+def test_restoring_redacts_once(spark):
+    """What was redacted is read by both sides of the join, not worked out for each and for its filter."""
+    out = QUERIES["redact_restore"](spark, "/root/testdata/sf0.001")
+    assert "regexp" not in out._jdf.queryExecution().executedPlan().toString()
